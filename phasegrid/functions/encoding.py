@@ -96,41 +96,43 @@ def phase_features(x: Sequence[Column]) -> list[Column]:
     ]
 
 
-def _by_qubit(theta: Sequence[float], rotation: str) -> list[Sequence[float]]:
-    step = 3 if rotation == "rxyz" else 1
-    return [theta[i : i + step] for i in range(0, len(theta), step)]
-
-
-def rotation_readout(x: Sequence[Column], theta: Sequence[float], rotation: str) -> list[tuple[Column, list[Column]]]:
-    """Per qubit, (<Z_q>, its derivatives by q's own parameters) after angle encoding and one layer.
+def rotation_weights(theta: Sequence[float], rotation: str) -> list[list[tuple[float, float]]]:
+    """Per qubit, the weights (a, b) of <Z> = a cos(x) + b sin(x), then those of each own derivative.
 
     Controlled-Z entanglers commute with Z, so every entanglement pattern gives the same values.
     """
     if rotation not in ROTATIONS:
         raise ValueError(f"unknown rotation {rotation!r}; known: {ROTATIONS}")
-    groups = _by_qubit(theta, rotation)
-    if len(groups) != len(x):
-        raise ValueError(f"{len(x)} qubits but parameters for {len(groups)}")
-    zero = F.lit(0.0)
+    sin, cos = math.sin, math.cos
+    if rotation == "ry":
+        return [[(cos(t), -sin(t)), (-sin(t), -cos(t))] for t in theta]
+    if rotation == "rz":
+        return [[(1.0, 0.0), (0.0, 0.0)] for _ in theta]
+    if rotation == "rx":
+        return [[(cos(t), 0.0), (-sin(t), 0.0)] for t in theta]
+    if len(theta) % 3:
+        raise ValueError(f"{len(theta)} parameters are no whole number of rx, ry, rz triples")
     out = []
-    for c, t in zip(x, groups):
-        if rotation == "ry":
-            out.append((F.cos(c + t[0]), [-F.sin(c + t[0])]))
-        elif rotation == "rz":
-            out.append((F.cos(c), [zero]))
-        elif rotation == "rx":
-            out.append((F.cos(c) * math.cos(t[0]), [F.cos(c) * -math.sin(t[0])]))
-        else:
-            a, b = t[0], t[1]
-            value = F.cos(c) * (math.cos(a) * math.cos(b)) - F.sin(c) * math.sin(b)
-            by_a = F.cos(c) * (-math.sin(a) * math.cos(b))
-            by_b = F.cos(c) * (-math.cos(a) * math.sin(b)) - F.sin(c) * math.cos(b)
-            out.append((value, [by_a, by_b, zero]))
+    for a, b in zip(theta[0::3], theta[1::3]):
+        out.append([
+            (cos(a) * cos(b), -sin(b)), (-sin(a) * cos(b), 0.0), (-cos(a) * sin(b), -cos(b)), (0.0, 0.0),
+        ])
     return out
 
 
+def weighted(cosine: Column, sine: Column | None, weights: tuple[float, float]) -> Column:
+    """a cos(x) + b sin(x) with the zero terms left out."""
+    a, b = weights
+    terms = [c * w for c, w in ((cosine, a), (sine, b)) if w != 0.0]
+    return total(terms) if terms else F.lit(0.0)
+
+
 def variational_z(x: Sequence[Column], theta: Sequence[float], rotation: str = "ry") -> list[Column]:
-    return [value for value, _ in rotation_readout(x, theta, rotation)]
+    """<Z_q> after angle encoding and one variational layer."""
+    if rotation == "ry":
+        return [F.cos(c + t) for c, t in zip(x, theta, strict=True)]
+    weights = rotation_weights(theta, rotation)
+    return [weighted(F.cos(c), F.sin(c), w[0]) for c, w in zip(x, weights, strict=True)]
 
 
 def pair_encoded_x(x: Sequence[Column]) -> list[Column]:

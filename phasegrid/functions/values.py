@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import add, mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +39,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def product(factors: list[Column]) -> Column:
-    out = F.lit(1.0)
-    for factor in factors:
-        out = out * factor
-    return out
+    return reduce(mul, factors) if factors else F.lit(1.0)
 
 
 def total(terms: list[Column]) -> Column:
-    out = F.lit(0.0)
-    for term in terms:
-        out = out + term
-    return out
+    return reduce(add, terms) if terms else F.lit(0.0)
 
 
 def round_off(value: Column, digits: int = 6) -> Column:

@@ -62,29 +62,30 @@ def _last_params(kind: str) -> Column:
 
 
 def _param(kind: str, key: str) -> Column:
-    value = _last_params(kind)[key]
-    return F.when(value != "", value)
+    return F.nullif(F.col(f"__{kind}")[key], F.lit(""))
 
 
 def flatten_documents(parsed: DataFrame) -> DataFrame:
     """Add the settings of each document, with the defaults where a node or parameter is missing."""
-    features = F.coalesce(split_names(F.coalesce(_param("dataset", "features"), F.lit(""))), F.array().cast("array<string>"))
-    raw_qubits = F.coalesce(_param("circuit", "num_qubits").try_cast("int"), F.lit(0))
-    return parsed.withColumn("feature_columns", features).withColumns({
+    number = lambda kind, key, default: F.coalesce(_param(kind, key).try_cast("int"), F.lit(default))
+    last = parsed.withColumns({f"__{kind}": _last_params(kind) for kind in REQUIRED_TYPES})
+    names = split_names(F.coalesce(_param("dataset", "features"), F.lit("")))
+    return last.withColumn("feature_columns", names).withColumns({
         "dataset_path": _param("dataset", "path"),
         "label_column": F.coalesce(_param("dataset", "label"), F.lit("")),
         "encoder": F.coalesce(_param("encoder", "type"), F.lit("angle")),
         "circuit": F.coalesce(_param("circuit", "type"), F.lit("realamplitudes")),
+        # one qubit per feature; a document without features keeps its own number
         "num_qubits": F.when(F.size("feature_columns") > 0, F.size("feature_columns")).otherwise(
-            F.greatest(raw_qubits, F.lit(1))
+            F.greatest(number("circuit", "num_qubits", 0), F.lit(1))
         ),
-        "reps": F.coalesce(_param("circuit", "reps").try_cast("int"), F.lit(2)),
+        "reps": number("circuit", "reps", 2),
         "optimizer": F.coalesce(_param("optimizer", "type"), F.lit("cobyla")),
-        "maxiter": F.coalesce(_param("optimizer", "maxiter").try_cast("int"), F.lit(20)),
+        "maxiter": number("optimizer", "maxiter", 20),
         "ansatz": F.coalesce(_param("circuit", "ansatz"), F.lit("ry")),
         "entanglement": F.coalesce(_param("circuit", "entanglement"), F.lit("linear")),
-        "layers": F.coalesce(_param("circuit", "layers").try_cast("int"), F.lit(2)),
-    })
+        "layers": number("circuit", "layers", 2),
+    }).drop(*[f"__{kind}" for kind in REQUIRED_TYPES])
 
 
 def missing_types() -> Column:

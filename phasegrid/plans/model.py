@@ -15,13 +15,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.functions.encoding import parity_probability, phase_features, rotation_readout
+from phasegrid.functions.encoding import (
+    parity_probability, phase_features, rotation_weights, variational_z, weighted,
+)
 from phasegrid.functions.hashing import check_parameters, parameter_count
 from phasegrid.functions.readout import class_from_probability, confidence_band, risk_label
 from phasegrid.functions.values import product
 from phasegrid.operators.columns import cast_features
 from phasegrid.operators.scaling import Affine
 
+CLIP = 1e-15
 PHASE_ENCODERS = ("angle", "basis", "iqp")
 # Which one-qubit rotation a circuit name stands for (rz after ry leaves <Z> as it is).
 CIRCUIT_ROTATION = {
@@ -35,19 +38,44 @@ MODEL_SCHEMA = (
 )
 
 
-def qubit_readout(
-    features: Sequence[Column], theta: Sequence[float], encoder: str, rotation: str
-) -> list[tuple[Column, list[Column]]]:
-    """Per qubit its expectation and the derivatives by its own parameters."""
-    if encoder == "rotation":
-        return rotation_readout(features, theta, rotation)
-    if encoder not in PHASE_ENCODERS:
+def check_encoder(encoder: str, rotation: str) -> None:
+    if encoder not in ("rotation", *PHASE_ENCODERS):
         raise ValueError(f"unknown encoder {encoder!r}")
-    if rotation != "ry":
+    if encoder != "rotation" and rotation != "ry":
         raise ValueError(f"phase encoders are read out through ry, not {rotation!r}")
-    return [
-        (h * -math.sin(t), [h * -math.cos(t)]) for h, t in zip(phase_features(features), theta, strict=True)
-    ]
+
+
+def expectations(features: Sequence[Column], theta: Sequence[float], encoder: str, rotation: str) -> list[Column]:
+    """<Z_q> per qubit from scaled features."""
+    check_encoder(encoder, rotation)
+    if encoder == "rotation":
+        return variational_z(features, theta, rotation)
+    return [h * -math.sin(t) for h, t in zip(phase_features(features), theta, strict=True)]
+
+
+def training_basis(features: Sequence[Column], encoder: str, rotation: str) -> dict[str, Column]:
+    """The row values every optimiser step works on: c0.., s0.. (cosines and sines) or c0.. (phase features).
+
+    They do not depend on the parameters, so they are computed once and cached; a step is then a
+    polynomial in them, without a trigonometric call per row.
+    """
+    check_encoder(encoder, rotation)
+    if encoder != "rotation":
+        return {f"c{q}": h for q, h in enumerate(phase_features(features))}
+    out = {f"c{q}": F.cos(x) for q, x in enumerate(features)}
+    if rotation in ("ry", "rxyz"):
+        out |= {f"s{q}": F.sin(x) for q, x in enumerate(features)}
+    return out
+
+
+def step_terms(theta: Sequence[float], encoder: str, rotation: str) -> tuple[list[Column], list[list[Column]]]:
+    """Per qubit <Z_q> and its derivatives, over the columns of ``training_basis``."""
+    if encoder == "rotation":
+        weights = rotation_weights(theta, rotation)
+    else:
+        weights = [[(-math.sin(t), 0.0), (-math.cos(t), 0.0)] for t in theta]
+    readout = [[weighted(F.col(f"c{q}"), F.col(f"s{q}"), w) for w in ws] for q, ws in enumerate(weights)]
+    return [r[0] for r in readout], [r[1:] for r in readout]
 
 
 @dataclass(frozen=True)
@@ -66,7 +94,11 @@ class VariationalModel:
         """Probability of class 1 from the raw (unscaled) feature columns."""
         check_parameters(self.theta, parameter_count(len(self.features), 1, self.rotation))
         scaled = list(self.scaler.expressions().values())
-        return parity_probability([z for z, _ in qubit_readout(scaled, self.theta, self.encoder, self.rotation)])
+        return self.probability_of(scaled)
+
+    def probability_of(self, scaled: Sequence[Column]) -> Column:
+        """The same from columns that are scaled already."""
+        return parity_probability(expectations(scaled, self.theta, self.encoder, self.rotation))
 
     def score(self, df: DataFrame, lenient: bool = False) -> DataFrame:
         """All input columns plus prediction, risk_label, probability_class1 and confidence.
@@ -112,15 +144,36 @@ class LinearModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def loss_and_gradient(label: Column, readout: list[tuple[Column, list[Column]]]) -> tuple[Column, list[Column]]:
-    """Row terms of the cross-entropy and its gradient, to be averaged in one aggregate."""
-    clip = 1e-15
-    values = [z for z, _ in readout]
-    p = F.greatest(F.least(parity_probability(values), F.lit(1 - clip)), F.lit(clip))
-    loss = -F.when(label == 1, F.log(p)).otherwise(F.log(1 - p))
-    by_p = F.when(label == 1, -F.lit(1.0) / p).otherwise(F.lit(1.0) / (1 - p))
-    gradient = []
-    for q, (_, own) in enumerate(readout):
-        rest = product([z for j, z in enumerate(values) if j != q])
-        gradient += [by_p * rest * d * -0.5 for d in own]
-    return loss, gradient
+def step_loss(label: Column, p: Column) -> Column:
+    """Cross-entropy of a clipped probability column."""
+    return -F.log(F.when(label == 1, p).otherwise(1 - p))
+
+
+def clipped_parity(values: Sequence[Column]) -> Column:
+    return F.greatest(F.least(parity_probability(values), F.lit(1 - CLIP)), F.lit(CLIP))
+
+
+def average_losses(basis: DataFrame, candidates: Sequence[Sequence[float]], encoder: str, rotation: str) -> DataFrame:
+    """One row (loss0, loss1, ..): mean loss of each parameter vector, from one aggregate."""
+    terms = [clipped_parity(step_terms(t, encoder, rotation)[0]).alias(f"p{i}") for i, t in enumerate(candidates)]
+    rows = basis.select("label", *terms)
+    return rows.agg(*[F.avg(step_loss(F.col("label"), F.col(f"p{i}"))).alias(f"loss{i}") for i in range(len(terms))])
+
+
+def average_gradient(basis: DataFrame, theta: Sequence[float], encoder: str, rotation: str) -> DataFrame:
+    """One row (loss, g0, g1, ..): mean loss and its gradient, from one aggregate."""
+    values, slopes = step_terms(theta, encoder, rotation)
+    n = len(values)
+    moved = [(q, k, d) for q, own in enumerate(slopes) for k, d in enumerate(own)]
+    rows = basis.select("label", *[z.alias(f"z{q}") for q, z in enumerate(values)], *[d.alias(f"d{i}") for i, (_, _, d) in enumerate(moved)])
+    z = [F.col(f"z{q}") for q in range(n)]
+    rows = rows.withColumn("p", clipped_parity(z))
+    p, y = F.col("p"), F.col("label")
+    # d loss / d p, times the -1/2 of the parity probability
+    by_p = F.when(y == 1, F.lit(0.5) / p).otherwise(F.lit(-0.5) / (1 - p))
+    rows = rows.withColumn("w", by_p)
+    gradient = [
+        F.avg(F.col("w") * product([F.col(f"d{i}"), *[z[j] for j in range(n) if j != q]])).alias(f"g{i}")
+        for i, (q, _, _) in enumerate(moved)
+    ]
+    return rows.agg(F.avg(step_loss(y, p)).alias("loss"), *gradient)

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from phasegrid.functions.encoding import parity_probability
 from phasegrid.functions.hashing import draw_parameters, parameter_count, unit_from_text
 from phasegrid.functions.readout import class_from_probability
 from phasegrid.operators.columns import cast_features
@@ -29,7 +28,7 @@ from phasegrid.operators.scaling import Affine, fit_standard
 from phasegrid.operators.splitting import exact_split, hash_split
 from phasegrid.operators.specs import check_run
 from phasegrid.plans.model import (
-    CIRCUIT_ROTATION, LinearModel, VariationalModel, loss_and_gradient, qubit_readout,
+    CIRCUIT_ROTATION, LinearModel, VariationalModel, average_gradient, average_losses, training_basis,
 )
 from phasegrid.sources.catalog import CIRCUITS, ENCODERS, OPTIMIZERS, Catalog, component
 
@@ -72,25 +71,19 @@ def prepare(
 
 
 class Objective:
-    """Mean cross-entropy of the variational model over scaled training rows."""
+    """Mean cross-entropy of the variational model over cached training rows (label and basis columns)."""
 
-    def __init__(self, scaled: DataFrame, features: Sequence[str], encoder: str, rotation: str):
-        self._rows, self._encoder, self._rotation = scaled, encoder, rotation
-        self._features = [F.col(c) for c in features]
-        self.size = parameter_count(len(features), 1, rotation)
-
-    def _terms(self, theta):
-        readout = qubit_readout(self._features, [float(t) for t in theta], self._encoder, self._rotation)
-        return loss_and_gradient(F.col("label"), readout)
+    def __init__(self, basis: DataFrame, n_features: int, encoder: str, rotation: str):
+        self._basis, self._encoder, self._rotation = basis, encoder, rotation
+        self.size = parameter_count(n_features, 1, rotation)
 
     def losses(self, candidates: Sequence[Sequence[float]]) -> list[float]:
         """Losses of several parameter vectors from one job."""
-        terms = [F.avg(self._terms(t)[0]).alias(f"l{i}") for i, t in enumerate(candidates)]
-        return [float(v) for v in self._rows.agg(*terms).first()]
+        plain = [[float(t) for t in c] for c in candidates]
+        return [float(v) for v in average_losses(self._basis, plain, self._encoder, self._rotation).first()]
 
     def loss_and_gradient(self, theta: Sequence[float]) -> tuple[float, np.ndarray]:
-        loss, gradient = self._terms(theta)
-        row = self._rows.agg(F.avg(loss), *[F.avg(g).alias(f"g{i}") for i, g in enumerate(gradient)]).first()
+        row = average_gradient(self._basis, [float(t) for t in theta], self._encoder, self._rotation).first()
         return float(row[0]), np.array(row[1:], dtype=float)
 
 
@@ -127,14 +120,23 @@ class Fit:
     losses: list[float] = field(default_factory=list)
 
 
+def training_table(prepared: Prepared, encoder: str, circuit: str) -> DataFrame:
+    """Scaled features, label, is_test and the basis columns of the model; the table training caches."""
+    encoder = component(ENCODERS, encoder, "angle")
+    rotation = CIRCUIT_ROTATION[component(CIRCUITS, circuit, "realamplitudes")]
+    scaled = prepared.scaler.apply(prepared.rows)
+    return scaled.withColumns(training_basis([F.col(c) for c in prepared.features], encoder, rotation))
+
+
 def fit_variational(
-    prepared: Prepared, scaled_train: DataFrame, encoder: str = "rotation", circuit: str = "ry",
+    prepared: Prepared, train: DataFrame, encoder: str = "rotation", circuit: str = "ry",
     optimizer: str = "adam", maxiter: int = 20, seed: int = 42,
 ) -> Fit:
+    """Fit on the train rows of a (cached) ``training_table`` made for the same encoder and circuit."""
     rotation = CIRCUIT_ROTATION[component(CIRCUITS, circuit, "realamplitudes")]
     encoder = component(ENCODERS, encoder, "angle")
     name = component(OPTIMIZERS, optimizer, "cobyla")
-    objective = Objective(scaled_train, prepared.features, encoder, rotation)
+    objective = Objective(train, len(prepared.features), encoder, rotation)
     start = draw_parameters(objective.size, seed)
     losses: list[float] = []
     record = lambda _theta, loss: losses.append(loss)
@@ -190,9 +192,7 @@ def _side(row, who: str) -> dict:
 
 def evaluate(scaled: DataFrame, model: VariationalModel, baseline: LinearModel) -> dict:
     """Both models on both sides of the split: one aggregate, plus one AUC each on the test side."""
-    features = [F.col(c) for c in model.features]
-    readout = qubit_readout(features, model.theta, model.encoder, model.rotation)
-    p_model = parity_probability([z for z, _ in readout])
+    p_model = model.probability_of([F.col(c) for c in model.features])
     scored = scaled.select("label", "is_test", p_model.alias("p_model"), baseline.probability().alias("p_base"))
     scored = scored.withColumns({f"c_{w}": class_from_probability(F.col(f"p_{w}")) for w in ("model", "base")})
     y = F.col("label")
@@ -250,7 +250,7 @@ def train_run(spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "
         catalog.load(spark, dataset), features, dataset.label_column, data.get("key_columns"),
         float(data.get("test_size", 0.25)), seed, bool(data.get("exact_split", False)),
     )
-    scaled = prepared.scaler.apply(prepared.rows).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = training_table(prepared, encoder, circuit_name).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = scaled.where(~F.col("is_test"))
         fit = fit_variational(prepared, train, encoder, circuit_name, optimizer, maxiter, seed)

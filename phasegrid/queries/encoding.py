@@ -71,23 +71,23 @@ def _sql_phase(q: int) -> str:
     return f"cos(2 * x{q}) * {rest}"
 
 
-@query("encode_phases", SQL_SCALED + f" SELECT {SQL_KEYS}, {sql_rounded([_sql_phase(q) for q in range(4)], 'h')} FROM scaled")
+@query("encode_phases", SQL_SCALED + f" SELECT {SQL_KEYS}, {sql_rounded([_sql_phase(q) for q in range(4)], 'h', 4)} FROM scaled")
 def encode_phases(spark, folder):
     lines = split_lines(spark, folder)
     scaled = line_scaler(lines).apply(lines)
-    return scaled.select(*LINE_KEY, *named(E.phase_features(feature_columns()), "h"))
+    return scaled.select(*LINE_KEY, *named(E.phase_features(feature_columns()), "h", 4))
 
 
-@query("map_phases", SQL_SCALED + f" SELECT {SQL_KEYS}, {sql_rounded([f'2 * x{q}' for q in range(4)], 's')}, " + ", ".join(
-    f"round(2 * (pi() - x{i}) * (pi() - x{j}), 6) + 0.0 AS p{i}{j}" for i in range(4) for j in range(i + 1, 4)
+@query("map_phases", SQL_SCALED + f" SELECT {SQL_KEYS}, {sql_rounded([f'2 * x{q}' for q in range(4)], 's', 4)}, " + ", ".join(
+    f"round(2 * (pi() - x{i}) * (pi() - x{j}), 4) + 0.0 AS p{i}{j}" for i in range(4) for j in range(i + 1, 4)
 ) + " FROM scaled")
 def map_phases(spark, folder):
     lines = split_lines(spark, folder)
     single, pairs = E.map_phases(feature_columns())
     out = line_scaler(lines).apply(lines).select(
-        *LINE_KEY, *named(single, "s"), *[c.alias(f"p{i}{j}") for (i, j), c in pairs.items()]
+        *LINE_KEY, *named(single, "s", 4), *[c.alias(f"p{i}{j}") for (i, j), c in pairs.items()]
     )
-    return rounded(out, [f"p{i}{j}" for i, j in pairs])
+    return rounded(out, [f"p{i}{j}" for i, j in pairs], 4)
 
 
 def _variational(rotation: str, theta):

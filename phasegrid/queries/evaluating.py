@@ -9,15 +9,15 @@ from phasegrid.functions.readout import argmax_class, number_text, percent_text
 from phasegrid.operators import metrics as M
 from phasegrid.operators import runs as R
 from phasegrid.queries.registry import SQL_SCORED, query, rounded
-from phasegrid.queries.scoring import METRIC_NAMES, exact_scores, sql_metrics
+from phasegrid.queries.scoring import exact_scores, sql_metrics
 from phasegrid.sources.tables import table
 
 _SQL_PREDICTED = SQL_SCORED + ", result AS (SELECT *, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM scored)"
 
 
-@query("accuracy", "SELECT round(avg((quality = toxic)::INT), 6) + 0.0 AS accuracy, count(*) AS n_samples, count(*) FILTER (WHERE quality = toxic) AS n_correct FROM labels")
+@query("accuracy", "SELECT avg((quality = toxic)::INT) AS accuracy, count(*) AS n_samples, count(*) FILTER (WHERE quality = toxic) AS n_correct FROM labels")
 def accuracy(spark, folder):
-    return rounded(M.accuracy(table(spark, folder, "labels"), "quality", "toxic"), ["accuracy"])
+    return M.accuracy(table(spark, folder, "labels"), "quality", "toxic")
 
 
 @query("confusion_binary", """
@@ -47,19 +47,19 @@ def confusion_multi(spark, folder):
 
 
 @query("evaluate_argmax", _SQL_ARGMAX + """
-SELECT round(avg((label = prediction)::INT), 6) + 0.0 AS accuracy, count(*) AS n_samples, count(*) FILTER (WHERE label = prediction) AS n_correct FROM pr""")
+SELECT avg((label = prediction)::INT) AS accuracy, count(*) AS n_samples, count(*) FILTER (WHERE label = prediction) AS n_correct FROM pr""")
 def evaluate_argmax(spark, folder):
-    return rounded(M.accuracy(_argmax_predictions(spark, folder), "label", "prediction"), ["accuracy"])
+    return M.accuracy(_argmax_predictions(spark, folder), "label", "prediction")
 
 
 @query("prf", "SELECT * FROM (" + sql_metrics("(SELECT quality AS label, toxic AS prediction FROM labels)") + ")")
 def prf(spark, folder):
-    return rounded(M.binary_metrics(table(spark, folder, "labels"), "quality", "toxic"), METRIC_NAMES)
+    return M.binary_metrics(table(spark, folder, "labels"), "quality", "toxic")
 
 
 @query("prf_by_supplier", _SQL_PREDICTED + sql_metrics("result", by="l_suppkey"))
 def prf_by_supplier(spark, folder):
-    return rounded(M.binary_metrics(exact_scores(spark, folder), "label", "prediction", by=["l_suppkey"]), METRIC_NAMES)
+    return M.binary_metrics(exact_scores(spark, folder), "label", "prediction", by=["l_suppkey"])
 
 
 def _sql_auc(source: str, label: str, score: str) -> str:
@@ -89,10 +89,10 @@ def log_loss(spark, folder):
 
 
 @query("majority_baseline", """
-SELECT toxic AS majority_class, round(n / (SELECT count(*) FROM labels WHERE toxic IS NOT NULL), 6) + 0.0 AS baseline_accuracy
+SELECT toxic AS majority_class, n / (SELECT count(*) FROM labels WHERE toxic IS NOT NULL) AS baseline_accuracy
 FROM (SELECT toxic, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic) ORDER BY n DESC, toxic LIMIT 1""")
 def majority_baseline(spark, folder):
-    return rounded(M.majority_baseline(table(spark, folder, "labels"), "toxic"), ["baseline_accuracy"])
+    return M.majority_baseline(table(spark, folder, "labels"), "toxic")
 
 
 # loss histories from lineitem: a run per order, a point per line number
@@ -144,11 +144,11 @@ def runs_table(spark, folder):
 @query("run_compare", _SQL_RUNS + """,
 filled AS (SELECT run_id, coalesce(accuracy, 0.0) AS accuracy, coalesce(f1, 0.0) AS f1, coalesce(roc_auc, 0.0) AS roc_auc,
                   coalesce(baseline_accuracy, 0.0) AS baseline_accuracy FROM runs)
-SELECT run_id, round(accuracy, 6) + 0.0 AS accuracy, round(f1, 6) + 0.0 AS f1, round(roc_auc, 6) + 0.0 AS roc_auc,
-       round(baseline_accuracy, 6) + 0.0 AS baseline_accuracy, round(accuracy - baseline_accuracy, 6) + 0.0 AS gain,
+SELECT run_id, accuracy, f1, roc_auc,
+       round(baseline_accuracy, 9) + 0.0 AS baseline_accuracy, round(accuracy - baseline_accuracy, 9) + 0.0 AS gain,
        rank() OVER (ORDER BY accuracy DESC) AS accuracy_rank FROM filled""")
 def run_compare(spark, folder):
-    return rounded(R.compare_runs(runs_table(spark, folder)), ["accuracy", "f1", "roc_auc", "baseline_accuracy", "gain"])
+    return rounded(R.compare_runs(runs_table(spark, folder)), ["baseline_accuracy", "gain"], 9)
 
 
 @query("readiness_gate", _SQL_RUNS + """,

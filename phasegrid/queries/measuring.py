@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phasegrid.operators import measurement as M
-from phasegrid.queries.registry import query, rounded
+from phasegrid.queries.registry import query
 from phasegrid.sources.tables import table
 
 _SQL_COUNTS = """
@@ -22,26 +22,26 @@ def counts(spark, folder):
 
 @query("z_expectation", _SQL_COUNTS + """
 SELECT user_id, CAST(qubit AS INTEGER) AS qubit,
-       round(sum(CASE WHEN (bits >> qubit) & 1 = 0 THEN cnt ELSE -cnt END) / sum(cnt)::DOUBLE, 6) + 0.0 AS expectation
+       sum(CASE WHEN (bits >> qubit) & 1 = 0 THEN cnt ELSE -cnt END) / sum(cnt)::DOUBLE AS expectation
 FROM q, (SELECT unnest(range(4)) AS qubit) GROUP BY user_id, qubit""")
 def z_expectation(spark, folder):
-    return rounded(M.z_expectation(counts(spark, folder), "user_id", "bitstring", "cnt", 4), ["expectation"])
+    return M.z_expectation(counts(spark, folder), "user_id", "bitstring", "cnt", 4)
 
 
 @query("counts_to_probs", _SQL_COUNTS + """,
 total AS (SELECT user_id, sum(cnt) AS n FROM q GROUP BY user_id),
 cell AS (SELECT user_id, reversed, sum(cnt) AS n FROM q GROUP BY user_id, reversed)
-SELECT t.user_id, CAST(g.state AS INTEGER) AS state, round(coalesce(c.n, 0) / t.n::DOUBLE, 6) + 0.0 AS probability
+SELECT t.user_id, CAST(g.state AS INTEGER) AS state, coalesce(c.n, 0) / t.n::DOUBLE AS probability
 FROM total t CROSS JOIN (SELECT unnest(range(8)) AS state) g LEFT JOIN cell c ON c.user_id = t.user_id AND c.reversed = g.state""")
 def counts_to_probs(spark, folder):
     # three qubits for four-bit strings: the upper half counts in the total only
     dense = M.distribution(counts(spark, folder), "user_id", "bitstring", "cnt", 3)
-    return rounded(dense.select("user_id", F.posexplode("probabilities").alias("state", "probability")), ["probability"])
+    return dense.select("user_id", F.posexplode("probabilities").alias("state", "probability"))
 
 
 @query("parity_readout", _SQL_COUNTS + """
-SELECT user_id, round(1 - coalesce(sum(cnt) FILTER (WHERE bit_count(bits) % 2 = 1), 0) / sum(cnt)::DOUBLE, 6) + 0.0 AS p_even,
-       round(coalesce(sum(cnt) FILTER (WHERE bit_count(bits) % 2 = 1), 0) / sum(cnt)::DOUBLE, 6) + 0.0 AS p_odd
+SELECT user_id, 1 - coalesce(sum(cnt) FILTER (WHERE bit_count(bits) % 2 = 1), 0) / sum(cnt)::DOUBLE AS p_even,
+       coalesce(sum(cnt) FILTER (WHERE bit_count(bits) % 2 = 1), 0) / sum(cnt)::DOUBLE AS p_odd
 FROM q GROUP BY user_id""")
 def parity_readout(spark, folder):
-    return rounded(M.parity_readout(counts(spark, folder), "user_id", "bitstring", "cnt"), ["p_even", "p_odd"])
+    return M.parity_readout(counts(spark, folder), "user_id", "bitstring", "cnt")

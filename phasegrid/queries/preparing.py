@@ -88,10 +88,10 @@ def row_minmax_pi(spark, folder):
     return _lines(spark, folder).select(*LINE_KEY, *named(row_angles(feature_columns()), "x"))
 
 
-@query("standardize", SQL_SCALED + f" SELECT {SQL_KEYS}, is_test, {sql_rounded([f'x{i}' for i in range(4)], 'x')} FROM scaled")
+@query("standardize", SQL_SCALED + f" SELECT {SQL_KEYS}, is_test, {sql_rounded([f'x{i}' for i in range(4)], 'x', 4)} FROM scaled")
 def standardize(spark, folder):
     lines = split_lines(spark, folder)
-    return line_scaler(lines).apply(lines).select(*LINE_KEY, "is_test", *named(feature_columns(), "x"))
+    return line_scaler(lines).apply(lines).select(*LINE_KEY, "is_test", *named(feature_columns(), "x", 4))
 
 
 @query("split_hash", SQL_LINES + f" SELECT {SQL_KEYS}, is_test FROM rows_")

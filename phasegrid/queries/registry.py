@@ -36,8 +36,8 @@ def rounded(df: DataFrame, names: Sequence[str], digits: int = 6) -> DataFrame:
     return df.withColumns({n: round_off(F.col(n), digits) for n in names})
 
 
-def named(columns: Sequence[Column], prefix: str) -> list[Column]:
-    return [round_off(c).alias(f"{prefix}{i}") for i, c in enumerate(columns)]
+def named(columns: Sequence[Column], prefix: str, digits: int = 6) -> list[Column]:
+    return [round_off(c, digits).alias(f"{prefix}{i}") for i, c in enumerate(columns)]
 
 
 def split_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,5 +93,5 @@ angles AS (
 SQL_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
-def sql_rounded(expressions: Sequence[str], prefix: str) -> str:
-    return ", ".join(f"round({e}, 6) + 0.0 AS {prefix}{i}" for i, e in enumerate(expressions))
+def sql_rounded(expressions: Sequence[str], prefix: str, digits: int = 6) -> str:
+    return ", ".join(f"round({e}, {digits}) + 0.0 AS {prefix}{i}" for i, e in enumerate(expressions))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phasegrid.functions.readout import argmax, argmax_class
 from phasegrid.operators.metrics import binary_metrics
 from phasegrid.plans.model import VariationalModel
-from phasegrid.queries.registry import LINE_KEY, SQL_KEYS, SQL_SCORED, THETA, line_scaler, query, rounded, split_lines
+from phasegrid.queries.registry import LINE_KEY, SQL_KEYS, SQL_SCORED, THETA, line_scaler, query, split_lines
 from phasegrid.sources.tables import table
 
 
@@ -46,12 +46,11 @@ def risk_labels(spark, folder):
 
 
 @query("triage_bands", _SQL_RESULT + """
-SELECT confidence, count(*) AS n, round(avg(label), 6) + 0.0 AS positive_rate FROM result GROUP BY confidence""")
+SELECT confidence, count(*) AS n, avg(label) AS positive_rate FROM result GROUP BY confidence""")
 def triage_bands(spark, folder):
-    bands = scored_lines(spark, folder).groupBy("confidence").agg(
+    return scored_lines(spark, folder).groupBy("confidence").agg(
         F.count(F.lit(1)).alias("n"), F.avg("label").alias("positive_rate")
     )
-    return rounded(bands, ["positive_rate"])
 
 
 def _review_order():
@@ -87,6 +86,7 @@ def argmax_readout(spark, folder):
     )
 
 
+# ratios of counts are the same double in both engines, so they are compared unrounded
 def sql_metrics(source: str, label: str = "label", prediction: str = "prediction", by: str = "") -> str:
     head = f"{by}, " if by else ""
     tail = f" GROUP BY {by}" if by else ""
@@ -94,17 +94,14 @@ def sql_metrics(source: str, label: str = "label", prediction: str = "prediction
     return f"""
 SELECT {head}count(*) AS n_samples, count(*) FILTER (WHERE {label} = {prediction}) AS n_correct,
        count(*) FILTER (WHERE {label} = 0 AND {prediction} = 0) AS tn, {fp} AS fp, {fn} AS fn, {tp} AS tp,
-       round(coalesce(count(*) FILTER (WHERE {label} = {prediction}) / nullif(count(*), 0), 0.0), 6) + 0.0 AS accuracy,
-       round(coalesce({tp} / nullif({tp} + {fp}, 0), 0.0), 6) + 0.0 AS precision,
-       round(coalesce({tp} / nullif({tp} + {fn}, 0), 0.0), 6) + 0.0 AS recall,
-       round(coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0.0), 6) + 0.0 AS f1
+       coalesce(count(*) FILTER (WHERE {label} = {prediction}) / nullif(count(*), 0), 0.0) AS accuracy,
+       coalesce({tp} / nullif({tp} + {fp}, 0), 0.0) AS precision,
+       coalesce({tp} / nullif({tp} + {fn}, 0), 0.0) AS recall,
+       coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0.0) AS f1
 FROM {source}{tail}"""
 
 
-METRIC_NAMES = ("accuracy", "precision", "recall", "f1")
-
-
 @query("risk_summary", _SQL_RESULT + sql_metrics("result", by="is_test"))
 def risk_summary(spark, folder):
     """Flagship: features, label, hash split, train-side scaling, variational score, metrics per side."""
-    return rounded(binary_metrics(exact_scores(spark, folder), "label", "prediction", by=["is_test"]), METRIC_NAMES)
+    return binary_metrics(exact_scores(spark, folder), "label", "prediction", by=["is_test"])

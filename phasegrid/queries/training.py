@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from phasegrid.operators.metrics import binary_metrics
 from phasegrid.plans import train as T
-from phasegrid.plans.model import loss_and_gradient, qubit_readout
+from phasegrid.plans.model import average_gradient, training_basis
 from phasegrid.plans.search import search_parameters
 from phasegrid.queries.registry import (
     FEATURES, LINE_KEY, SQL_SCALED, THETA, feature_columns, line_scaler, query, rounded, split_lines,
 )
-from phasegrid.queries.scoring import METRIC_NAMES
 from phasegrid.sources.catalog import Catalog, Dataset
 from phasegrid.sources.tables import table
 
@@ -34,9 +33,8 @@ def variational_loss_gradient(spark, folder):
     """One optimiser step: loss and gradient of the variational model from a single aggregate."""
     lines = split_lines(spark, folder)
     train = line_scaler(lines).apply(lines.where(~F.col("is_test")))
-    loss, gradient = loss_and_gradient(F.col("label"), qubit_readout(feature_columns(), THETA, "rotation", "ry"))
-    sums = train.agg(F.avg(loss).alias("loss"), *[F.avg(g).alias(f"g{i}") for i, g in enumerate(gradient)])
-    return rounded(sums, ["loss", "g0", "g1", "g2", "g3"])
+    basis = train.select("label", *[c.alias(n) for n, c in training_basis(feature_columns(), "rotation", "ry").items()])
+    return rounded(average_gradient(basis, THETA, "rotation", "ry"), ["loss", "g0", "g1", "g2", "g3"])
 
 
 def _prepared(spark, folder) -> T.Prepared:
@@ -52,14 +50,14 @@ def baseline_lr(spark, folder):
     model = T.fit_baseline(train, FEATURES, train.count())
     scaled.unpersist()
     scored = scaled.withColumn("p", model.probability()).withColumn("prediction", (F.col("p") > 0.5).cast("int"))
-    return rounded(binary_metrics(scored, "label", "prediction", "p", ["is_test"]), [*METRIC_NAMES, "log_loss"])
+    return rounded(binary_metrics(scored, "label", "prediction", "p", ["is_test"]), ["log_loss"])
 
 
 def _curve(spark, folder, optimizer: str, encoder: str, maxiter: int):
     prepared = _prepared(spark, folder)
-    scaled = prepared.scaler.apply(prepared.rows.where(~F.col("is_test"))).persist(StorageLevel.MEMORY_AND_DISK)
-    fit = T.fit_variational(prepared, scaled, encoder, "ry", optimizer, maxiter)
-    scaled.unpersist()
+    train = T.training_table(prepared, encoder, "ry").where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = T.fit_variational(prepared, train, encoder, "ry", optimizer, maxiter)
+    train.unpersist()
     rows = [(i, loss) for i, loss in enumerate(fit.losses)]
     return rounded(spark.createDataFrame(rows, "step int, loss double"), ["loss"])
 
