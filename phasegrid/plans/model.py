@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.functions.encoding import (
-    parity_probability, phase_features, rotation_weights, variational_z, weighted,
+    parity_probability, phase_features, rotation_weights, variational_z,
 )
 from phasegrid.functions.hashing import check_parameters, parameter_count
 from phasegrid.functions.readout import class_from_probability, confidence_band, risk_label
-from phasegrid.functions.values import product
 from phasegrid.operators.columns import cast_features
 from phasegrid.operators.scaling import Affine
 
@@ -68,14 +67,11 @@ def training_basis(features: Sequence[Column], encoder: str, rotation: str) -> d
     return out
 
 
-def step_terms(theta: Sequence[float], encoder: str, rotation: str) -> tuple[list[Column], list[list[Column]]]:
-    """Per qubit <Z_q> and its derivatives, over the columns of ``training_basis``."""
+def step_weights(theta: Sequence[float], encoder: str, rotation: str) -> list[list[tuple[float, float]]]:
+    """Weights of <Z_q> and its derivatives over the columns of ``training_basis``."""
     if encoder == "rotation":
-        weights = rotation_weights(theta, rotation)
-    else:
-        weights = [[(-math.sin(t), 0.0), (-math.cos(t), 0.0)] for t in theta]
-    readout = [[weighted(F.col(f"c{q}"), F.col(f"s{q}"), w) for w in ws] for q, ws in enumerate(weights)]
-    return [r[0] for r in readout], [r[1:] for r in readout]
+        return rotation_weights(theta, rotation)
+    return [[(-math.sin(t), 0.0), (-math.cos(t), 0.0)] for t in theta]
 
 
 @dataclass(frozen=True)
@@ -144,36 +140,44 @@ class LinearModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def step_loss(label: Column, p: Column) -> Column:
-    """Cross-entropy of a clipped probability column."""
-    return -F.log(F.when(label == 1, p).otherwise(1 - p))
+# A step is written as SQL text: the expressions are rebuilt with new numbers at every step, and one
+# parse is far cheaper than hundreds of Column calls.
+def _weighted_sql(q: int, weights: tuple[float, float]) -> str:
+    terms = [f"{name}{q} * {w!r}D" for name, w in zip("cs", weights) if w != 0.0]
+    return f"({' + '.join(terms)})" if terms else "0D"
 
 
-def clipped_parity(values: Sequence[Column]) -> Column:
-    return F.greatest(F.least(parity_probability(values), F.lit(1 - CLIP)), F.lit(CLIP))
+def _product_sql(factors: Sequence[str]) -> str:
+    return " * ".join(factors) if factors else "1D"
+
+
+def _parity_sql(values: Sequence[str]) -> str:
+    return f"greatest(least((1D - {_product_sql(values)}) * 0.5D, 1D - {CLIP!r}D), {CLIP!r}D)"
+
+
+def _loss_sql(p: str) -> str:
+    return f"avg(-ln(CASE WHEN label = 1 THEN {p} ELSE 1D - {p} END))"
 
 
 def average_losses(basis: DataFrame, candidates: Sequence[Sequence[float]], encoder: str, rotation: str) -> DataFrame:
     """One row (loss0, loss1, ..): mean loss of each parameter vector, from one aggregate."""
-    terms = [clipped_parity(step_terms(t, encoder, rotation)[0]).alias(f"p{i}") for i, t in enumerate(candidates)]
-    rows = basis.select("label", *terms)
-    return rows.agg(*[F.avg(step_loss(F.col("label"), F.col(f"p{i}"))).alias(f"loss{i}") for i in range(len(terms))])
+    probabilities = [
+        _parity_sql([_weighted_sql(q, w[0]) for q, w in enumerate(step_weights(t, encoder, rotation))]) for t in candidates
+    ]
+    rows = basis.selectExpr("label", *[f"{p} AS p{i}" for i, p in enumerate(probabilities)])
+    return rows.selectExpr(*[f"{_loss_sql(f'p{i}')} AS loss{i}" for i in range(len(candidates))])
 
 
 def average_gradient(basis: DataFrame, theta: Sequence[float], encoder: str, rotation: str) -> DataFrame:
     """One row (loss, g0, g1, ..): mean loss and its gradient, from one aggregate."""
-    values, slopes = step_terms(theta, encoder, rotation)
-    n = len(values)
-    moved = [(q, k, d) for q, own in enumerate(slopes) for k, d in enumerate(own)]
-    rows = basis.select("label", *[z.alias(f"z{q}") for q, z in enumerate(values)], *[d.alias(f"d{i}") for i, (_, _, d) in enumerate(moved)])
-    z = [F.col(f"z{q}") for q in range(n)]
-    rows = rows.withColumn("p", clipped_parity(z))
-    p, y = F.col("p"), F.col("label")
+    weights = step_weights(theta, encoder, rotation)
+    n = len(weights)
+    rows = basis.selectExpr("*", *[f"{_weighted_sql(q, w[0])} AS z{q}" for q, w in enumerate(weights)])
+    rows = rows.selectExpr("*", f"{_parity_sql([f'z{q}' for q in range(n)])} AS p")
     # d loss / d p, times the -1/2 of the parity probability
-    by_p = F.when(y == 1, F.lit(0.5) / p).otherwise(F.lit(-0.5) / (1 - p))
-    rows = rows.withColumn("w", by_p)
-    gradient = [
-        F.avg(F.col("w") * product([F.col(f"d{i}"), *[z[j] for j in range(n) if j != q]])).alias(f"g{i}")
-        for i, (q, _, _) in enumerate(moved)
+    by_p = "(CASE WHEN label = 1 THEN 0.5D / p ELSE -0.5D / (1D - p) END)"
+    slopes = [
+        _product_sql([by_p, _weighted_sql(q, d), *[f"z{j}" for j in range(n) if j != q]])
+        for q, w in enumerate(weights) for d in w[1:]
     ]
-    return rows.agg(F.avg(step_loss(y, p)).alias("loss"), *gradient)
+    return rows.selectExpr(f"{_loss_sql('p')} AS loss", *[f"avg({g}) AS g{i}" for i, g in enumerate(slopes)])
