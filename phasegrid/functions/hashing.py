@@ -1,8 +1,9 @@
 """Deterministic pseudo-random numbers from row keys.
 
-The recipe is engine-neutral: the first 8 hex digits of md5("<key>|<seed>") as an unsigned 32-bit
-integer. It depends on nothing but the key, so a row lands on the same side of a split however
-the table is partitioned, re-read or recomputed after an executor is lost.
+The recipe is engine-neutral: the first 8 hex digits of md5("<key>|<seed>"), read as an unsigned
+32-bit integer where a number is needed. It depends on nothing but the key, so a row lands on the
+same side of a split however the table is partitioned, re-read or recomputed after an executor is
+lost. Fixed-width hex text orders as the numbers do, so splits compare the text and never parse it.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ def row_key(columns: Sequence[str]) -> Column:
     return parts[0] if len(parts) == 1 else F.concat_ws("-", *parts)
 
 
-def hash32(key: Column, seed: int) -> Column:
-    digest = F.md5(F.concat_ws("|", key, F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+def hash_hex(key: Column, seed: int) -> Column:
+    """8 hex digits, uniform."""
+    return F.substring(F.md5(F.concat_ws("|", key, F.lit(str(seed)))), 1, 8)
 
 
-def hash_unit(key: Column, seed: int) -> Column:
-    """Uniform in [0, 1)."""
-    return hash32(key, seed) / F.lit(float(HASH_RANGE))
+def hash_below(key: Column, seed: int, share: float) -> Column:
+    """Whether the row's number in [0, 1) is below the share."""
+    limit = math.ceil(share * HASH_RANGE)
+    if limit >= HASH_RANGE:
+        return F.lit(True)
+    return hash_hex(key, seed) < F.lit(f"{max(limit, 0):08x}")
 
 
 def unit_from_text(text: str) -> float:

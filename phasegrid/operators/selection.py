@@ -60,16 +60,16 @@ def exact_median(df: DataFrame, column: str) -> float | None:
 class HashCut:
     """The lowest rows of one group: hash below ``hash``, or equal to it with a key up to ``key``."""
 
-    hash: int
+    hash: str
     key: str | None = None  # None: every key at the cut hash belongs
 
 
 def lowest_cuts(df: DataFrame, group: str, hash_column: str, key: str, wanted: dict) -> dict:
     """Per group value, the cut that takes exactly its ``wanted`` lowest rows by (hash, key).
 
-    ``hash_column`` is a 32-bit unsigned number. The first pass counts its upper half, the second
-    the lower half inside the one bucket that holds the cut; only where several keys share the cut
-    hash does a third pass count those keys. Equal keys stay on one side of the cut.
+    ``hash_column`` holds 8 hex digits. The first pass counts rows by the upper four (65,536 buckets
+    at most), the second by the lower four inside the one bucket that holds the cut; only where
+    several keys share the cut hash does a third pass count those keys. Equal keys stay on one side.
     """
     wanted = {g: k for g, k in wanted.items() if k > 0}
     if not wanted:
@@ -79,12 +79,12 @@ def lowest_cuts(df: DataFrame, group: str, hash_column: str, key: str, wanted: d
     rows = df.select(F.col(group).alias("g"), F.col(hash_column).alias("h"), F.col(key).alias("k"))
     rows = rows.where(F.col("g").isin(*wanted))
 
-    high = F.shiftright("h", 16)
+    high = F.substring("h", 1, 4)
     upper = _cut_bucket(rows, high, wanted)
     left = {g: wanted[g] - before for g, (_, before, _) in upper.items()}
-    low = F.col("h").bitwiseAND(0xFFFF)
+    low = F.substring("h", 5, 4)
     lower = _cut_bucket(rows.where(_at(upper, high)), low, left)
-    cuts = {g: HashCut((upper[g][0] << 16) | b) for g, (b, _, _) in lower.items()}
+    cuts = {g: HashCut(upper[g][0] + b) for g, (b, _, _) in lower.items()}
 
     tied = {g: left[g] - before for g, (_, before, n) in lower.items() if before + n > left[g]}
     if tied:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.functions.hashing import hash32, hash_unit, row_key
+from phasegrid.functions.hashing import hash_below, hash_hex, row_key
 from phasegrid.operators.selection import MAX_GROUPS, below_cut, lowest_cuts
 
 KEY, HASH, GROUP = "__key", "__hash", "__group"
@@ -16,11 +16,11 @@ KEY, HASH, GROUP = "__key", "__hash", "__group"
 
 def hash_split(df: DataFrame, key: Sequence[str], test_size: float = 0.25, seed: int = 42) -> DataFrame:
     """Add ``is_test`` by hash threshold: a projection, each class split at the same share in expectation."""
-    return df.withColumn("is_test", hash_unit(row_key(key), seed) < test_size)
+    return df.withColumn("is_test", hash_below(row_key(key), seed, test_size))
 
 
 def _hashed(df: DataFrame, key: Sequence[str], seed: int, group) -> DataFrame:
-    return df.withColumn(KEY, row_key(key)).withColumns({HASH: hash32(F.col(KEY), seed), GROUP: group})
+    return df.withColumn(KEY, row_key(key)).withColumns({HASH: hash_hex(F.col(KEY), seed), GROUP: group})
 
 
 def _group_sizes(df: DataFrame, label: str) -> dict:

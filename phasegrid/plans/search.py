@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -15,7 +16,9 @@ from phasegrid.functions.hashing import draw_parameters, parameter_count
 from phasegrid.functions.readout import argmax
 from phasegrid.operators.scaling import fit_angle_scale
 from phasegrid.operators.splitting import hash_split
+from phasegrid.plans.train import spread
 
+PARALLEL_FITS = 4
 SEARCH_SCHEMA = (
     "trial int, accuracy double, theta array<double>, is_best boolean, n_test bigint, n_qubits int, ansatz string"
 )
@@ -45,24 +48,27 @@ def search_parameters(
     used = used_features(list(features), most_qubits)
     split = hash_split(df, key, test_size, seed)
     angles = fit_angle_scale(split.where(~F.col("is_test")), used).apply(split)
-    rows = angles.select(*used, F.col(label).cast("int").alias("label"), "is_test").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(angles.select(*used, F.col(label).cast("int").alias("label"), "is_test")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = rows.where(~F.col("is_test"))
         n_train = train.count()
         x = [F.col(c) for c in used]
-        draws, predictions = [], []
-        for trial in range(trials):
-            theta = draw_parameters(parameter_count(len(used), 1, ansatz), seed, trial)
+        draws = [draw_parameters(parameter_count(len(used), 1, ansatz), seed, t) for t in range(trials)]
+
+        def classify(theta: list[float]) -> Column:
             z = variational_z(x, theta, ansatz)
             names = [f"z{q}" for q in range(len(z))]
-            table = train.select("label", *[c.alias(n) for c, n in zip(z, names)])
+            table = train.select("label", *[c.alias(n) for n, c in zip(names, z)])
             estimator = LogisticRegression(
                 featuresCol="__z", labelCol="label", maxIter=max_iter, regParam=1.0 / max(n_train, 1),
                 elasticNetParam=0.0, standardization=False, family="multinomial",
             )
             fitted = estimator.fit(VectorAssembler(inputCols=names, outputCol="__z").transform(table))
-            draws.append(theta)
-            predictions.append(argmax(_class_scores(fitted, z)))
+            return argmax(_class_scores(fitted, z))
+
+        # a few fits at a time: each keeps its own blocks in memory while it runs
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            predictions = list(pool.map(classify, draws))
         y = F.col("label")
         hits = rows.where("is_test").agg(
             F.count(F.lit(1)).alias("n"), *[F.count_if(p == y).alias(f"t{i}") for i, p in enumerate(predictions)]

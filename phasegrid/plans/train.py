@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,11 +121,17 @@ class Fit:
     losses: list[float] = field(default_factory=list)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Over all cores, when the source came in fewer partitions; a large table keeps its own."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def training_table(prepared: Prepared, encoder: str, circuit: str) -> DataFrame:
     """Scaled features, label, is_test and the basis columns of the model; the table training caches."""
     encoder = component(ENCODERS, encoder, "angle")
     rotation = CIRCUIT_ROTATION[component(CIRCUITS, circuit, "realamplitudes")]
-    scaled = prepared.scaler.apply(prepared.rows)
+    scaled = spread(prepared.scaler.apply(prepared.rows))
     return scaled.withColumns(training_basis([F.col(c) for c in prepared.features], encoder, rotation))
 
 
@@ -277,10 +284,14 @@ def run_batch(spark: SparkSession, specs: list[dict], catalog: Catalog) -> DataF
     if not 2 <= len(specs) <= 4:
         raise ValueError(f"{len(specs)} specs given, two to four are compared at a time")
     width = len(StructType.fromDDL(RUN_SCHEMA))
-    rows = []
-    for i, spec in enumerate(specs):
+
+    def one(i: int) -> tuple:
         try:
-            rows.append(train_run(spark, spec, catalog, f"run-{i}").record)
+            return train_run(spark, specs[i], catalog, f"run-{i}").record
         except Exception as error:  # noqa: BLE001 - any failure of one spec is that spec's result
-            rows.append((f"run-{i}", spec_label(spec), "error", str(error).splitlines()[0], *[None] * (width - 4)))
+            return (f"run-{i}", spec_label(specs[i]), "error", str(error).splitlines()[0], *[None] * (width - 4))
+
+    # independent Spark jobs: the short stages of one run fill the cores another leaves idle
+    with ThreadPoolExecutor(len(specs)) as pool:
+        rows = list(pool.map(one, range(len(specs))))
     return spark.createDataFrame(rows, RUN_SCHEMA)

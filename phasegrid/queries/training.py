@@ -45,10 +45,10 @@ def _prepared(spark, folder) -> T.Prepared:
 def baseline_lr(spark, folder):
     """Logistic-regression baseline, metrics per side of the split."""
     prepared = _prepared(spark, folder)
-    scaled = prepared.scaler.apply(prepared.rows).persist(StorageLevel.MEMORY_AND_DISK)
-    train = scaled.where(~F.col("is_test"))
+    scaled = prepared.scaler.apply(prepared.rows)
+    train = T.spread(scaled.where(~F.col("is_test"))).persist(StorageLevel.MEMORY_AND_DISK)
     model = T.fit_baseline(train, FEATURES, train.count())
-    scaled.unpersist()
+    train.unpersist()
     scored = scaled.withColumn("p", model.probability()).withColumn("prediction", (F.col("p") > 0.5).cast("int"))
     return rounded(binary_metrics(scored, "label", "prediction", "p", ["is_test"]), ["log_loss"])
 
