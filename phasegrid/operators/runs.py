@@ -42,17 +42,19 @@ def compare_runs(runs: DataFrame) -> DataFrame:
         "run_id",
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("accuracy", "f1", "roc_auc", "baseline_accuracy")],
     )
+    bounds = chunk_bounds(filled, "accuracy")
     by_value = filled.groupBy("accuracy").agg(F.count(F.lit(1)).alias("n"))
-    chunked = with_chunk(by_value, "accuracy", chunk_bounds(filled, "accuracy"))
+    chunked = with_chunk(by_value, "accuracy", bounds)
     above = Window.partitionBy("chunk").orderBy(F.desc("accuracy")).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per chunk, a fixed upper bound: small enough to broadcast
-    chunks = chunked.groupBy("chunk").agg(F.sum("n").alias("n")).select(
-        "chunk", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("n_above")
-    )
-    ranks = chunked.withColumn("n_higher", F.coalesce(F.sum("n").over(above), F.lit(0))).join(
-        F.broadcast(chunks), "chunk"
-    ).select("accuracy", (F.col("n_above") + F.col("n_higher") + 1).alias("accuracy_rank"))
+    ranks = chunked.withColumn("higher", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    if bounds:
+        # one row per chunk, at most len(bounds) + 1 of them: small enough to broadcast
+        later = Window.partitionBy(F.lit(0)).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = chunked.groupBy("chunk").agg(F.sum("n").alias("n")).select(
+            "chunk", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("offset")
+        )
+        ranks = ranks.join(F.broadcast(offsets), "chunk").withColumn("higher", F.col("higher") + F.col("offset"))
+    ranks = ranks.select("accuracy", (F.col("higher") + 1).alias("accuracy_rank"))
     return filled.join(ranks, "accuracy").select(
         "run_id", "accuracy", "f1", "roc_auc", "baseline_accuracy",
         (F.col("accuracy") - F.col("baseline_accuracy")).alias("gain"), "accuracy_rank",

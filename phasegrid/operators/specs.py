@@ -21,6 +21,7 @@ def spec_rules() -> dict[str, Column]:
         "no_layers": F.col("layers") < 1,
         "unknown_ansatz": ~F.col("ansatz").isin(*ROTATIONS),
         "unknown_entanglement": ~F.col("entanglement").isin(*ENTANGLEMENTS),
+        "unknown_encoder": ~F.col("encoder").isin(*ENCODINGS, "iqp", "rotation"),
     }
 
 

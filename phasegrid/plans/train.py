@@ -32,6 +32,7 @@ from phasegrid.plans.model import (
     CIRCUIT_ROTATION, LinearModel, VariationalModel, average_gradient, average_losses, training_basis,
 )
 from phasegrid.sources.catalog import CIRCUITS, ENCODERS, OPTIMIZERS, Catalog, component
+from phasegrid.sources.store import save_model
 
 # Optimisers that run under another name; the record keeps both names.
 RUNS_AS = {"cobyla": "spsa", "slsqp": "adam", "lbfgsb": "adam", "l_bfgs_b": "adam"}
@@ -173,7 +174,7 @@ def pad_losses(losses: Sequence[float], requested: int) -> list[float]:
 
 
 RUN_SCHEMA = """
-    run_id string, run_label string, status string, error string,
+    run_id string, run_label string, status string, error string, model_path string,
     encoder string, circuit string, optimizer string, optimizer_used string,
     n_qubits int, n_train bigint, n_test bigint, epochs int, seconds double,
     train_accuracy double, accuracy double, precision double, recall double, f1 double, roc_auc double,
@@ -237,8 +238,13 @@ def spec_label(spec: dict) -> str:
     ])
 
 
-def train_run(spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "run-1") -> TrainedRun:
-    """One training run from a spec {dataset, encoder, circuit, optimizer} to model and record."""
+def train_run(
+    spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "run-1", model_folder: str | None = None
+) -> TrainedRun:
+    """One training run from a spec {dataset, encoder, circuit, optimizer} to model and record.
+
+    With a ``model_folder`` (shared storage) the model is saved there under the run id.
+    """
     began = time.monotonic()
     data = spec.get("dataset") or {}
     if not data:
@@ -265,10 +271,13 @@ def train_run(spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "
         e = evaluate(scaled, fit.model, baseline)
     finally:
         scaled.unpersist()
+    path = None if model_folder is None else f"{model_folder.rstrip('/')}/{run_id}"
+    if path is not None:
+        save_model(spark, fit.model, path)
     curve = pad_losses(fit.losses, maxiter)
     test, base = e["test"], e["test_base"]
     record = (
-        run_id, spec_label(spec), "ok", None, encoder, circuit_name, optimizer, RUNS_AS.get(optimizer, optimizer),
+        run_id, spec_label(spec), "ok", None, path, encoder, circuit_name, optimizer, RUNS_AS.get(optimizer, optimizer),
         len(features), e["n_train"], e["n_test"], len(curve), round(time.monotonic() - began, 2),
         e["train"]["accuracy"], test["accuracy"], test["precision"], test["recall"], test["f1"], e["auc"],
         test["confusion"], curve, len(fit.losses),
@@ -279,7 +288,7 @@ def train_run(spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "
     return TrainedRun(fit.model, baseline, record)
 
 
-def run_batch(spark: SparkSession, specs: list[dict], catalog: Catalog) -> DataFrame:
+def run_batch(spark: SparkSession, specs: list[dict], catalog: Catalog, model_folder: str | None = None) -> DataFrame:
     """Two to four specs side by side; a spec that fails gives an error row, the others go on."""
     if not 2 <= len(specs) <= 4:
         raise ValueError(f"{len(specs)} specs given, two to four are compared at a time")
@@ -287,7 +296,7 @@ def run_batch(spark: SparkSession, specs: list[dict], catalog: Catalog) -> DataF
 
     def one(i: int) -> tuple:
         try:
-            return train_run(spark, specs[i], catalog, f"run-{i}").record
+            return train_run(spark, specs[i], catalog, f"run-{i}", model_folder).record
         except Exception as error:  # noqa: BLE001 - any failure of one spec is that spec's result
             return (f"run-{i}", spec_label(specs[i]), "error", str(error).splitlines()[0], *[None] * (width - 4))
 

@@ -17,7 +17,7 @@ CASE WHEN event_type = 'error' THEN concat(
 ELSE concat('{"version":"0.1","nodes":[', concat_ws(',',
   CASE WHEN k % 7 <> 0 THEN concat('{"id":1,"type":"dataset","name":"Dataset","params":{"path":"', CASE WHEN k % 6 = 0 THEN '' ELSE concat('data/', event_type, '.csv') END,
     '","label":"', CASE WHEN k % 3 = 0 THEN '' ELSE 'risk_flag' END, '","features":"', CASE WHEN k % 5 = 0 THEN '' ELSE 'value, hour,, weekday ' END, '"}}') END,
-  CASE WHEN k % 4 <> 1 THEN concat('{"id":2,"type":"encoder","name":"Encoder","params":{"type":"', CASE WHEN k % 3 = 1 THEN 'basis' ELSE 'angle' END, '"}}') END,
+  CASE WHEN k % 4 <> 1 THEN concat('{"id":2,"type":"encoder","name":"Encoder","params":{"type":"', CASE WHEN k % 13 = 0 THEN 'fourier' WHEN k % 3 = 1 THEN 'basis' ELSE 'angle' END, '"}}') END,
   CASE WHEN k % 2 = 0 THEN '{"id":6,"type":"encoder","name":"Encoder","params":{"type":"iqp"}}' END,
   CASE WHEN k % 5 <> 2 THEN concat('{"id":3,"type":"circuit","name":"Circuit","params":{"type":"ry","num_qubits":"', k % 4, '","reps":"', 1 + k % 3,
     '","ansatz":"', CASE WHEN k % 11 = 0 THEN 'star' ELSE 'rx' END, '","layers":"', k % 3, '"}}') END,
@@ -75,7 +75,8 @@ def spec_flatten(spark, folder):
 @query("spec_rules", _SQL_DOCS + """
 SELECT event_id, concat_ws(',', CASE WHEN dataset_path IS NULL THEN 'no_path' END, CASE WHEN label_column = '' THEN 'no_label' END,
   CASE WHEN len(features) = 0 THEN 'no_features' END, CASE WHEN layers < 1 THEN 'no_layers' END,
-  CASE WHEN ansatz NOT IN ('ry', 'rz', 'rx', 'rxyz') THEN 'unknown_ansatz' END) AS broken FROM settings""")
+  CASE WHEN ansatz NOT IN ('ry', 'rz', 'rx', 'rxyz') THEN 'unknown_ansatz' END,
+  CASE WHEN encoder = 'fourier' THEN 'unknown_encoder' END) AS broken FROM settings""")
 def spec_rules(spark, folder):
     flat = D.flatten_documents(parsed(spark, folder))
     return flat.select("event_id", F.array_join(broken_rules(), ",").alias("broken"))

@@ -56,7 +56,7 @@ def _categorical(spark, folder, operator):
 
 
 @query("profile_categorical", f"""
-SELECT column_name, value_rank, value, n FROM (
+SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value, n FROM (
   SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS value_rank
   FROM ({_SQL_VALUES}) v WHERE value IS NOT NULL) r
 WHERE value_rank <= 5""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phasegrid.plans import train as T
 from phasegrid.plans.search import search_parameters
 from phasegrid.sources.catalog import Catalog, Dataset
+from phasegrid.sources.store import load_model
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +78,8 @@ def write(rows, tmp_path):
 def test_run_record(spark, rows, tmp_path):
     catalog, _ = write(rows, tmp_path)
     spec = {"dataset": {"name": "rows", "exact_split": True, "key_columns": ["key"]}, "encoder": {"type": "rotation"}, "optimizer": {"type": "adam", "maxiter": 5}}
-    run = T.train_run(spark, spec, catalog)
+    run = T.train_run(spark, spec, catalog, "r7", str(tmp_path / "models"))
+    assert load_model(spark, str(tmp_path / "models" / "r7")) == run.model
     r = spark.createDataFrame([run.record], T.RUN_SCHEMA).first()
     assert r["n_train"] + r["n_test"] == 1200 and abs(r["n_test"] - 300) <= 1
     assert r["dataset"]["feature_columns"] == ["a", "b", "c"] and r["n_qubits"] == 3
