@@ -37,6 +37,15 @@ def hash_below(key: Column, seed: int, share: float) -> Column:
     return hash_hex(key, seed) < F.lit(f"{max(limit, 0):08x}")
 
 
+def fast_below(columns: Sequence[str], seed: int, share: float) -> Column:
+    """The same decision from Spark's own 64-bit hash: no text is built, about ten times cheaper per row.
+
+    As stable as ``hash_below``, but other engines cannot repeat it.
+    """
+    upper = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), 32)
+    return upper < F.lit(math.ceil(share * HASH_RANGE))
+
+
 def unit_from_text(text: str) -> float:
     """The same recipe on the driver, for vectors of model-parameter size."""
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / HASH_RANGE

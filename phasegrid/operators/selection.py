@@ -67,9 +67,9 @@ class HashCut:
 def lowest_cuts(df: DataFrame, group: str, hash_column: str, key: str, wanted: dict) -> dict:
     """Per group value, the cut that takes exactly its ``wanted`` lowest rows by (hash, key).
 
-    ``hash_column`` holds 8 hex digits. The first pass counts rows by the upper four (65,536 buckets
-    at most), the second by the lower four inside the one bucket that holds the cut; only where
-    several keys share the cut hash does a third pass count those keys. Equal keys stay on one side.
+    ``hash_column`` holds 8 hex digits. The first pass counts rows by the upper three (4,096 buckets,
+    so that a task sends little), the second by the lower five inside the one bucket that holds the
+    cut; only where several keys share the cut hash does a third pass count those keys. Equal keys stay on one side.
     """
     wanted = {g: k for g, k in wanted.items() if k > 0}
     if not wanted:
@@ -79,10 +79,10 @@ def lowest_cuts(df: DataFrame, group: str, hash_column: str, key: str, wanted: d
     rows = df.select(F.col(group).alias("g"), F.col(hash_column).alias("h"), F.col(key).alias("k"))
     rows = rows.where(F.col("g").isin(*wanted))
 
-    high = F.substring("h", 1, 4)
+    high = F.substring("h", 1, 3)
     upper = _cut_bucket(rows, high, wanted)
     left = {g: wanted[g] - before for g, (_, before, _) in upper.items()}
-    low = F.substring("h", 5, 4)
+    low = F.substring("h", 4, 5)
     lower = _cut_bucket(rows.where(_at(upper, high)), low, left)
     cuts = {g: HashCut(upper[g][0] + b) for g, (b, _, _) in lower.items()}
 

@@ -8,15 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.functions.hashing import hash_below, hash_hex, row_key
+from phasegrid.functions.hashing import fast_below, hash_below, hash_hex, row_key
 from phasegrid.operators.selection import MAX_GROUPS, below_cut, lowest_cuts
 
 KEY, HASH, GROUP = "__key", "__hash", "__group"
 
 
-def hash_split(df: DataFrame, key: Sequence[str], test_size: float = 0.25, seed: int = 42) -> DataFrame:
-    """Add ``is_test`` by hash threshold: a projection, each class split at the same share in expectation."""
-    return df.withColumn("is_test", hash_below(row_key(key), seed, test_size))
+def hash_split(
+    df: DataFrame, key: Sequence[str], test_size: float = 0.25, seed: int = 42, method: str = "md5"
+) -> DataFrame:
+    """Add ``is_test`` by hash threshold: a projection, each class split at the same share in expectation.
+
+    ``md5`` can be repeated in any engine, ``xxhash64`` costs a tenth.
+    """
+    if method not in ("md5", "xxhash64"):
+        raise ValueError(f"method is {method!r}, not 'md5' or 'xxhash64'")
+    below = fast_below(key, seed, test_size) if method == "xxhash64" else hash_below(row_key(key), seed, test_size)
+    return df.withColumn("is_test", below)
 
 
 def _hashed(df: DataFrame, key: Sequence[str], seed: int, group) -> DataFrame:

@@ -46,7 +46,7 @@ def search_parameters(
     """
     spark = df.sparkSession
     used = used_features(list(features), most_qubits)
-    split = hash_split(df, key, test_size, seed)
+    split = hash_split(df, key, test_size, seed, "xxhash64")
     angles = fit_angle_scale(split.where(~F.col("is_test")), used).apply(split)
     rows = spread(angles.select(*used, F.col(label).cast("int").alias("label"), "is_test")).persist(StorageLevel.MEMORY_AND_DISK)
     try:

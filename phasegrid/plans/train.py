@@ -53,7 +53,7 @@ class Prepared:
 
 def prepare(
     df: DataFrame, features: Sequence[str], label: str, key: Sequence[str] | None = None,
-    test_size: float = 0.25, seed: int = 42, exact: bool = False,
+    test_size: float = 0.25, seed: int = 42, exact: bool = False, method: str = "xxhash64",
 ) -> Prepared:
     """Label rule on the whole column, hash split by key, scaler fitted on the train side only.
 
@@ -66,7 +66,7 @@ def prepare(
     if exact:
         split = exact_split(labelled, key, "__label", test_size, seed)
     else:
-        split = hash_split(labelled, key, test_size, seed)
+        split = hash_split(labelled, key, test_size, seed, method)
     kept = cast_features(split, features).select(*features, F.col("__label").alias("label"), "is_test")
     scaler = fit_standard(kept.where(~F.col("is_test")), features)
     return Prepared(kept, scaler, label)
@@ -262,6 +262,7 @@ def train_run(
     prepared = prepare(
         catalog.load(spark, dataset), features, dataset.label_column, data.get("key_columns"),
         float(data.get("test_size", 0.25)), seed, bool(data.get("exact_split", False)),
+        data.get("split_hash", "xxhash64"),
     )
     scaled = training_table(prepared, encoder, circuit_name).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -46,7 +46,7 @@ def baseline_lr(spark, folder):
     """Logistic-regression baseline, metrics per side of the split."""
     prepared = _prepared(spark, folder)
     scaled = prepared.scaler.apply(prepared.rows)
-    train = T.spread(scaled.where(~F.col("is_test"))).persist(StorageLevel.MEMORY_AND_DISK)
+    train = T.spread(scaled.where(~F.col("is_test")).drop("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
     model = T.fit_baseline(train, FEATURES, train.count())
     train.unpersist()
     scored = scaled.withColumn("p", model.probability()).withColumn("prediction", (F.col("p") > 0.5).cast("int"))
@@ -55,7 +55,8 @@ def baseline_lr(spark, folder):
 
 def _curve(spark, folder, optimizer: str, encoder: str, maxiter: int):
     prepared = _prepared(spark, folder)
-    train = T.training_table(prepared, encoder, "ry").where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    # the split column is dropped with the filter, so each key is hashed once
+    train = T.training_table(prepared, encoder, "ry").where(~F.col("is_test")).drop("is_test").persist(StorageLevel.MEMORY_AND_DISK)
     fit = T.fit_variational(prepared, train, encoder, "ry", optimizer, maxiter)
     train.unpersist()
     rows = [(i, loss) for i, loss in enumerate(fit.losses)]

@@ -129,3 +129,13 @@ def test_rank_of_runs(spark, monkeypatch):
     runs = spark.createDataFrame(rows, "run_id int, accuracy double, f1 double, roc_auc double, baseline_accuracy double")
     got = {r["run_id"]: r["accuracy_rank"] for r in R.compare_runs(runs).collect()}
     assert got == {i: 1 + sum(o[1] > a for o in rows) for i, a, *_ in rows}
+
+
+def test_fast_split_is_stable_and_close_to_the_share(spark):
+    df = keyed(spark, 4000)
+    first = X.hash_split(df, ["key"], 0.3, 7, "xxhash64").select("key", "is_test")
+    again = X.hash_split(df.repartition(5), ["key"], 0.3, 7, "xxhash64").select("key", "is_test")
+    assert first.exceptAll(again).isEmpty() and 0.27 < first.where("is_test").count() / 4000 < 0.33
+    assert X.hash_split(df, ["key"], 1.0, 7, "xxhash64").where("NOT is_test").isEmpty()
+    with pytest.raises(ValueError):
+        X.hash_split(df, ["key"], 0.3, 7, "sha")
