@@ -16,11 +16,13 @@ from phasegrid.llm.graph import components
 
 SHINGLE = 5
 SHARE = 75
-#: 24 bands of 3 bins: a pair at similarity 0.75 shares no bucket with probability 2e-6.
-BANDS, ROWS = 24, 3
+#: 32 bands of 3 bins: a pair at similarity 0.75 shares no bucket with probability 2e-8.
+BANDS, ROWS = 32, 3
 BINS = BANDS * ROWS
 #: Bins of two sketches that have to agree before texts are compared: five deviations below 0.75.
-LEAST_AGREEING = 36
+LEAST_AGREEING = 50
+#: Stars of a bucket besides those of its smallest and largest id.
+HASHED_STARS = 2
 PROBES = 1024
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -146,8 +148,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     and stand alone; a null id stands alone, with a null component, and is kept; rows that repeat an id are one node.
 
     Equal sets meet first and go on as one. A bucket makes stars only: every member with the bucket's smallest and its
-    largest id. Buckets that still hold several components make further stars, each from another member chosen by chance
-    to those of other components, until a turn brings no new pair with sketches close enough to compare.
+    largest id and with two members chosen by hash, so that pairs stay in proportion to members.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, key, text)
@@ -160,23 +161,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marks = units.select("rep", "marks").dropDuplicates(["rep"])
 
     placed = units.select("rep", F.explode("bands").alias("bucket"))
-    centres = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    placed = stored(placed.join(centres, "bucket").distinct(), "buckets")
-    pairs = placed.select(F.explode(F.array("low", "high")).alias("c"), "rep").where("c <> rep")
+    by_hash = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HASHED_STARS)]
+    centres = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.array_distinct(F.array(F.min("rep"), F.max("rep"), *by_hash)).alias("centres"))
+    pairs = placed.join(centres.where("low < high").select("bucket", "centres"), "bucket").select(F.explode("centres").alias("c"), "rep").where("c <> rep")
     pairs = pairs.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
     close = stored(sketch_filter(pairs, marks), "pairs")
-    tested, links = close, stored(confirmed(close, docs), "links")
     release(spark)
-    turn = 0
-    while True:
-        labels = components(links)
-        turn += 1
-        more = _further_stars(placed.select("bucket", "rep"), labels, tested, turn)
-        close = stored(sketch_filter(more, marks), "pairs")
-        if close.isEmpty():
-            break
-        tested, links = tested.unionByName(close), links.unionByName(stored(confirmed(close, docs), "links"))
-        release(spark)
+    links = stored(confirmed(close, docs), "links")
+    release(spark)
     labels = components(links.unionByName(copies))
     return (
         made.select("doc_id", "n_shingles")
@@ -185,15 +177,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
 
-
-def _further_stars(placed: DataFrame, labels: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """New pairs (a, b): in buckets of several components, a member with those of other components."""
-    member = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_ = member.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("c"),
-    ).where("low < high").select("bucket", "c")
-    own = member.select("bucket", F.col("rep").alias("c"), F.col("component").alias("own"))
-    star = member.join(mixed_.join(own, ["bucket", "c"]), "bucket").where("component <> own")
-    pairs = star.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")

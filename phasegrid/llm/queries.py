@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import bpe, language, licenses, neardup, secrets, tokens, urls
+from phasegrid.llm import bpe, covertree, decontaminate, language, licenses, neardup, phrases, secrets, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -55,6 +65,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_cover_tree_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_pairs(table(spark, folder, "embeddings"))
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))

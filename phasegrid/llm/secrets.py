@@ -79,6 +79,15 @@ def entropy_spans(text: str, allowed: list[re.Pattern]) -> list[tuple[int, int,
     return spans
 
 
+def spans_of(text: str, allowed: list[re.Pattern]) -> list[tuple[int, int, int]]:
+    """All spans of a text: (start, kind, end) in their order."""
+    return sorted(base_spans(text) + entropy_spans(text, allowed))
+
+
+def compiled(allowed: tuple[str, ...] = ALLOWED) -> list[re.Pattern]:
+    return [re.compile(p) for p in allowed]
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -89,7 +98,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, key: str =
     Offsets are code points, ends exclusive. Null and empty texts hold nothing (empty strings, counts 0); repeated rows
     are scanned alike; a null id stays null. One narrow stage over whole texts.
     """
-    skip = [re.compile(p) for p in allowed]
+    skip = compiled(allowed)
 
     def run(ids, texts):
         out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")} | {"doc_id": ids}
