@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import arrow_schema, id_and_text, map_texts, slices
+from phasegrid.llm.common import SLICE_ROWS, arrow_schema, id_and_text, map_texts, slices
 
 GRAMS = (2, 3)
 BUCKETS = 1 << 15
@@ -112,6 +112,9 @@ def fit(docs: DataFrame, label: str = "lang", use: Column | None = None, text: s
 
 def score_texts(texts: list[str | None], languages: list[str], prior: np.ndarray, matrix: np.ndarray) -> tuple[list[str], list[float]]:
     """Best language of each text and its posterior probability; ``und`` and 0 for texts without a letter."""
+    if len(texts) > SLICE_ROWS:
+        parts = [score_texts(texts[i : i + SLICE_ROWS], languages, prior, matrix) for i in range(0, len(texts), SLICE_ROWS)]
+        return [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
     found, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if has_letter(t)] if languages else []
     if not known:
