@@ -37,7 +37,7 @@ class SpanHashes:
         if inverse is None or len(inverse) < len(kept):
             inverse = self.rising[-base] = powers(pow(base, -1, 1 << 64), len(kept))
         self.inverse = inverse
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words) * kept[: len(words)], dtype=np.uint64)])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * kept[: len(words)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         value = (self.sums[end] - self.sums[start]) * self.inverse[start]
