@@ -126,7 +126,8 @@ def recurring_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = anchor_rows(docs)
-    again = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # stored, so that both sides of the join are shuffled for it and a hot anchor's rows can be split
+    again = stored(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "again")
     rows = stored(rows.join(again, "fp"), "anchors")
     release(spark)
     later, first = later_than_first(rows, ["fp", "extent"])
