@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ class Encoder:
     """
 
     def __init__(self, definition: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -61,11 +63,16 @@ class Encoder:
             if len(known) + len(new) > WORD_ENTRIES:
                 known.clear()
                 new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
+            for word, e in self.encode_new(new):
                 known[word] = (len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens))
         found = [x for x in map(known.__getitem__, words) if x[0]]
         return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
+    def encode_new(self, words: list[bytes]):
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            yield from zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False))
+
     def encode_chunk(self, chunk: bytes) -> tuple | None:
         """(open head, encoding of the middle, open tail); None for a chunk without white space."""
         if chunk in self.chunks:
