@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from phasegrid.llm.common import arrow_schema, id_and_text, slices, tokenizer_text
 
 #: A block of documents closes at so many distinct pre-tokens, which bounds the memory of a task and of a group.
-BLOCK_PRETOKENS = 150_000
+BLOCK_PRETOKENS = 600_000
 TOKEN_LIMIT = 1024
+ENCODE_AT_ONCE = 2000
 #: Texts of these characters alone split alike in Python's engine and in the tokenizer's.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
@@ -26,6 +28,7 @@ class Splitter:
     """Pre-tokens of a byte-level BPE tokenizer; strings of special tokens become pre-tokens of their own."""
 
     def __init__(self, definition: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -48,27 +51,34 @@ class Splitter:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def pieces(self, pretokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]
+        out: list[int] = []
+        for i in range(0, len(pretokens), ENCODE_AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(pretokens[i : i + ENCODE_AT_ONCE], add_special_tokens=False)
+            out += [len(e.ids) for e in found]
+        return out
 
 
 def packed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    """32-bit numbers, their bytes sorted by rank, which compress well."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def unpacked(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+def unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32)[:, 0].astype(np.int64)
 
 
-BLOCK_SCHEMA = "block long, place int, pretoken string, doc_id long, n_bytes long, places binary, counts binary"
-COUNT_SCHEMA = "block long, place int, n int, doc_id long, n_bytes long, places binary, counts binary"
+DOC_COLUMNS = "doc_ids binary, has_id binary, n_bytes binary, distinct binary, places binary, counts binary"
+BLOCK_SCHEMA = f"block long, place int, pretoken string, {DOC_COLUMNS}"
+COUNT_SCHEMA = f"block long, place int, n int, {DOC_COLUMNS}"
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text, without a list of ids anywhere.
 
-    A task cuts its documents into blocks. A block gives one row for each distinct pre-token, and one for each document
-    with its frequencies as places in that list. Pre-tokens meet by their text, each is encoded once for all blocks, and
-    the counts go back to the block, where they are summed over the frequencies. A frequent pre-token has one row for
+    A task cuts its documents into blocks. A block gives one row for each distinct pre-token, and rows with
+    the frequencies of up to 128 documents as places in that list. Pre-tokens meet by their text, each is encoded once for
+    all blocks, and the counts go back to the block, where they are summed over the frequencies. A frequent pre-token has one row for
     each block, never one for each document. A null text counts as empty (0 bytes, 0 tokens); repeated rows are counted
     each; a null id stays null.
     """
@@ -88,19 +98,23 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key:
             return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in target], schema=target)
 
         for part in slices(batches):
-            rows: list[tuple] = []
-            for doc, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                seen = Counter(split(value or ""))
+            texts = [value or "" for value in part.column(1).to_pylist()]
+            places, counts = [], []
+            for value in texts:
+                seen = Counter(split(value))
                 for pretoken in seen:
                     known.setdefault(pretoken, len(known))
-                places = np.fromiter(map(known.__getitem__, seen), np.int32, len(seen))
-                order = np.argsort(places, kind="stable")
-                counts = np.fromiter(seen.values(), np.int64, len(seen))[order]
-                steps = np.diff(places[order], prepend=np.int32(0)).astype(np.int32)
-                rows.append((doc, len((value or "").encode()), packed(steps), packed(counts)))
-            doc, size, places, counts = map(list, zip(*rows))
-            columns = {"block": [block] * len(doc), "doc_id": doc, "n_bytes": size, "places": places, "counts": counts}
-            yield pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(doc)), f.type) for f in target], schema=target)
+                place = np.fromiter(map(known.__getitem__, seen), np.int64, len(seen))
+                order = np.argsort(place, kind="stable")
+                places.append(np.diff(place[order], prepend=0))
+                counts.append(np.fromiter(seen.values(), np.int64, len(seen))[order])
+            columns = {
+                "block": [block], "doc_ids": [part.column(0).fill_null(0).to_numpy().tobytes()],
+                "has_id": [part.column(0).is_valid().to_numpy(zero_copy_only=False).tobytes()],
+                "n_bytes": [np.array([len(t.encode()) for t in texts], np.int64).tobytes()],
+                "distinct": [np.array(list(map(len, places)), np.int64).tobytes()], "places": [packed(np.concatenate(places))], "counts": [packed(np.concatenate(counts))],
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None]), f.type) for f in target], schema=target)
             if len(known) >= BLOCK_PRETOKENS:
                 yield words()
                 known.clear()
@@ -123,15 +137,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key:
         rows = group.filter(group["place"].is_null())
         counts = np.zeros(len(words), np.int64)
         counts[words["place"].to_numpy()] = words["n"].to_numpy()
-        n = [
-            int(counts[np.cumsum(unpacked(a, np.int32))] @ unpacked(b, np.int64))
-            for a, b in zip(rows["places"].to_pylist(), rows["counts"].to_pylist())
-        ]
-        return pa.table({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": pa.array(n, pa.int64())})
+        out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_tokens": []}
+        for row in rows.select(["doc_ids", "has_id", "n_bytes", "distinct", "places", "counts"]).to_pylist():
+            ids, sizes, distinct = (np.frombuffer(row[c], np.int64) for c in ("doc_ids", "n_bytes", "distinct"))
+            ends = np.cumsum(distinct)
+            running = np.cumsum(unpacked(row["places"]))
+            # places are steps within each document: what went before it is taken off
+            before = np.concatenate([[0], running])[ends - distinct]
+            place = running - np.repeat(before, distinct)
+            tokens = np.concatenate([[0], np.cumsum(counts[place] * unpacked(row["counts"]))])
+            has = np.frombuffer(row["has_id"], bool)
+            out["doc_id"] += [i if known else None for i, known in zip(ids.tolist(), has)]
+            out["n_bytes"] += sizes.tolist()
+            out["n_tokens"] += (tokens[ends] - tokens[ends - distinct]).tolist()
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     made = id_and_text(docs, key, text).mapInArrow(blocks, BLOCK_SCHEMA)
     # rows of documents have no pre-token; they are spread by block and id instead of meeting at null
-    spread = F.when(F.col("pretoken").isNull(), F.xxhash64("block", "doc_id")).otherwise(F.xxhash64("pretoken"))
+    spread = F.when(F.col("pretoken").isNull(), F.xxhash64("block", "n_bytes")).otherwise(F.xxhash64("pretoken"))
     counted = made.repartition(spread).mapInArrow(pieces, COUNT_SCHEMA)
     summed = counted.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
