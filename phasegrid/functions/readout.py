@@ -17,16 +17,16 @@ def argmax_class(scores: Column, n_classes: int) -> Column:
 
 def class_from_probability(probability: Column) -> Column:
     """Most probable of two classes; an exact tie goes to the first class, as argmax has it."""
-    return (probability > 0.5).cast("int")
+    return F.when(~F.isnan(probability), (probability > 0.5).cast("int"))
 
 
 def risk_label(prediction: Column) -> Column:
-    return F.when(prediction == 1, F.lit("HIGH RISK")).otherwise(F.lit("low risk"))
+    return F.when(prediction == 1, F.lit("HIGH RISK")).when(prediction.isNotNull(), F.lit("low risk"))
 
 
 def confidence_band(probability: Column) -> Column:
     return (
-        F.when(probability.isNull(), F.lit(None).cast("string"))
+        F.when(probability.isNull() | F.isnan(probability), F.lit(None).cast("string"))
         .when(probability > 0.75, F.lit("act_first"))
         .when(probability >= 0.5, F.lit("manual_review"))
         .otherwise(F.lit("low"))

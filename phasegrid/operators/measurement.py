@@ -60,7 +60,7 @@ def distribution(df: DataFrame, sample: str, bits: str, count: str, n_qubits: in
 
 def parity_readout(df: DataFrame, sample: str, bits: str, count: str) -> DataFrame:
     """(sample, p_even, p_odd): class probabilities by the exclusive-or of all bits."""
-    n, odd = _count(df, count), F.bit_count(_index(F.col(bits))) % 2 == 1
+    n, odd = _count(df, count), F.length(F.replace(F.col(bits), F.lit("0"), F.lit(""))) % 2 == 1
     sums = df.groupBy(sample).agg(
         F.sum(n).alias("total"), F.coalesce(F.sum(F.when(odd, n)), F.lit(0)).alias("odd")
     )

@@ -24,8 +24,10 @@ def cell_counts(label: Column, prediction: Column) -> dict[str, Column]:
 
 
 def log_loss_term(label: Column, probability: Column) -> Column:
+    """Null unless label and probability are known (NaN is not), so that averages skip the row."""
     p = F.greatest(F.least(probability, F.lit(1 - CLIP)), F.lit(CLIP))
-    return -F.when(label == 1, F.log(p)).otherwise(F.log(1 - p))
+    known = label.isNotNull() & probability.isNotNull() & ~F.isnan(probability)
+    return F.when(known, -F.when(label == 1, F.log(p)).otherwise(F.log(1 - p)))
 
 
 def binary_metrics(

@@ -164,7 +164,7 @@ def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float) -
     """
     require_columns(df, features)
     pairs = list(itertools.combinations(features, 2))
-    out = None
+    out = None if pairs else df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
         wide = df.agg(*[

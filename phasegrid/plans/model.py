@@ -152,7 +152,9 @@ def _product_sql(factors: Sequence[str]) -> str:
 
 
 def _parity_sql(values: Sequence[str]) -> str:
-    return f"greatest(least((1D - {_product_sql(values)}) * 0.5D, 1D - {CLIP!r}D), {CLIP!r}D)"
+    """Null for a row with a missing feature: greatest and least would skip it and answer with a limit."""
+    p = f"((1D - {_product_sql(values)}) * 0.5D)"
+    return f"CASE WHEN {p} IS NOT NULL AND NOT isnan({p}) THEN greatest(least({p}, 1D - {CLIP!r}D), {CLIP!r}D) END"
 
 
 def _loss_sql(p: str) -> str:
