@@ -6,9 +6,11 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from phasegrid.llm.common import arrow_schema, id_and_text, slices, tokenizer_te
 BLOCK_PRETOKENS = 600_000
 TOKEN_LIMIT = 1024
 ENCODE_AT_ONCE = 2000
+#: Rows of pre-tokens in one batch, and pre-tokens whose counts a task gathers before it hands them on by block.
+WORD_ROWS, GATHERED = 20_000, 500_000
 #: Texts of these characters alone split alike in Python's engine and in the tokenizer's.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
@@ -70,7 +74,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 DOC_COLUMNS = "doc_ids binary, has_id binary, n_bytes binary, distinct binary, places binary, counts binary"
 BLOCK_SCHEMA = f"block long, place int, pretoken string, {DOC_COLUMNS}"
-COUNT_SCHEMA = f"block long, place int, n int, {DOC_COLUMNS}"
+COUNT_SCHEMA = f"block long, place binary, n binary, {DOC_COLUMNS}"
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key:
 
     A task cuts its documents into blocks. A block gives one row for each distinct pre-token, and rows with
     the frequencies of up to 128 documents as places in that list. Pre-tokens meet by their text, each is encoded once for
-    all blocks, and the counts go back to the block, where they are summed over the frequencies. A frequent pre-token has one row for
+    all blocks, and the counts go back to the block in packed rows, where they are summed over the frequencies. A frequent pre-token has one row for
     each block, never one for each document. A null text counts as empty (0 bytes, 0 tokens); repeated rows are counted
     each; a null id stays null.
     """
@@ -92,10 +96,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key:
         block = TaskContext.get().partitionId() << 24
         known: dict[str, int] = {}
 
-        def words() -> pa.RecordBatch:
-            n = len(known)
-            columns = {"block": [block] * n, "place": range(n), "pretoken": list(known)}
-            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in target], schema=target)
+        def words() -> Iterator[pa.RecordBatch]:
+            rest, done = iter(known), 0
+            while part := list(islice(rest, WORD_ROWS)):
+                n = len(part)
+                columns = {"block": [block] * n, "place": range(done, done + n), "pretoken": part}
+                done += n
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in target], schema=target)
 
         for part in slices(batches):
             texts = [value or "" for value in part.column(1).to_pylist()]
@@ -116,27 +123,55 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, key:
             }
             yield pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None]), f.type) for f in target], schema=target)
             if len(known) >= BLOCK_PRETOKENS:
-                yield words()
+                yield from words()
                 known.clear()
                 block += 1
-        if known:
-            yield words()
+        yield from words()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, target = Splitter(definition.value), arrow_schema(COUNT_SCHEMA)
         counted: dict[str, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            """One row for each block in what is held: places and counts of its pre-tokens."""
+            if not held:
+                return
+            block, place, n = (np.concatenate(column) for column in zip(*held))
+            held.clear()
+            order = np.argsort(block, kind="stable")
+            block, place, n = block[order], place[order], n[order]
+            starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+            ends = np.append(starts[1:], len(block))
+            columns = {"block": block[starts], **{k: [packed(v[a:b]) for a, b in zip(starts, ends)] for k, v in (("place", place), ("n", n))}}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(starts), f.type) for f in target], schema=target)
+
         for batch in batches:
-            words = batch.column("pretoken").to_pylist()
-            new = [w for w in dict.fromkeys(words) if w is not None and w not in counted]
+            is_word = batch.column("pretoken").is_valid()
+            docs = batch.filter(pc.invert(is_word))
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(docs.num_rows, f.type) if f.name in ("place", "n") else docs.column(f.name) for f in target], schema=target)
+            listed = batch.select(["block", "place", "pretoken"]).filter(is_word)
+            if not listed.num_rows:
+                continue
+            words = listed.column("pretoken").to_pylist()
+            new = [w for w in dict.fromkeys(words) if w not in counted]
+            if len(counted) + len(new) > GATHERED:
+                counted.clear()
+                new = list(dict.fromkeys(words))
             counted.update(zip(new, split.pieces(new)))
-            n = pa.array([None if w is None else counted[w] for w in words], pa.int32())
-            yield pa.RecordBatch.from_arrays([n if f.name == "n" else batch.column(f.name) for f in target], schema=target)
+            held.append((listed.column("block").to_numpy(), listed.column("place").to_numpy(), np.fromiter(map(counted.__getitem__, words), np.int64, len(words))))
+            if sum(len(h[0]) for h in held) >= GATHERED:
+                yield from gathered()
+        yield from gathered()
 
     def total(group: pa.Table) -> pa.Table:
         words = group.filter(group["place"].is_valid())
         rows = group.filter(group["place"].is_null())
-        counts = np.zeros(len(words), np.int64)
-        counts[words["place"].to_numpy()] = words["n"].to_numpy()
+        place = [unpacked(p) for p in words["place"].to_pylist()]
+        counts = np.zeros(sum(map(len, place)), np.int64)
+        for at, n in zip(place, words["n"].to_pylist()):
+            counts[at] = unpacked(n)
         out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_tokens": []}
         for row in rows.select(["doc_ids", "has_id", "n_bytes", "distinct", "places", "counts"]).to_pylist():
             ids, sizes, distinct = (np.frombuffer(row[c], np.int64) for c in ("doc_ids", "n_bytes", "distinct"))
