@@ -140,6 +140,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def unresolved_pairs(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b) from buckets that still hold several components: one of their members against all of other components.
+
+    The member comes from the component with the fewest members in the bucket, so that one text left out of a large
+    group meets the whole bucket at once.
+    """
+    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    inside = named.groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("first")
+    )
+    chosen = inside.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("components"), F.min(F.struct("n", "first.h", "first.rep", "component")).alias("c")
+    )
+    # stored, so that both sides of the join are shuffled for it and a hot bucket's rows can be split
+    chosen = stored(chosen.where("components > 1").select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("own")), "centres")
+    met = named.join(chosen, "bucket").where("own <> component")
+    return met.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -148,7 +167,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     and stand alone; a null id stands alone, with a null component, and is kept; rows that repeat an id are one node.
 
     Equal sets meet first and go on as one. A bucket makes stars only: every member with the bucket's smallest and its
-    largest id and with two members chosen by hash, so that pairs stay in proportion to members.
+    largest id and with two members chosen by hash, so that pairs stay in proportion to members. Buckets whose members
+    are then in several components make further stars, turn by turn, until a turn finds no link.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, key, text)
@@ -163,12 +183,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = units.select("rep", F.explode("bands").alias("bucket"))
     by_hash = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HASHED_STARS)]
     centres = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.array_distinct(F.array(F.min("rep"), F.max("rep"), *by_hash)).alias("centres"))
-    pairs = placed.join(centres.where("low < high").select("bucket", "centres"), "bucket").select(F.explode("centres").alias("c"), "rep").where("c <> rep")
+    shared = stored(placed.join(centres.where("low < high").select("bucket", "centres"), "bucket"), "shared")
+    pairs = shared.select(F.explode("centres").alias("c"), "rep").where("c <> rep")
+    shared = shared.select("rep", "bucket")
     pairs = pairs.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
     close = stored(sketch_filter(pairs, marks), "pairs")
     release(spark)
     links = stored(confirmed(close, docs), "links")
     release(spark)
+    turn, tested, found = 0, close, links
+    while not found.isEmpty():
+        turn += 1
+        labels = components(links)
+        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        new = unresolved_pairs(shared, labels, turn).join(tested, ["a", "b"], "left_anti")
+        close = stored(sketch_filter(new, marks), "pairs")
+        release(spark)
+        if close.isEmpty():
+            break
+        tested = tested.unionByName(close)
+        found = stored(confirmed(close, docs), "links")
+        release(spark)
+        links = links.unionByName(found)
     labels = components(links.unionByName(copies))
     return (
         made.select("doc_id", "n_shingles")
