@@ -23,11 +23,11 @@ def z_expectation(df: DataFrame, sample: str, bits: str, count: str, n_qubits: i
 
     One signed sum per qubit in a single grouped aggregate; the rows are not multiplied by qubits.
     """
-    n, index = _count(df, count), _index(F.col(bits))
+    n = _count(df, count)
     sums = df.groupBy(sample).agg(
         F.sum(n).alias("total"),
         *[
-            F.sum(F.when(F.shiftright(index, q).bitwiseAND(1) == 0, n).otherwise(-n)).alias(f"z{q}")
+            F.sum(F.when(F.substring(bits, -1 - q, 1) == "1", -n).otherwise(n)).alias(f"z{q}")
             for q in range(n_qubits)
         ],
     )

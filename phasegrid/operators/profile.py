@@ -181,30 +181,24 @@ def leak_check(df: DataFrame, features: Sequence[str], label: str, threshold: fl
 
     (feature, abs_r, n_values, n_pure_values, is_leak): a leak has |corr| at the threshold, or each
     of its values occurs with one label only while values do repeat. (feature, value) pairs are
-    counted map-side first; the correlations come from the same scan through weighted sums.
+    counted map-side first; the correlations are one aggregate row, exact for columns of large values too.
     """
     require_columns(df, [*features, label])
     y = F.col(label).cast("double")
+    x = [F.col(c).cast("double") for c in features]
+    wide = df.agg(*[F.corr(c, y).alias(f"r{i}") for i, c in enumerate(x)])
+    r = wide.select(_stack([(F.lit(c), F.abs(F.col(f"r{i}"))) for i, c in enumerate(features)], ("feature", "abs_r")))
     long = (
-        df.select(y.alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
+        df.select(y.alias("y"), *[c.alias(name) for c, name in zip(x, features)])
         .unpivot(["y"], list(features), "feature", "v")
         .where(F.col("v").isNotNull() & F.col("y").isNotNull())
     )
-    by_value = long.groupBy("feature", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"), F.min("y").alias("lo"), F.max("y").alias("hi"),
-    )
-    n, v, sy = F.col("n"), F.col("v"), F.col("sy")
+    by_value = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
     sums = by_value.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.count_if(F.col("lo") == F.col("hi")).alias("n_pure_values"),
-        F.sum(n).alias("n"), F.sum(n * v).alias("sx"), F.sum(n * v * v).alias("sxx"),
-        F.sum(sy).alias("sy"), F.sum("syy").alias("syy"), F.sum(v * sy).alias("sxy"),
+        F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("lo") == F.col("hi")).alias("n_pure_values"), F.sum("n").alias("n"),
     )
-    cov = n * F.col("sxy") - F.col("sx") * sy
-    var = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - sy * sy)
-    pure = (F.col("n_pure_values") == F.col("n_values")) & (F.col("n_values") < n)
-    return sums.withColumn("abs_r", F.abs(F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)))))).select(
+    pure = (F.col("n_pure_values") == F.col("n_values")) & (F.col("n_values") < F.col("n"))
+    return sums.join(r, "feature").select(
         "feature", "abs_r", "n_values", "n_pure_values",
         (F.coalesce(F.col("abs_r") >= threshold, F.lit(False)) | pure).alias("is_leak"),
     )

@@ -44,22 +44,27 @@ def exact_split(df: DataFrame, key: Sequence[str], label: str, test_size: float
     Otherwise the table is split as one group. Rows of a null label stay in training. The cut is
     found by histogram passes, then applied as a filter on literals: no window over a class.
     """
-    sizes = _group_sizes(df, label)
+    known_rows = df.where(F.col(label).isNotNull())
+    sizes = {r[label]: r["count"] for r in known_rows.groupBy(label).count().limit(3).collect()}
     if len(sizes) == 2:
         hashed = _hashed(df, key, seed, F.col(label))
         wanted = {g: math.floor(n * test_size + 0.5) for g, n in sizes.items()}
     else:
         known = F.when(F.col(label).isNotNull(), F.lit(0))
         hashed = _hashed(df, key, seed, known)
-        wanted = {0: math.floor(sum(sizes.values()) * test_size + 0.5)}
+        wanted = {0: math.floor(known_rows.count() * test_size + 0.5)}
     cuts = lowest_cuts(hashed, GROUP, HASH, KEY, wanted)
     flag = below_cut(cuts, F.col(GROUP), F.col(HASH), F.col(KEY))
     return hashed.withColumn("is_test", flag).drop(KEY, HASH, GROUP)
 
 
 def balanced_sample(df: DataFrame, key: Sequence[str], label: str, rows: int = 300, seed: int = 42) -> DataFrame:
-    """The same number of rows of each class, lowest hashes first; a smaller class comes whole."""
+    """The same number of rows of each class, lowest hashes first; a smaller class comes whole.
+
+    What does not divide evenly goes to the first classes in their order, one row each.
+    """
     sizes = _group_sizes(df, label)
     hashed = _hashed(df, key, seed, F.col(label))
-    cuts = lowest_cuts(hashed, GROUP, HASH, KEY, {g: rows // len(sizes) for g in sizes})
+    each, rest = divmod(rows, max(1, len(sizes)))
+    cuts = lowest_cuts(hashed, GROUP, HASH, KEY, {g: each + (i < rest) for i, g in enumerate(sorted(sizes))})
     return hashed.where(below_cut(cuts, F.col(GROUP), F.col(HASH), F.col(KEY))).drop(KEY, HASH, GROUP)

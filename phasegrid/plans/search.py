@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.functions.encoding import used_features, variational_z
+from phasegrid.functions.encoding import variational_z
 from phasegrid.functions.hashing import draw_parameters, parameter_count
 from phasegrid.functions.readout import argmax
 from phasegrid.operators.scaling import fit_angle_scale
@@ -37,15 +37,19 @@ def _class_scores(fitted, features: list[Column]) -> Column:
 
 def search_parameters(
     df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], trials: int = 10, ansatz: str = "ry",
-    most_qubits: int = 4, test_size: float = 0.3, seed: int = 42, max_iter: int = 200,
+    most_qubits: int | None = None, test_size: float = 0.3, seed: int = 42, max_iter: int = 200,
 ) -> DataFrame:
     """(trial, accuracy, theta, is_best, n_test, n_qubits, ansatz), one row per draw.
 
+    All features are used; a ``most_qubits`` smaller than their number raises.
+
     ``label`` holds classes 0..k-1. Angles are scaled with train-side statistics. The draws share
     one cached table; the test accuracies of all draws come from one aggregate at the end.
     """
     spark = df.sparkSession
-    used = used_features(list(features), most_qubits)
+    used = list(features)
+    if most_qubits is not None and most_qubits < len(used):
+        raise ValueError(f"{len(used)} features do not fit {most_qubits} qubits")
     split = hash_split(df, key, test_size, seed, "xxhash64")
     angles = fit_angle_scale(split.where(~F.col("is_test")), used).apply(split)
     rows = spread(angles.select(*used, F.col(label).cast("int").alias("label"), "is_test")).persist(StorageLevel.MEMORY_AND_DISK)

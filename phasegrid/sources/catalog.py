@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phasegrid.operators.columns import require_columns
 from phasegrid.operators.specs import check_run
-from phasegrid.sources.csv import read_nonempty
+from phasegrid.sources.csv import EmptyTable, read_nonempty
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,8 @@ class Catalog:
         """Parquet folder or header CSV, by suffix; the named columns must be there."""
         if dataset.path.rstrip("/").endswith(".parquet"):
             df = spark.read.parquet(dataset.path)
+            if df.isEmpty():
+                raise EmptyTable(f"no rows in {dataset.path}")
         else:
             df = read_nonempty(spark, dataset.path)
         return require_columns(df, [dataset.label_column, *dataset.feature_columns])

@@ -25,19 +25,21 @@ def _text_schema(spark: SparkSession, path: str, **options) -> StructType:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, on_malformed: str = "raise"
+    spark: SparkSession, path: str, schema: StructType | str | None = None, on_malformed: str = "raise", multi_line: bool = False,
 ) -> DataFrame:
     """Header CSV to a typed table.
 
     ``on_malformed``: ``raise`` fails the job on a row whose number of cells is off; ``keep`` keeps
-    such rows and their text in ``_corrupt_record``. With a schema the read is one lazy scan;
+    such rows and their text in ``_corrupt_record``. A quote inside quotes is doubled; ``multi_line`` allows line
+    breaks there, at the price of files that cannot be split. With a schema the read is one lazy scan;
     without one the types are inferred from all rows. A cell that does not fit its type raises.
     """
     if on_malformed not in ("raise", "keep"):
         raise ValueError(f"on_malformed is {on_malformed!r}, not 'raise' or 'keep'")
-    text = _text_schema(spark, path)
+    dialect = {"escape": '"', "multiLine": multi_line}
+    text = _text_schema(spark, path, **dialect)
     names = text.fieldNames()
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("enforceSchema", False).options(**dialect)
     if on_malformed == "raise":
         # unpruned: a pruned parse does not look at surplus cells
         rows = reader.option("columnPruning", False).option("mode", "FAILFAST").schema(text).csv(path)
@@ -90,11 +92,11 @@ def read_nonempty(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def parse_lines(df: DataFrame, line: str, schema: str) -> DataFrame:
     """CSV lines held in a column to columns, plus ``_corrupt_record`` for the lines that do not fit."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_csv(F.col(line), f"{schema}, {CORRUPT} string", options)
     return df.withColumn("__row", parsed).select(*[c for c in df.columns if c != line], "__row.*")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """All rows, header, every value quoted; nulls as empty text."""
-    df.write.csv(path, header=True, quoteAll=True, nullValue="", emptyValue="", mode=mode)
+    df.write.csv(path, header=True, quoteAll=True, nullValue="", emptyValue="", escape='"', mode=mode)

@@ -138,6 +138,11 @@ def test_suitability_violations(spark):
     assert found["class_balance"] == (1.0, "violated") and found["feature_count"][1] == "few"
 
 
+def test_leak_check_of_large_values(spark):
+    df = spark.range(1000).select((F.col("id") + 1_700_000_000_000).cast("double").alias("at"), (F.col("id") * 2).alias("y"))
+    assert P.leak_check(df, ["at"], "y").first()["abs_r"] > 0.999999
+
+
 def test_leak_check(spark):
     df = spark.range(100).select(
         (F.col("id") % 2).alias("y"), (F.col("id") % 2 * 3.0).alias("copy"), (F.col("id") % 5).alias("noise"), F.col("id").alias("key"),

@@ -87,6 +87,14 @@ def test_balanced_sample(spark):
     assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {0: 150, 1: 30}
 
 
+def test_sample_hands_out_the_remainder(spark):
+    assert X.balanced_sample(keyed(spark, 700, 7), ["key"], "label", 300).count() == 300
+
+
+def test_many_classes_split_as_one_group(spark):
+    assert X.exact_split(keyed(spark, 3000, 1500), ["key"], "label").where("is_test").count() == 750
+
+
 def test_splits_cover_the_keys_and_repeat(spark):
     df = keyed(spark, 2000)
     first = X.hash_split(df, ["key"], 0.3, 7).select("key", "is_test")

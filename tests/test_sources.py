@@ -49,6 +49,12 @@ def test_malformed_rows(spark, tmp_path, row):
     assert kept.count() == 2 and kept.where(F.col(csv.CORRUPT).isNotNull()).count() == 1
 
 
+def test_doubled_quotes_and_quoted_line_breaks(spark, tmp_path):
+    path = text_file(tmp_path, 'a,b\n1,"say ""hi"", ok"\n2,"two\nlines"\n')
+    rows = csv.read_csv(spark, path, "a int, b string", multi_line=True).orderBy("a").collect()
+    assert [r["b"] for r in rows] == ['say "hi", ok', "two\nlines"]
+
+
 def test_csv_sink_writes_every_row_quoted(spark, tmp_path):
     rows = [(i, f'say "{i}", ok', None) for i in range(100)]
     path = str(tmp_path / "out")
