@@ -13,7 +13,7 @@ from phasegrid.llm.common import id_and_text, map_texts, tokenizer_text
 #: Bytes that decide a cut, and bits of their hash that have to be zero: chunks have 1 KB on average.
 WINDOW, CUT_BITS = 8, 10
 #: Text that a task keeps encoded, in bytes, and words that it keeps; both start anew when full.
-CHUNK_BYTES, WORD_ENTRIES = 12_000_000, 200_000
+CHUNK_BYTES, WORD_ENTRIES = 12_000_000, 400_000
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "big") for b in range(256)], np.uint32)
 SPACES = b" \t\n\r\x0b\x0c"
 
