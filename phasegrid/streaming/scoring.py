@@ -14,7 +14,8 @@ def score_arriving(
 ) -> StreamingQuery:
     """Read new header-CSV files of ``source``, append scored rows to the parquet table ``target``.
 
-    A file whose header differs from the schema, or a cell that does not fit its type, fails the query. ``checkpoint`` lies on shared storage: after a loss the query goes on where it stopped.
+    A file whose header differs from the schema, or a cell that does not fit its type, fails the query. ``checkpoint``
+    lies on shared storage: after a loss the query goes on where it stopped.
     """
     arriving = (
         spark.readStream.schema(schema)
