@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ WINDOW, CUT_BITS = 8, 10
 #: Text that a task keeps encoded, in bytes, and words that it keeps; both start anew when full.
 CHUNK_BYTES, WORD_ENTRIES = 12_000_000, 400_000
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "big") for b in range(256)], np.uint32)
+HAS_IDS, NOTHING = itemgetter(0), (0, "", "")
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -51,6 +53,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # ids come without tokens, whose making costs more than a look-up
+        self.names = {i: token for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.numbers = {i: str(i) for i in self.names}
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.held = 0
@@ -63,15 +68,19 @@ class Encoder:
             if len(known) + len(new) > WORD_ENTRIES:
                 known.clear()
                 new = list(set(words))
-            for word, e in self.encode_new(new):
-                known[word] = (len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens))
-        found = [x for x in map(known.__getitem__, words) if x[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            for word, ids in self.encode_new(new):
+                known[word] = (len(ids), " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
+        found = list(filter(HAS_IDS, map(known.__getitem__, words)))
+        if not found:
+            return NOTHING
+        sizes, ids, tokens = zip(*found)
+        return sum(sizes), " ".join(ids), " ".join(tokens)
 
     def encode_new(self, words: list[bytes]):
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            yield from zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False))
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            yield from ((word, e.ids) for word, e in zip(part, found))
 
     def encode_chunk(self, chunk: bytes) -> tuple | None:
         """(open head, encoding of the middle, open tail); None for a chunk without white space."""
