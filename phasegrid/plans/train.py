@@ -156,12 +156,12 @@ def fit_variational(
     return Fit(VariationalModel(prepared.scaler, tuple(map(float, theta)), encoder, rotation, prepared.label_column), losses)
 
 
-def fit_baseline(scaled_train: DataFrame, features: Sequence[str], n_train: int, max_iter: int = 300) -> LinearModel:
-    """L2 logistic regression with C = 1, that is a penalty of 1 / n per mean loss."""
+def fit_baseline(scaled_train: DataFrame, features: Sequence[str], n_train: int, max_iter: int = 300, tol: float = 1e-6) -> LinearModel:
+    """L2 logistic regression with C = 1, that is a penalty of 1 / n per mean loss; ``tol`` ends the fit."""
     rows = VectorAssembler(inputCols=list(features), outputCol="__x").transform(scaled_train)
     estimator = LogisticRegression(
         featuresCol="__x", labelCol="label", maxIter=max_iter, regParam=1.0 / max(n_train, 1),
-        elasticNetParam=0.0, standardization=False,
+        elasticNetParam=0.0, standardization=False, tol=tol,
     )
     fitted = estimator.fit(rows.select("__x", F.col("label").cast("double").alias("label")))
     return LinearModel(tuple(features), tuple(map(float, fitted.coefficients)), float(fitted.intercept))

@@ -1,4 +1,4 @@
-"""Training runs; only the loss and gradient at fixed parameters can be put in SQL."""
+"""Training runs; their splits are by md5, so that SQL can repeat them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from phasegrid.plans.search import search_parameters
 from phasegrid.queries.registry import (
     FEATURES, LINE_KEY, SQL_SCALED, THETA, feature_columns, line_scaler, query, rounded, split_lines,
 )
+from phasegrid.queries.training_sql import adam_curve, newton_metrics, spsa_curve
 from phasegrid.sources.catalog import Catalog, Dataset
 from phasegrid.sources.tables import table
 
@@ -38,17 +39,19 @@ def variational_loss_gradient(spark, folder):
 
 
 def _prepared(spark, folder) -> T.Prepared:
-    return T.prepare(table(spark, folder, "lineitem"), FEATURES, "l_linestatus", LINE_KEY)
+    return T.prepare(table(spark, folder, "lineitem"), FEATURES, "l_linestatus", LINE_KEY, method="md5")
 
 
-@query("baseline_lr")
+@query("baseline_lr", newton_metrics())
 def baseline_lr(spark, folder):
     """Logistic-regression baseline, metrics per side of the split."""
     prepared = _prepared(spark, folder)
     scaled = prepared.scaler.apply(prepared.rows)
     train = T.spread(scaled.where(~F.col("is_test")).drop("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
-    model = T.fit_baseline(train, FEATURES, train.count())
-    train.unpersist()
+    try:
+        model = T.fit_baseline(train, FEATURES, train.count(), tol=1e-13)
+    finally:
+        train.unpersist()
     scored = scaled.withColumn("p", model.probability()).withColumn("prediction", (F.col("p") > 0.5).cast("int"))
     return rounded(binary_metrics(scored, "label", "prediction", "p", ["is_test"]), ["log_loss"])
 
@@ -57,19 +60,21 @@ def _curve(spark, folder, optimizer: str, encoder: str, maxiter: int):
     prepared = _prepared(spark, folder)
     # the split column is dropped with the filter, so each key is hashed once
     train = T.training_table(prepared, encoder, "ry").where(~F.col("is_test")).drop("is_test").persist(StorageLevel.MEMORY_AND_DISK)
-    fit = T.fit_variational(prepared, train, encoder, "ry", optimizer, maxiter)
-    train.unpersist()
+    try:
+        fit = T.fit_variational(prepared, train, encoder, "ry", optimizer, maxiter)
+    finally:
+        train.unpersist()
     rows = [(i, loss) for i, loss in enumerate(fit.losses)]
     return rounded(spark.createDataFrame(rows, "step int, loss double"), ["loss"])
 
 
-@query("variational_fit")
+@query("variational_fit", adam_curve(15))
 def variational_fit(spark, folder):
     """Loss per step of the adaptive-gradient fit."""
     return _curve(spark, folder, "adam", "rotation", 15)
 
 
-@query("variational_fit_spsa")
+@query("variational_fit_spsa", spsa_curve(15))
 def variational_fit_spsa(spark, folder):
     """Loss per step of the perturbation fit on the phase encoder."""
     return _curve(spark, folder, "spsa", "angle", 15)

@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 QUERIES, ORACLE = queries(), oracle_sql()
 # iterative training: covered by its own tests
-ROWS_ONLY = {"baseline_lr", "variational_fit", "variational_fit_spsa", "param_search", "batch_runs"}
+ROWS_ONLY = {"param_search", "batch_runs"}
 
 
 @pytest.fixture(scope="module")
