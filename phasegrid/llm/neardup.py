@@ -144,18 +144,20 @@ def unresolved_pairs(shared: DataFrame, labels: DataFrame, turn: int) -> DataFra
     """(a, b) from buckets that still hold several components: one of their members against all of other components.
 
     The member comes from the component with the fewest members in the bucket, so that one text left out of a large
-    group meets the whole bucket at once.
+    group meets the whole bucket at once. Sets whose sizes alone rule the share out do not meet.
     """
     named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     inside = named.groupBy("bucket", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "size")).alias("first")
     )
     chosen = inside.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("components"), F.min(F.struct("n", "first.h", "first.rep", "component")).alias("c")
+        F.count(F.lit(1)).alias("components"), F.min(F.struct("n", "first.h", "first.rep", "component", "first.size")).alias("c")
     )
     # stored, so that both sides of the join are shuffled for it and a hot bucket's rows can be split
-    chosen = stored(chosen.where("components > 1").select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("own")), "centres")
+    chosen = chosen.where("components > 1").select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("own"), F.col("c.size").alias("centre_size"))
+    chosen = stored(chosen, "centres")
     met = named.join(chosen, "bucket").where("own <> component")
+    met = met.where(100 * F.least("size", "centre_size") >= SHARE * F.greatest("size", "centre_size"))
     return met.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
 
 
@@ -177,15 +179,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups = named.groupBy("same1", "same2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = named.join(groups, ["same1", "same2", "n_shingles"])
     copies = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    units = stored(member.where("doc_id = rep").select("rep", "bands", "marks").dropDuplicates(["rep", "bands"]), "units")
+    units = stored(member.where("doc_id = rep").select("rep", "bands", "marks", F.col("n_shingles").alias("size")).dropDuplicates(["rep", "bands"]), "units")
     marks = units.select("rep", "marks").dropDuplicates(["rep"])
 
-    placed = units.select("rep", F.explode("bands").alias("bucket"))
+    placed = units.select("rep", "size", F.explode("bands").alias("bucket"))
     by_hash = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HASHED_STARS)]
     centres = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.array_distinct(F.array(F.min("rep"), F.max("rep"), *by_hash)).alias("centres"))
     shared = stored(placed.join(centres.where("low < high").select("bucket", "centres"), "bucket"), "shared")
     pairs = shared.select(F.explode("centres").alias("c"), "rep").where("c <> rep")
-    shared = shared.select("rep", "bucket")
+    shared = shared.select("rep", "size", "bucket")
     pairs = pairs.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
     close = stored(sketch_filter(pairs, marks), "pairs")
     release(spark)
