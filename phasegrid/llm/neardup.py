@@ -24,6 +24,8 @@ LEAST_AGREEING = 50
 #: Stars of a bucket besides those of its smallest and largest id.
 HASHED_STARS = 2
 PROBES = 1024
+#: Texts that hold a shingle, from which on its frequency is told to all tasks; and the most shingles that are told.
+FREQUENT, FREQUENT_KEPT = 8, 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -111,14 +113,17 @@ def sketch_filter(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the share. A pair carries packed texts, which are smaller than sets."""
-
+def packed_texts(docs: DataFrame) -> DataFrame:
     def pack(ids, texts):
         zip_ = zstandard.ZstdCompressor(level=3)
         return {"doc_id": ids, "packed": [zip_.compress((t or "").encode().translate(LOWER)) for t in texts]}
 
-    texts = map_texts(docs, pack, "doc_id long, packed binary")
+    return map_texts(docs, pack, "doc_id long, packed binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the share. A pair carries packed texts, which are smaller than sets."""
+    texts = packed_texts(docs)
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "packed": "pb"}), "b").join(
         texts.withColumnsRenamed({"doc_id": "a", "packed": "pa"}), "a"
     )
@@ -140,25 +145,94 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def unresolved_pairs(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b) from buckets that still hold several components: one of their members against all of other components.
+def unresolved(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, component) of every member of a bucket that still holds several components."""
+    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    # stored, so that both sides of the join are shuffled for it and a hot bucket's rows can be split
+    return named.join(stored(several.select("bucket"), "several"), "bucket").select("rep", "component").distinct()
+
 
-    The member comes from the component with the fewest members in the bucket, so that one text left out of a large
-    group meets the whole bucket at once. Sets whose sizes alone rule the share out do not meet.
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of most texts, rising, and in how many they are: those of FREQUENT texts on, or of the least power of
+    two times as many that leaves FREQUENT_KEPT at most. They only set an order, so any list gives the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unzip, target = WordHashes(), zstandard.ZstdDecompressor(), arrow_schema("shingle long, n long")
+        for part in slices(batches):
+            sets = [shingle_set(hashes(unzip.decompress(p).split())) for p in part.column("packed").to_pylist()]
+            if sets:
+                found, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema=target)
+
+    counts = texts.select("packed").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") >= FREQUENT), "frequent")
+    sizes = sorted(((r["p"], r["k"]) for r in counts.groupBy(F.floor(F.log2(F.col("n") / FREQUENT)).alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    kept, least = 0, None
+    for power, k in sizes:
+        kept += k
+        if kept > FREQUENT_KEPT:
+            break
+        least = power
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    table = counts.where(F.floor(F.log2(F.col("n") / FREQUENT)) >= least).toArrow()
+    shingle, n = (table.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], n[order]
+
+
+def rarest(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set's rarest quarter and one shingle more, in the one order (texts that hold it, hash) of all sets."""
+    n = np.zeros(len(found), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        n = np.where(frequent[at] == found, counts[at], 0)
+    return found[np.lexsort((found, n))[: len(found) * (100 - SHARE) // 100 + 1]]
+
+
+def prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of all members (rep, component) of different components that can reach the share: a prefix-filter join.
+
+    In one order of all shingles, sets of sizes s and t at the share have at least share / (1 + share) * (s + t) in
+    common, and all of that stands from their first common shingle on. So a pair is lost by no order if it is made from
+    every shingle that leaves so many places in both sets; rare shingles come first, so that those of a template, which
+    all sets hold, are mostly not asked. Within a shingle's largest component nothing is paired.
     """
-    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    inside = named.groupBy("bucket", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "size")).alias("first")
-    )
-    chosen = inside.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("components"), F.min(F.struct("n", "first.h", "first.rep", "component", "first.size")).alias("c")
+    spark = docs.sparkSession
+    members = stored(members, "members")
+    texts = stored(packed_texts(docs).withColumnRenamed("doc_id", "rep").join(members, "rep"), "unresolved")
+    held = spark.sparkContext.broadcast(frequent_shingles(texts))
+    schema = "shingle long, rep long, component long, size long, place long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unzip, target = WordHashes(), zstandard.ZstdDecompressor(), arrow_schema(schema)
+        frequent, counts = held.value
+        for part in slices(batches):
+            out = []
+            for rep, packed, component in zip(*(part.column(c).to_pylist() for c in ("rep", "packed", "component"))):
+                found = shingle_set(hashes(unzip.decompress(packed).split()))
+                if len(found):
+                    first = rarest(found, frequent, counts)
+                    out.append((first.view(np.int64), *(np.full(len(first), x) for x in (rep, component, len(found))), np.arange(len(first))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), f.type) for k, f in enumerate(target)], schema=target)
+
+    rows = stored(texts.mapInArrow(run, schema), "rarest")
+    inside = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = inside.groupBy("shingle").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("c"))
+    main = stored(main.where("components > 1").select("shingle", F.col("c.component").alias("main")), "main")
+    rows = stored(rows.join(main, "shingle"), "met")
+    release(spark)
+    x, y = rows.alias("x"), rows.where("component <> main").alias("y")
+    needed = SHARE * (F.col("x.size") + F.col("y.size"))
+    met = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("x.component") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & ((100 + SHARE) * (F.col("x.size") - F.col("x.place")) >= needed) & ((100 + SHARE) * (F.col("y.size") - F.col("y.place")) >= needed),
     )
-    # stored, so that both sides of the join are shuffled for it and a hot bucket's rows can be split
-    chosen = chosen.where("components > 1").select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("own"), F.col("c.size").alias("centre_size"))
-    chosen = stored(chosen, "centres")
-    met = named.join(chosen, "bucket").where("own <> component")
-    met = met.where(100 * F.least("size", "centre_size") >= SHARE * F.greatest("size", "centre_size"))
-    return met.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,8 +243,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     and stand alone; a null id stands alone, with a null component, and is kept; rows that repeat an id are one node.
 
     Equal sets meet first and go on as one. A bucket makes stars only: every member with the bucket's smallest and its
-    largest id and with two members chosen by hash, so that pairs stay in proportion to members. Buckets whose members
-    are then in several components make further stars, turn by turn, until a turn finds no link.
+    largest id and with two members chosen by hash, so that pairs stay in proportion to members. Members of buckets that
+    then hold several components meet in a prefix-filter join, which loses no pair, and full sets decide.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, key, text)
@@ -193,20 +267,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     release(spark)
     links = stored(confirmed(close, docs), "links")
     release(spark)
-    turn, tested, found = 0, close, links
-    while not found.isEmpty():
-        turn += 1
-        labels = components(links)
-        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        new = unresolved_pairs(shared, labels, turn).join(tested, ["a", "b"], "left_anti")
-        close = stored(sketch_filter(new, marks), "pairs")
-        release(spark)
-        if close.isEmpty():
-            break
-        tested = tested.unionByName(close)
-        found = stored(confirmed(close, docs), "links")
-        release(spark)
-        links = links.unionByName(found)
+    labels = components(links)
+    members = unresolved(shared, labels)
+    more = stored(prefix_pairs(members, docs).join(close, ["a", "b"], "left_anti"), "pairs")
+    release(spark)
+    found = stored(confirmed(more, docs), "links")
+    release(spark)
+    links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(found)
     labels = components(links.unionByName(copies))
     return (
         made.select("doc_id", "n_shingles")

@@ -93,6 +93,33 @@ def test_near_duplicates_equal_brute_force(docs):
     same_rows(neardup.near_duplicates(docs(rows)).collect(), plain_near(rows))
 
 
+def template_cluster(n=160, shared=262, own=40):
+    """Pages on one template just under the threshold, of which each of the second half but a few has a true pair."""
+    word = lambda *x: hashlib.md5(repr(x).encode()).hexdigest()[:8]
+    pages = []
+    for i in range(n):
+        twin, page = i % (n // 2), [word("t", k) for k in range(shared)]
+        page += [word("o", twin if twin % 8 else i, k) for k in range(own + twin % 5)]
+        page[3 * (i % 50)] = word("x", i)
+        pages.append(" ".join(page))
+    return list(enumerate(pages))
+
+
+def test_near_pairs_of_a_template_cluster(docs):
+    rows = template_cluster()
+    expected = plain_near(rows)
+    assert sum(own for *_, own in expected) > 80
+    same_rows(neardup.near_duplicates(docs(rows)).collect(), expected)
+
+
+def test_prefix_pairs_lose_no_pair(docs):
+    rows = [(i, t) for i, t in made_texts(9, 60) if t]
+    frame = docs(rows)
+    got = {tuple(r) for r in neardup.prefix_pairs(frame.selectExpr("doc_id as rep", "doc_id as component"), frame.select("doc_id", "text")).collect()}
+    sets = {i: set(neardup.shingle_set(np.array([hash(w) & (2**64 - 1) for w in neardup.text_words(t)], np.uint64)).tolist()) for i, t in rows}
+    assert got >= {(a, b) for a in sets for b in sets if a < b and sets[a] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+
+
 def test_near_duplicates_odd_cases(odd):
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd).collect()]
     assert len(got) == 11 and (None, None, True) in got and got.count((6, 5, False)) == 2 and (1, 1, True) in got
