@@ -17,6 +17,8 @@ from phasegrid.llm.common import arrow_schema, slices
 
 #: Words of a passage and steps between passages: an item of up to 64 words lies whole in one of them.
 PASSAGE, STEP = 128, 64
+#: A longer item is retrieved by its pieces too, of STEP words and so many words apart: each lies whole in a passage.
+PIECE_STEP = 32
 #: Share of an item's own score that a passage has to reach.
 LEAST_SHARE = 0.6
 #: Shares of the question's and the answer's grams that a confirmed passage has to hold.
@@ -29,7 +31,7 @@ BLOCK = 4
 GROUP = 4
 #: Frequent terms are left out of that question as long as all of them together give no item more than this share.
 LIGHT_SHARE = 0.25
-#: Items of one part of the index; more items make more parts, and each part is sent and searched by itself.
+#: Items and pieces of one part of the index; more of them make more parts, and each part is sent and searched by itself.
 PART_ITEMS = 1024
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -54,11 +56,20 @@ def grams_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+def entries_of(words: list[bytes]) -> list[list[bytes]]:
+    """What stands in the index for an item: all its words and, if they are more than STEP, its pieces."""
+    starts = [*range(0, len(words) - STEP, PIECE_STEP), len(words) - STEP] if len(words) > STEP else []
+    return [words, *(words[i : i + STEP] for i in starts)]
+
+
 @dataclass
 class Index:
-    """Postings of one part: for a term its items (ordinals, rising), its share of each item's own score, block maxima."""
+    """Postings of one part: for a term its entries (ordinals, rising), its share of each entry's own score, block maxima.
+
+    Entries are items and pieces of long ones; ``owner`` is the entry's item as its place among the rows."""
 
     items: list[int]
+    owner: list[int]
     postings: dict[bytes, tuple[list[int], list[float]]]
     block_max: dict[bytes, list[float]]
     parts: list[tuple[set, set, int]]
@@ -69,18 +80,21 @@ class Index:
 
 def build_index(rows: list[tuple[int, str]], document_count: int, frequency: dict[bytes, int], mean_words: float) -> Index:
     """BM25 weights over all items, divided by the item's own score, so that one threshold fits every item."""
-    items, parts, weights = [], [], []
-    for item, text in sorted(rows, key=lambda r: (r[0], r[1])):
+    items, owner, parts, weights = [], [], [], []
+    for place, (item, text) in enumerate(sorted(rows, key=lambda r: (r[0], r[1]))):
         words = item_words(text)
         if not words:
             continue
-        counts, norm = Counter(words), K1 * (1 - B + B * len(words) / mean_words)
-        own = {t: np.log1p((document_count - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
-        total = sum(own.values())
-        weights.append({t: float(w / total) for t, w in own.items()})
         question, answer = question_and_answer(text)
-        items.append(item)
-        parts.append((grams_of(question), grams_of(answer), len(words)))
+        part = (grams_of(question), grams_of(answer), len(words))
+        for entry in entries_of(words):
+            counts, norm = Counter(entry), K1 * (1 - B + B * len(entry) / mean_words)
+            own = {t: np.log1p((document_count - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
+            total = sum(own.values())
+            weights.append({t: float(w / total) for t, w in own.items()})
+            items.append(item)
+            owner.append(place)
+            parts.append(part)
     postings: dict[bytes, tuple[list[int], list[float]]] = {}
     for ordinal, own in enumerate(weights):
         for term, weight in own.items():
@@ -102,7 +116,7 @@ def build_index(rows: list[tuple[int, str]], document_count: int, frequency: dic
     for term, row in number.items():
         at, each = postings[term]
         np.maximum.at(group_max[row], np.array(at) // GROUP, np.array(each, np.float32))
-    return Index(items, postings, block_max, parts, number, group_max, light)
+    return Index(items, owner, postings, block_max, parts, number, group_max, light)
 
 
 def search(index: Index, terms: list[bytes], least: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
@@ -170,13 +184,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Each passage of each whole text is a query; every item over the threshold is retrieved and kept if the grams of its
     question and of its answer are found in the passage in the given shares; the best passage of a document and item is
-    returned. ``score`` is the BM25 score as a share of the item's own, ``start`` the passage's first word. Null and
-    empty texts and items match nothing; a null id stays null; repeated documents and items give a row each id pair.
+    returned. An item of more than 64 words is retrieved by itself or by any of its overlapping pieces of 64 words, and
+    confirmed as a whole around the passage. ``score`` is the BM25 score as a share of the item's own (of the best
+    piece's, if that is more), ``start`` the passage's first word. Null and empty texts and items match nothing; a null id stays null; repeated documents and items give a row each id pair.
 
     Item statistics come from all items. The index is cut into parts of bounded size, so the benchmark may grow: each
     part is sent to the tasks and searched in a pass of its own. Documents are neither shuffled nor collected.
     """
-    spark = docs.sparkSession
+    found = None
+    for held in index_parts(items, item_key, item_text):
+        one = _search_documents(docs, held, key, text)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def index_parts(items: DataFrame, item_key: str = "item_id", item_text: str = "text") -> list:
+    """The parts of the index of all items, each a broadcast."""
+    spark = items.sparkSession
     items = items.select(F.col(f"`{item_key}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null").distinct()
 
@@ -188,20 +212,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     listed = items.mapInArrow(terms, "item_id long, term binary, size long").cache()
     try:
         sizes = listed.select("item_id", "size").distinct()
-        totals = sizes.agg(F.count(F.lit(1)).alias("items"), F.avg("size").alias("mean")).first()
-        parts = max(1, -(-totals["items"] // PART_ITEMS))
+        entries = F.when(F.col("size") > STEP, F.lit(2) + F.ceil((F.col("size") - STEP) / PIECE_STEP)).otherwise(1)
+        totals = sizes.agg(F.count(F.lit(1)).alias("items"), F.avg("size").alias("mean"), F.sum(entries).alias("entries")).first()
+        parts = max(1, -(-(totals["entries"] or 0) // PART_ITEMS))
         frequency = listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         part_of = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-        found = None
+        out = []
         for number in range(parts):
             rows = [(r["item_id"], r["text"]) for r in items.where(part_of == number).collect()]
             own = listed.where(part_of == number).select("term").distinct().join(frequency, "term")
             index = build_index(rows, totals["items"], {bytes(r["term"]): r["df"] for r in own.collect()}, totals["mean"] or 1.0)
-            one = _search_documents(docs, spark.sparkContext.broadcast(index), key, text)
-            found = one if found is None else found.unionByName(one)
+            out.append(spark.sparkContext.broadcast(index))
     finally:
         listed.unpersist()
-    return found
+    return out
 
 
 def _search_documents(docs: DataFrame, held, key: str, text: str) -> DataFrame:
@@ -238,26 +262,29 @@ def leaks_of(value: str | None, index: Index) -> list[tuple]:
         return []
     at = np.fromiter(map(index.number.get, words, repeat(0)), np.int64, len(words))
     best: dict[int, tuple] = {}
-    last, here, terms = -1, np.zeros(0, np.int64), []
+    last, here, terms, shares_of = -1, np.zeros(0, np.int64), [], {}
     for passage, group in open_passages(index, at):
         start = passage * STEP
         if passage != last:
             last, here = passage, np.unique(at[start : start + PASSAGE])
-            terms = []
+            terms, shares_of = [], {}
         if index.group_max[here, group].sum() < LEAST_SHARE - index.light - 1e-3:
             continue
         terms = terms or list({w for w in words[start : start + PASSAGE] if w in index.postings})
         for ordinal, score in search(index, terms, LEAST_SHARE, group * GROUP, (group + 1) * GROUP):
-            question, answer, size = index.parts[ordinal]
-            # an item longer than the overlap of two passages is checked with as many words more on both sides
-            grams = grams_for(words[max(0, start - size) : start + PASSAGE + size], question | answer)
-            shares = [len(part & grams) / len(part) if part else 1.0 for part in (question, answer)]
+            owner = index.owner[ordinal]
+            if owner not in shares_of:
+                question, answer, size = index.parts[ordinal]
+                # an item longer than the overlap of two passages is checked with as many words more on both sides
+                grams = grams_for(words[max(0, start - size) : start + PASSAGE + size], question | answer)
+                shares_of[owner] = [len(part & grams) / len(part) if part else 1.0 for part in (question, answer)]
+            shares = shares_of[owner]
             if shares[0] >= LEAST_QUESTION and shares[1] >= LEAST_ANSWER:
-                hit = (score, *shares, start)
-                old = best.get(ordinal)
+                hit = (score, *shares, start, index.items[ordinal])
+                old = best.get(owner)
                 if old is None or (hit[0], -hit[3]) > (old[0], -old[3]):
-                    best[ordinal] = hit
-    return [(index.items[ordinal], *hit) for ordinal, hit in sorted(best.items())]
+                    best[owner] = hit
+    return [(item, *hit) for _, (*hit, item) in sorted(best.items())]
 
 
 def grams_for(words: list[bytes], wanted: set[tuple]) -> set[tuple]:

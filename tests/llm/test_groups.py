@@ -201,6 +201,21 @@ def test_leaks_are_found_and_clean_texts_left(spark, docs):
     assert decontaminate.find_leaks(docs(rows).where("false"), items).count() == 0
 
 
+@pytest.mark.parametrize("size", [65, 150, 300, 1000])
+def test_long_items_are_found(spark, docs, size, monkeypatch):
+    rng = random.Random(size)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long = [(i, f"{words(size - 5)}\n{words(5)}") for i in range(3)]
+    items = spark.createDataFrame([*long, *ITEMS[1:2]], "item_id long, text string")
+    half = " ".join(long[2][1].split()[: size // 4])
+    rows = [(10, f"{words(37)} {long[0][1]} {words(900)}"), (11, f"{words(500)} {long[1][1]}"), (12, f"{words(90)} {half} {words(300)}"), (13, words(2000))]
+    for part in (1024, 5):
+        monkeypatch.setattr(decontaminate, "PART_ITEMS", part)
+        got = decontaminate.find_leaks(docs(rows), items).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(10, 0), (11, 1)]
+        assert all(0.9 < r["score"] < 1.001 and r["question_share"] == r["answer_share"] == 1 for r in got)
+
+
 def test_index_parts_give_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(6, ITEMS[1][1]), (7, ITEMS[0][1])]
