@@ -247,6 +247,13 @@ def test_wand_equals_scoring_every_item():
 
 # pipeline
 
+def test_leaking_rows_without_id_are_taken_out(spark, docs, tmp_path):
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, ITEMS[1][1]), (None, "a clean text without id"), (None, None), (1, ITEMS[1][1]), (2, "a clean text")]
+    got = corpus_pipeline.without_benchmark(spark, docs(rows), str(tmp_path)).collect()
+    same_rows([(r["doc_id"], r["text"]) for r in got], [rows[1], rows[2], rows[4]])
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     extra = spark.createDataFrame([(900001, None, "en", "s", 0), (900002, "123 !!", "en", "s", 6), (900003, "the token = abcdef0123456789abcdef01 of the and that is in the house of", "en", "s", 1)], docs.schema)
