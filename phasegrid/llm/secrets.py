@@ -21,6 +21,8 @@ WINDOW = 20
 LEAST_BITS = {"hex": 2.9, "alnum": 3.6, "base64": 3.8}
 #: Candidates that look random and are none: counting alphabets, placeholders, repeated marks.
 ALLOWED = (r"(?i)example|sample|placeholder|dummy|xxxx|changeme", r"(?i)0123456789|abcdefghij|qwertyuiop", r"(.)\1{7,}", r"[-_=+/]{6,}")
+#: Characters at the end of an allowed match where the next one may begin; a longer search would be quadratic in long runs.
+OVERLAP = 32
 GAIN = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -70,12 +72,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def open_ranges(value: str, allowed: list[re.Pattern]) -> list[tuple[int, int]]:
+    """The ranges between allowed matches, overlapping ones included; a window over such a match lies in none of them."""
+    matches = []
+    for a in allowed:
+        at = 0
+        while at <= len(value) and (m := a.search(value, at)):
+            matches.append(m.span())
+            at = max(m.start() + 1, m.end() - OVERLAP)
+    at, ranges = 0, []
+    for start, end in sorted(matches):
+        ranges.append((at, start))
+        at = max(at, end)
+    return [(a, b) for a, b in [*ranges, (at, len(value))] if b - a >= WINDOW]
+
+
 def entropy_spans(text: str, allowed: list[re.Pattern]) -> list[tuple[int, int, int]]:
     spans = []
     for m in CANDIDATE.finditer(text):
         kind = character_class(m[0])
-        if kind and not any(a.search(m[0]) for a in allowed):
-            spans += [(m.start() + a, 3, m.start() + b) for a, b in dense_ranges(m[0], LEAST_BITS[kind])]
+        if kind:
+            for low, high in open_ranges(m[0], allowed):
+                at = m.start() + low
+                spans += [(at + a, 3, at + b) for a, b in dense_ranges(m[0][low:high], LEAST_BITS[kind])]
     return spans
 
 

@@ -212,6 +212,14 @@ def test_entropy_spans_and_allow_list(docs):
     assert secrets.masked(rows[0][1], got[1]) == "key [secret] end" and secrets.masked(None, "") is None
 
 
+def test_allow_list_covers_its_windows_only(docs):
+    key = "Zx8Kq2Lm9Vt4Rb7Yw1Pn5"
+    rows = [(1, f"{key}/static/example/static"), (2, f"example/{key}"), (3, f"{key[:10]}xxxx{key[10:]}"), (4, "xxxx" + key + "x" * 3000 + key)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs(rows)).collect()}
+    assert got[1].startswith("entropy:0:") and int(got[1].split(":")[2]) <= 29 and secrets.masked(rows[0][1], got[1]).startswith("[secret]")
+    assert got[2] == "entropy:7:29" and got[3] == "" and got[4] == "entropy:4:25,entropy:3025:3046"
+
+
 # licenses
 
 def plain_license(text):
