@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import bpe, covertree, decontaminate, language, licenses, neardup, phrases, repair, secrets, tokens, urls
+from phasegrid.llm import bpe, covertree, decontaminate, language, licenses, neardup, phrases, pieces, repair, secrets, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair_conversations(repair.damaged(table(spark, folder, "conversations")), there="there")
 
 
+@query
+def op12_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _PARSED = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
