@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import bpe, covertree, decontaminate, language, licenses, neardup, phrases, pieces, repair, secrets, tokens, urls
+from phasegrid.llm import bpe, covertree, decontaminate, language, licenses, neardup, negatives, phrases, pieces, repair, secrets, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +90,13 @@ def op12_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame
     return pieces.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = negatives.taking_part(table(spark, folder, "embeddings"))
+    mislabelled = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", mislabelled))
+
+
 _PARSED = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
@@ -200,3 +207,24 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+ORACLE["op13_hard_negatives"] = """
+WITH rows_ AS (
+  SELECT row_number() OVER () AS number, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * x::DOUBLE))) = 0),
+scored AS (
+  SELECT a.number, a.id AS anchor_id, b.number AS other, b.id, a.label = b.label AS same_label,
+         coalesce(list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: a.vector[i] * b.vector[i])), 0)::BIGINT AS score
+  FROM rows_ a JOIN rows_ b ON a.id % 50 = 0 AND a.number <> b.number AND len(a.vector) = len(b.vector)),
+positives AS (
+  SELECT number, anchor_id, other, id AS positive_id, score AS positive_score FROM scored WHERE same_label
+  QUALIFY row_number() OVER (PARTITION BY number ORDER BY score DESC, id, other) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.number, p.other ORDER BY n.score DESC, n.id, n.other)::INTEGER AS rank,
+       n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.number = p.number AND NOT n.same_label
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
