@@ -79,7 +79,7 @@ def test_bounds_hold_and_leave_few_pairs_of_clusters(dim):
     for means, deviations, sizes in a.levels:
         middle, reach = (means * sizes) @ means.T, deviations @ deviations.T + 1
         assert (middle - reach <= exact).all() and (exact <= middle + reach).all()
-    b = packed(clustered(600, dim))
+    b = packed(clustered(600, dim, clusters=25))
     every = np.arange(600)
     exact = b.vectors @ b.vectors.T
     least = np.sort(exact, axis=1)[:, -30]
