@@ -72,7 +72,8 @@ def packed(rows):
 
 
 @pytest.mark.parametrize("dim", [8, 13, 64])
-def test_bounds_hold_and_leave_few_pairs_of_clusters(dim):
+def test_bounds_hold_and_leave_few_pairs_of_clusters(dim, monkeypatch):
+    monkeypatch.setattr(negatives, "SPARSE", 1.0)
     rng = np.random.default_rng(dim)
     a = packed([(i, rng.normal(size=dim), 0) for i in range(40)])
     exact = a.vectors @ a.vectors.T
