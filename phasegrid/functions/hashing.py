@@ -19,9 +19,14 @@ HASH_RANGE = 1 << 32
 
 
 def row_key(columns: Sequence[str]) -> Column:
-    """One text key from the key columns; a null part is kept apart from an empty one."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return parts[0] if len(parts) == 1 else F.concat_ws("-", *parts)
+    """One text key from the key columns, different for different rows: the size of each part stands before it.
+
+    A null part has no size. A single column is its own key, with null as \\N.
+    """
+    if len(columns) == 1:
+        return F.coalesce(F.col(columns[0]).cast("string"), F.lit("\\N"))
+    sized = lambda text: F.concat(F.length(text).cast("string"), F.lit(":"), text)
+    return F.concat(*[F.coalesce(sized(F.col(c).cast("string")), F.lit(":")) for c in columns])
 
 
 def hash_hex(key: Column, seed: int) -> Column:

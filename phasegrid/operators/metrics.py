@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.functions.values import share
-from phasegrid.operators.selection import chunk_bounds, with_chunk
+from phasegrid.operators.selection import running_totals
 
 CLIP = 1e-15
+#: Classes of the largest dense matrix.
+MOST_CLASSES = 1000
 
 
 def cell_counts(label: Column, prediction: Column) -> dict[str, Column]:
@@ -67,14 +69,21 @@ def confusion_binary(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str, n_classes: int | None = None) -> DataFrame:
-    """(label, prediction, n): dense grid of n classes; highest class + 1 when not given."""
-    if n_classes is None:
-        top = df.agg(F.max(F.greatest(label, prediction))).first()[0]
-        n_classes = 0 if top is None else int(top) + 1
+def confusion_matrix(df: DataFrame, label: str, prediction: str, n_classes: int | None = None, dense: bool = True) -> DataFrame:
+    """(label, prediction, n): dense grid of n classes; highest class + 1 when not given.
+
+    A grid of more than MOST_CLASSES classes raises; without ``dense`` only the cells that occur come, for any classes.
+    """
     counts = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    if not dense:
+        return counts
+    if n_classes is None:
+        top = df.agg(F.max(F.greatest(label, prediction))).first()[0]
+        n_classes = 0 if top is None else int(top) + 1
+    if n_classes > MOST_CLASSES:
+        raise ValueError(f"a grid of {n_classes} classes has {n_classes**2} cells; use dense=False")
     cell = F.col("id")
     grid = df.sparkSession.range(n_classes * n_classes).select(
         F.floor(cell / n_classes).cast("int").alias("label"), (cell % n_classes).cast("int").alias("prediction")
@@ -84,27 +93,19 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, n_classes: int
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str, rows_per_chunk: int = 250_000) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row (roc_auc): share of (positive, negative) pairs ranked right, ties half; null if undefined.
 
-    Rows first collapse to one per distinct score. The scores are cut into ordered chunks; a chunk
-    needs only its own counts and inner area, and the chunks combine in a sum over at most a few
-    thousand rows. No task sees more than one chunk.
+    Rows whose label or score is null, or whose score is NaN, are left out. The table is read once: rows collapse to one
+    per distinct score, and running totals over those place the negatives below each.
     """
     y, s = F.col(label), F.col(score).cast("double")
-    rated = df.where(y.isNotNull() & s.isNotNull()).select(y.alias("y"), s.alias("s"))
+    rated = df.where(y.isNotNull() & s.isNotNull() & ~F.isnan(s)).select(y.alias("y"), s.alias("s"))
     by_score = rated.groupBy("s").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
-    chunked = with_chunk(by_score, "s", chunk_bounds(rated, "s", rows_per_chunk))
-    below = Window.partitionBy("chunk").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    chunks = chunked.withColumn("area", inner).groupBy("chunk").agg(
-        F.sum("area").alias("area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    earlier = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumn("neg_before", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
-    area = F.sum(F.col("area") + F.col("pos") * F.col("neg_before"))
+    placed = running_totals(by_score, "s", {"below": "neg"})
+    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return placed.agg(F.try_divide(area, pairs).alias("roc_auc"))
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.operators.selection import chunk_bounds, with_chunk
+from phasegrid.operators.selection import running_totals
+from phasegrid.session import stored
 
 # Limits of the readiness guide.
 BASELINE_MARGIN, SCREENING_GAIN, STRONG_GAIN = 0.02, 0.03, 0.08
 SCREENING_F1, STRONG_F1 = 0.65, 0.72
 ACCURACY_FLOOR, F1_FLOOR = 0.65, 0.60
 DEPLOY_ACCURACY, DEPLOY_F1 = 0.70, 0.68
+#: Keys over which the runs of one accuracy are dealt.
+SALTS = 16
 
 
 def pad_loss_curve(history: DataFrame, run: str, step: str, loss: str, requested: int) -> DataFrame:
@@ -35,40 +38,32 @@ def pad_loss_curve(history: DataFrame, run: str, step: str, loss: str, requested
 def compare_runs(runs: DataFrame) -> DataFrame:
     """Side-by-side metrics with missing ones as 0, gain over the baseline and rank by accuracy.
 
-    The rank is 1 + number of runs with a higher accuracy. It is found over distinct accuracies in
-    ordered chunks, so a long run history is not sorted in one task.
+    The rank is 1 + number of runs with a higher accuracy, from running totals over the distinct accuracies. The runs
+    are computed once and stored; runs of one accuracy, such as 0 of failed ones, are dealt over SALTS keys.
     """
-    filled = runs.select(
+    filled = stored(runs.select(
         "run_id",
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("accuracy", "f1", "roc_auc", "baseline_accuracy")],
-    )
-    bounds = chunk_bounds(filled, "accuracy")
+    ), "runs")
     by_value = filled.groupBy("accuracy").agg(F.count(F.lit(1)).alias("n"))
-    chunked = with_chunk(by_value, "accuracy", bounds)
-    above = Window.partitionBy("chunk").orderBy(F.desc("accuracy")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = chunked.withColumn("higher", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    if bounds:
-        # one row per chunk, at most len(bounds) + 1 of them: small enough to broadcast
-        later = Window.partitionBy(F.lit(0)).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = chunked.groupBy("chunk").agg(F.sum("n").alias("n")).select(
-            "chunk", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("offset")
-        )
-        ranks = ranks.join(F.broadcast(offsets), "chunk").withColumn("higher", F.col("higher") + F.col("offset"))
-    ranks = ranks.select("accuracy", (F.col("higher") + 1).alias("accuracy_rank"))
-    return filled.join(ranks, "accuracy").select(
+    ranks = running_totals(by_value, "accuracy", {"higher": "n"}, descending=True).select(
+        "accuracy", (F.col("higher") + 1).alias("accuracy_rank"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    salted = filled.withColumn("salt", F.pmod(F.xxhash64("run_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(ranks, ["accuracy", "salt"]).select(
         "run_id", "accuracy", "f1", "roc_auc", "baseline_accuracy",
         (F.col("accuracy") - F.col("baseline_accuracy")).alias("gain"), "accuracy_rank",
     )
 
 
 def readiness(accuracy: Column, f1: Column, baseline: Column) -> Column:
-    """not_ready, borderline, screening or strong; what the guide leaves open is borderline."""
+    """not_ready, borderline, screening or strong; what the guide leaves open takes the best band it reaches."""
     # differences of decimal shares carry binary noise; 9 digits keep the limits inclusive
     gain = F.round(accuracy - baseline, 9)
     return (
         F.when((accuracy < ACCURACY_FLOOR) | (f1 < F1_FLOOR) | (gain < -BASELINE_MARGIN), "not_ready")
         .when((gain >= STRONG_GAIN) & (f1 > STRONG_F1), "strong")
-        .when((gain >= SCREENING_GAIN) & (gain <= STRONG_GAIN) & (f1 > SCREENING_F1), "screening")
+        .when((gain >= SCREENING_GAIN) & (f1 > SCREENING_F1), "screening")
         .otherwise("borderline")
     )
 

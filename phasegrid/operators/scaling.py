@@ -37,8 +37,10 @@ class Affine:
 
 
 def _one_row(df: DataFrame, columns: Sequence[str], *stats) -> list[list[float | None]]:
+    """Statistics of each column, NaN left out as null is."""
     require_columns(df, columns)
-    aggs = [s(F.col(c).cast("double")).alias(f"s{i}_{j}") for j, c in enumerate(columns) for i, s in enumerate(stats)]
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    aggs = [s(known(c)).alias(f"s{i}_{j}") for j, c in enumerate(columns) for i, s in enumerate(stats)]
     row = df.agg(*aggs).first()
     return [[row[f"s{i}_{j}"] for j in range(len(columns))] for i in range(len(stats))]
 
@@ -56,7 +58,7 @@ def fit_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def impute(df: DataFrame, means: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in means.items()})
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m)) for c, m in means.items()})
 
 
 def fit_minmax(df: DataFrame, columns: Sequence[str], top: float = 1.0) -> Affine:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.functions.hashing import fast_below, hash_below, hash_hex, row_key
-from phasegrid.operators.selection import MAX_GROUPS, below_cut, lowest_cuts
+from phasegrid.operators.selection import among_lowest, digit_counts, lowest_cuts
 
 KEY, HASH, GROUP = "__key", "__hash", "__group"
 
@@ -31,40 +30,38 @@ def _hashed(df: DataFrame, key: Sequence[str], seed: int, group) -> DataFrame:
     return df.withColumn(KEY, row_key(key)).withColumns({HASH: hash_hex(F.col(KEY), seed), GROUP: group})
 
 
-def _group_sizes(df: DataFrame, label: str) -> dict:
-    sizes = df.where(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_GROUPS + 1).collect()
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"{label!r} has more than {MAX_GROUPS} classes")
-    return {r[label]: r["count"] for r in sizes}
+def _rows(hashed: DataFrame) -> DataFrame:
+    return hashed.select(F.col(GROUP).alias("g"), F.col(HASH).alias("h"), F.col(KEY).alias("k"))
 
 
 def exact_split(df: DataFrame, key: Sequence[str], label: str, test_size: float = 0.25, seed: int = 42) -> DataFrame:
     """Add ``is_test`` with exactly the rounded share of rows, per class when there are two classes.
 
-    Otherwise the table is split as one group. Rows of a null label stay in training. The cut is
-    found by histogram passes, then applied as a filter on literals: no window over a class.
+    Otherwise the table is split as one group. Rows of a null label stay in training. The table is read three times:
+    to count the rows by the upper digits of their hashes, which also tells classes and sizes, to count within the
+    digits of the cut, and to mark the rows.
     """
-    known_rows = df.where(F.col(label).isNotNull())
-    sizes = {r[label]: r["count"] for r in known_rows.groupBy(label).count().limit(3).collect()}
-    if len(sizes) == 2:
-        hashed = _hashed(df, key, seed, F.col(label))
-        wanted = {g: math.floor(n * test_size + 0.5) for g, n in sizes.items()}
-    else:
-        known = F.when(F.col(label).isNotNull(), F.lit(0))
-        hashed = _hashed(df, key, seed, known)
-        wanted = {0: math.floor(known_rows.count() * test_size + 0.5)}
-    cuts = lowest_cuts(hashed, GROUP, HASH, KEY, wanted)
-    flag = below_cut(cuts, F.col(GROUP), F.col(HASH), F.col(KEY))
-    return hashed.withColumn("is_test", flag).drop(KEY, HASH, GROUP)
+    hashed = _hashed(df, key, seed, F.col(label))
+    counts = digit_counts(_rows(hashed))
+    if counts.select("g").distinct().count() != 2:
+        hashed = hashed.withColumn(GROUP, F.when(F.col(label).isNotNull(), 0))
+        counts = counts.groupBy(F.lit(0).alias("g"), "b").agg(F.sum("n").alias("n"))
+    cuts = lowest_cuts(_rows(hashed), counts, F.floor(F.col("size") * test_size + 0.5))
+    return among_lowest(hashed, GROUP, HASH, KEY, cuts, "is_test").drop(KEY, HASH, GROUP)
 
 
 def balanced_sample(df: DataFrame, key: Sequence[str], label: str, rows: int = 300, seed: int = 42) -> DataFrame:
     """The same number of rows of each class, lowest hashes first; a smaller class comes whole.
 
-    What does not divide evenly goes to the first classes in their order, one row each.
+    What does not divide evenly goes to the first classes in their order, one row each. Any number of classes.
     """
-    sizes = _group_sizes(df, label)
     hashed = _hashed(df, key, seed, F.col(label))
-    each, rest = divmod(rows, max(1, len(sizes)))
-    cuts = lowest_cuts(hashed, GROUP, HASH, KEY, {g: each + (i < rest) for i, g in enumerate(sorted(sizes))})
-    return hashed.where(below_cut(cuts, F.col(GROUP), F.col(HASH), F.col(KEY))).drop(KEY, HASH, GROUP)
+    counts = digit_counts(_rows(hashed))
+    classes = counts.select("g").distinct()
+    each, rest = divmod(rows, max(1, classes.count()))
+    wanted = F.lit(each)
+    if rest:
+        last = classes.orderBy("g").offset(rest - 1).limit(1).first()[0]
+        wanted = wanted + (F.col("g") <= F.lit(last)).cast("int")
+    cuts = lowest_cuts(_rows(hashed), counts, wanted)
+    return among_lowest(hashed, GROUP, HASH, KEY, cuts, "__taken").where("__taken").drop(KEY, HASH, GROUP, "__taken")

@@ -155,7 +155,7 @@ def run_compare(spark, folder):
 g AS (SELECT *, accuracy + 0.12 AS a, coalesce(f1, 0.0) + 0.15 AS f, round(accuracy + 0.12 - baseline_accuracy, 9) AS gain FROM runs)
 SELECT run_id,
   CASE WHEN a < 0.65 OR f < 0.6 OR gain < -0.02 THEN 'not_ready' WHEN gain >= 0.08 AND f > 0.72 THEN 'strong'
-       WHEN gain >= 0.03 AND gain <= 0.08 AND f > 0.65 THEN 'screening' ELSE 'borderline' END AS readiness,
+       WHEN gain >= 0.03 AND f > 0.65 THEN 'screening' ELSE 'borderline' END AS readiness,
   CASE WHEN gain < 0 THEN 'below' WHEN gain <= 0.05 THEN 'marginal' WHEN gain <= 0.15 THEN 'good' ELSE 'strong' END AS improvement,
   a >= 0.7 AND f > 0.68 AS deployable FROM g""")
 def readiness_gate(spark, folder):

@@ -28,6 +28,17 @@ def label_median(spark, folder):
     return events.select("event_id", L.fit_label(events, "value").expression().alias("label"))
 
 
+_SQL_WIDE = "(SELECT event_id, value * pow(2.0, event_id % 1400 - 700) AS value FROM events)"
+
+
+@query("label_median_wide", f"SELECT event_id, CASE WHEN value > (SELECT median(value) FROM {_SQL_WIDE}) THEN 1 ELSE 0 END AS label FROM {_SQL_WIDE}")
+def label_median_wide(spark, folder):
+    """Values over 420 decimal scales."""
+    scaled = F.col("value") * F.pow(F.lit(2.0), (F.col("event_id") % 1400 - 700).cast("double"))
+    events = table(spark, folder, "events").select("event_id", scaled.alias("value"))
+    return events.select("event_id", L.fit_label(events, "value").expression().alias("label"))
+
+
 @query("label_string", f"SELECT {SQL_KEYS}, CASE WHEN l_linestatus = (SELECT max(l_linestatus) FROM lineitem) THEN 1 ELSE 0 END AS label FROM lineitem")
 def label_string(spark, folder):
     lines = table(spark, folder, "lineitem")
@@ -123,3 +134,14 @@ SELECT {SQL_KEYS}, l_linestatus FROM (
 def balanced_sample(spark, folder):
     lines = table(spark, folder, "lineitem").select(*LINE_KEY, "l_linestatus")
     return X.balanced_sample(lines, LINE_KEY, "l_linestatus", 300)
+
+
+@query("balanced_sample_by_part", SQL_LINES + f"""
+SELECT {SQL_KEYS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY h, k) AS rn, dense_rank() OVER (ORDER BY l_partkey) - 1 AS place,
+         (SELECT count(DISTINCT l_partkey) FROM lineitem) AS classes FROM rows_)
+WHERE rn <= 25000 // classes + CASE WHEN place < 25000 % classes THEN 1 ELSE 0 END""")
+def balanced_sample_by_part(spark, folder):
+    """As many classes as there are parts."""
+    lines = table(spark, folder, "lineitem").select(*LINE_KEY)
+    return X.balanced_sample(lines, LINE_KEY, "l_partkey", 25_000)

@@ -56,9 +56,10 @@ def feature_columns() -> list[Column]:
 
 
 # SQL shared by the oracles: key, hash, split, label, train-side statistics, scaled features x0..x3.
-SQL_LINES = """
+SQL_ROW_KEY = " || ".join(f"length({c}::VARCHAR) || ':' || {c}::VARCHAR" for c in LINE_KEY)
+SQL_LINES = f"""
 WITH keyed AS (
-  SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k,
+  SELECT *, {SQL_ROW_KEY} AS k,
          CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS label
   FROM lineitem),
 hashed AS (

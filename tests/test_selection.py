@@ -60,25 +60,77 @@ def test_exact_split_sizes_and_order(spark, n):
         assert [r["is_test"] for r in mine] == [True] * want + [False] * (len(mine) - want)
 
 
+def lowest(df, wanted):
+    """Rows of (g, h, k) that are among the lowest of their group."""
+    cuts = S.lowest_cuts(df, S.digit_counts(df), wanted)
+    return S.among_lowest(df, "g", "h", "k", cuts, "taken").where("taken")
+
+
 def test_tied_hashes_are_cut_by_key(spark):
     rows = [(f"k{i:03d}", 0, "0000000a") for i in range(50)] + [("z", 0, "00000001")]
     df = spark.createDataFrame(rows, "k string, g int, h string")
-    cuts = S.lowest_cuts(df, "g", "h", "k", {0: 11})
-    taken = {r["k"] for r in df.where(S.below_cut(cuts, F.col("g"), F.col("h"), F.col("k"))).collect()}
-    assert taken == {"z", *[f"k{i:03d}" for i in range(10)]}
+    assert {r["k"] for r in lowest(df, F.lit(11)).collect()} == {"z", *[f"k{i:03d}" for i in range(10)]}
 
 
 def test_equal_keys_stay_together(spark):
     df = spark.createDataFrame([("same", 0, "00000001")] * 40 + [("other", 0, "0000000f")], "k string, g int, h string")
-    cuts = S.lowest_cuts(df, "g", "h", "k", {0: 5})
-    assert df.where(S.below_cut(cuts, F.col("g"), F.col("h"), F.col("k"))).count() == 40
+    assert lowest(df, F.lit(5)).count() == 40
+
+
+def test_cut_larger_than_the_group_and_groups_without_one(spark):
+    df = keyed(spark, 15, 3).select(F.col("label").alias("g"), hash_hex(F.col("key"), 1).alias("h"), F.col("key").alias("k"))
+    df = df.unionByName(spark.createDataFrame([(None, "00000000", "n")], "g int, h string, k string"))
+    kept = lowest(df, F.when(F.col("g") == 0, 99).when(F.col("g") == 1, 2).otherwise(0)).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in kept} == {0: 5, 1: 2}
+
+
+@few
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40)), max_size=80), st.integers(0, 9))
+def test_lowest_equals_a_sort(spark, cells, wanted):
+    rows = [(g, f"{h * 104_729:08x}", f"k{i:02d}") for i, (g, h) in enumerate(cells)]
+    got = sorted(map(tuple, lowest(spark.createDataFrame(rows, "g int, h string, k string"), F.lit(wanted)).select("g", "h", "k").collect()))
+    assert got == sorted(r for g in range(4) for r in sorted(x for x in rows if x[0] == g)[:wanted])
+
 
+def plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
 
-def test_cut_larger_than_the_group(spark):
-    df = keyed(spark, 10).withColumn("h", hash_hex(F.col("key"), 1))
-    cuts = S.lowest_cuts(df, "label", "h", "key", {0: 99, 1: 2})
-    kept = df.where(S.below_cut(cuts, F.col("label"), F.col("h"), F.col("key"))).groupBy("label").count().collect()
-    assert {r["label"]: r["count"] for r in kept} == {0: 5, 1: 2}
+
+def test_thousands_of_classes_share_one_plan(spark):
+    few_classes, many = keyed(spark, 12_000, 3), keyed(spark, 12_000, 5000)
+    sample = X.balanced_sample(many, ["key"], "label", 10_007)
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    whole = {g: (12_000 - g + 4999) // 5000 for g in range(5000)}
+    assert counts == {g: min(whole[g], 2 + (g < 7)) for g in range(5000)}
+    same = X.balanced_sample(few_classes, ["key"], "label", 10_007)
+    assert abs(plan_size(sample) - plan_size(same)) < 200
+    hashed = {r["key"]: r["h"] for r in many.select("key", hash_hex(F.col("key"), 42).alias("h")).collect()}
+    first = {r["label"]: r["key"] for r in X.balanced_sample(many, ["key"], "label", 5000).collect()}
+    assert all(hashed[first[g]] == min(hashed[f"k{i}"] for i in range(g, 12_000, 5000)) for g in (0, 17, 4999))
+
+
+def reads(spark, tmp_path, name, rows, act):
+    """How many times ``act`` reads all rows of a written table."""
+    path = f"{tmp_path}/{name}"
+    rows.write.parquet(path)
+    source = spark.read.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    act(source.mapInArrow(count, source.schema)).collect()
+    return seen.value / source.count()
+
+
+def test_how_often_tables_are_read(spark, tmp_path):
+    df = keyed(spark, 3000).withColumn("s", F.col("key").substr(2, 9).cast("double"))
+    assert reads(spark, tmp_path, "split", df, lambda d: X.exact_split(d, ["key"], "label")) <= 3.01 + 1  # a tie pass at most
+    assert reads(spark, tmp_path, "auc", df, lambda d: M.roc_auc(d, "label", "s")) == 1
+    runs = df.selectExpr("key as run_id", "s / 3000 as accuracy", "0.5 as f1", "0.5 as roc_auc", "0.4 as baseline_accuracy")
+    assert reads(spark, tmp_path, "runs", runs, R.compare_runs) == 1
 
 
 def test_balanced_sample(spark):
@@ -112,33 +164,95 @@ def brute_auc(pairs):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-def auc(spark, pairs, **kw):
-    return M.roc_auc(spark.createDataFrame(pairs, "y int, s double"), "y", "s", **kw).first()[0]
+def auc(spark, pairs):
+    return M.roc_auc(spark.createDataFrame(pairs, "y int, s double"), "y", "s").first()[0]
 
 
 @few
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12).map(lambda i: i / 12)), min_size=1, max_size=60))
 def test_auc_with_ties(spark, pairs):
-    got, want = auc(spark, pairs, rows_per_chunk=5), brute_auc(pairs)
+    got, want = auc(spark, pairs), brute_auc(pairs)
     assert (got is None and want is None) or math.isclose(got, want, abs_tol=1e-12)
 
 
 def test_auc_in_many_chunks_with_a_hot_score(spark):
     rng = random.Random(3)
     pairs = [(rng.randint(0, 1), 0.5 if i % 3 == 0 else rng.random()) for i in range(1500)]
-    got = auc(spark, pairs, rows_per_chunk=20)
+    got = auc(spark, pairs)
     assert math.isclose(got, brute_auc(pairs), abs_tol=1e-12)
-    assert math.isclose(auc(spark, [(y, -s) for y, s in pairs], rows_per_chunk=20), 1 - got, abs_tol=1e-12)
+    assert math.isclose(auc(spark, [(y, -s) for y, s in pairs]), 1 - got, abs_tol=1e-12)
+
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_over_ranges(spark, descending):
+    rows = [(float(i * 7919 % 4001), i % 13, 1) for i in range(4001)]
+    got = S.running_totals(spark.createDataFrame(rows, "v double, a int, b int"), "v", {"x": "a", "y": "b"}, descending).collect()
+    ordered = sorted(rows, reverse=descending)
+    want, x = {}, 0
+    for y, (v, a, _) in enumerate(ordered):
+        want[v] = (x, y)
+        x += a
+    assert len(got) == 4001 and all((r["x"], r["y"]) == want[r["v"]] for r in got)
 
-def test_rank_of_runs(spark, monkeypatch):
-    monkeypatch.setattr(R, "chunk_bounds", lambda df, c: S.chunk_bounds(df, c, rows_per_chunk=7))
-    rows = [(i, (i * 37 % 50) / 50, 0.5, None, 0.4) for i in range(120)]
+
+def test_rank_of_runs(spark):
+    rows = [(i, 0.0 if i % 3 else (i * 37 % 50) / 50, 0.5, None, 0.4) for i in range(120)]
     runs = spark.createDataFrame(rows, "run_id int, accuracy double, f1 double, roc_auc double, baseline_accuracy double")
     got = {r["run_id"]: r["accuracy_rank"] for r in R.compare_runs(runs).collect()}
     assert got == {i: 1 + sum(o[1] > a for o in rows) for i, a, *_ in rows}
 
 
+def test_scores_that_are_no_number_are_left_out(spark):
+    assert auc(spark, [(1, 0.9), (0, 0.1), (0, float("nan")), (1, float("nan")), (1, None), (None, 0.5)]) == 1.0
+    assert auc(spark, [(1, float("nan")), (0, 0.1)]) is None
+
+
+def test_readiness_of_large_gains_with_a_middling_f1(spark):
+    gate = lambda a, f, b: spark.range(1).select(R.readiness(F.lit(a), F.lit(f), F.lit(b))).first()[0]
+    assert gate(0.80, 0.70, 0.70) == "screening" and gate(0.80, 0.70, 0.75) == "screening" and gate(0.80, 0.73, 0.70) == "strong"
+    assert gate(0.80, 0.62, 0.70) == "borderline"
+
+
+def test_grid_of_very_many_classes_raises(spark):
+    df = spark.createDataFrame([(5000, 1), (3, 3)], "y int, p int")
+    with pytest.raises(ValueError, match="dense=False"):
+        M.confusion_matrix(df, "y", "p")
+    assert sorted(map(tuple, M.confusion_matrix(df, "y", "p", dense=False).collect())) == [(3, 3, 1), (5000, 1, 1)]
+
+
+def test_keys_of_different_rows_differ(spark):
+    from phasegrid.functions.hashing import row_key
+
+    rows = [("a-b", "c"), ("a", "b-c"), ("a", None), (None, "a"), ("", "a"), ("a", ""), ("1:a", "b"), ("1", "a1:b")]
+    assert spark.createDataFrame(rows, "x string, y string").select(row_key(["x", "y"])).distinct().count() == len(rows)
+
+
+def jobs(spark, act):
+    group = f"count-{act.__name__}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    out = act()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup(None, None)
+    return out, found
+
+
+def test_median_needs_few_passes_at_any_scale(spark, monkeypatch):
+    decades = [10.0**e for e in range(-200, 200)]
+
+    def median():
+        return S.exact_median(numbers(spark, decades), "v")
+
+    got, wide = jobs(spark, median)
+    assert got == statistics.median(decades)
+    decades = [float(e) for e in range(400)]
+    assert jobs(spark, median) == (199.5, wide) and wide <= 6
+    monkeypatch.setattr(S, "LISTED", 20)
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1) ** 9 for _ in range(30_000)], [float(i // 900) for i in range(30_001)], [-math.inf, *range(5000), math.inf, math.inf]):
+        assert S.exact_median(numbers(spark, values), "v") == statistics.median(values)
+    assert S.exact_median(numbers(spark, [math.nan, 1.0, None, 3.0]), "v") == 2.0
+
+
 def test_fast_split_is_stable_and_close_to_the_share(spark):
     df = keyed(spark, 4000)
     first = X.hash_split(df, ["key"], 0.3, 7, "xxhash64").select("key", "is_test")
