@@ -3,77 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.functions.encoding import variational_z
+from phasegrid.functions.encoding import rotation_weights
 from phasegrid.functions.hashing import draw_parameters, parameter_count
 from phasegrid.functions.readout import argmax
 from phasegrid.operators.scaling import fit_angle_scale
 from phasegrid.operators.splitting import hash_split
+from phasegrid.plans.model import training_basis
+from phasegrid.plans.softmax import fit_draws
 from phasegrid.plans.train import spread
 
-PARALLEL_FITS = 4
 SEARCH_SCHEMA = (
     "trial int, accuracy double, theta array<double>, is_best boolean, n_test bigint, n_qubits int, ansatz string"
 )
 
 
-def _class_scores(fitted, features: list[Column]) -> Column:
-    weights, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+def _predicted(mix: np.ndarray, weights: np.ndarray, basis: Sequence[str]) -> Column:
+    """Class of a row from its basis columns; the features are sums of them, so a class score is one as well."""
     scores = []
-    for row, intercept in zip(weights, intercepts):
-        score = F.lit(float(intercept))
-        for f, w in zip(features, row):
-            score = score + f * float(w)
+    for row in weights:
+        score = F.lit(float(row[-1]))
+        for name, w in zip(basis, row[:-1] @ mix):
+            score = score + F.col(name) * float(w)
         scores.append(score)
-    return F.array(*scores)
+    return argmax(F.array(*scores))
+
+
+def _mix(theta: Sequence[float], ansatz: str, basis: Sequence[str]) -> np.ndarray:
+    """The expectations of a draw as sums over the basis columns c0.., s0.. (cosines and sines of the angles)."""
+    out = np.zeros((len([b for b in basis if b[0] == "c"]), len(basis)))
+    for q, weights in enumerate(rotation_weights(theta, ansatz)):
+        for name, w in zip("cs", weights[0]):
+            if w:
+                out[q, basis.index(f"{name}{q}")] = w
+    return out
 
 
 def search_parameters(
     df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], trials: int = 10, ansatz: str = "ry",
-    most_qubits: int | None = None, test_size: float = 0.3, seed: int = 42, max_iter: int = 200,
+    most_qubits: int | None = None, test_size: float = 0.3, seed: int = 42, max_iter: int = 25, method: str = "xxhash64",
 ) -> DataFrame:
     """(trial, accuracy, theta, is_best, n_test, n_qubits, ansatz), one row per draw.
 
-    All features are used; a ``most_qubits`` smaller than their number raises.
-
-    ``label`` holds classes 0..k-1. Angles are scaled with train-side statistics. The draws share
-    one cached table; the test accuracies of all draws come from one aggregate at the end.
+    All features are used; a ``most_qubits`` smaller than their number raises. ``label`` holds classes 0..k-1; rows
+    without one take no part. Angles are scaled with train-side statistics. The cosines and sines of the angles do not
+    depend on the draw: they are cached once, all draws are fitted together by steps of one job each, and the test
+    accuracies of all draws come from one aggregate at the end.
     """
     spark = df.sparkSession
     used = list(features)
     if most_qubits is not None and most_qubits < len(used):
         raise ValueError(f"{len(used)} features do not fit {most_qubits} qubits")
-    split = hash_split(df, key, test_size, seed, "xxhash64")
+    split = hash_split(df.where(F.col(label).isNotNull()), key, test_size, seed, method)
     angles = fit_angle_scale(split.where(~F.col("is_test")), used).apply(split)
-    rows = spread(angles.select(*used, F.col(label).cast("int").alias("label"), "is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    columns = training_basis([F.col(c) for c in used], "rotation", ansatz)
+    basis = list(columns)
+    rows = spread(angles.select(*[c.alias(n) for n, c in columns.items()], F.col(label).cast("int").alias("label"), "is_test"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = rows.where(~F.col("is_test"))
-        n_train = train.count()
-        x = [F.col(c) for c in used]
+        top = train.agg(F.max("label")).first()[0]
         draws = [draw_parameters(parameter_count(len(used), 1, ansatz), seed, t) for t in range(trials)]
-
-        def classify(theta: list[float]) -> Column:
-            z = variational_z(x, theta, ansatz)
-            names = [f"z{q}" for q in range(len(z))]
-            table = train.select("label", *[c.alias(n) for n, c in zip(names, z)])
-            estimator = LogisticRegression(
-                featuresCol="__z", labelCol="label", maxIter=max_iter, regParam=1.0 / max(n_train, 1),
-                elasticNetParam=0.0, standardization=False, family="multinomial",
-            )
-            fitted = estimator.fit(VectorAssembler(inputCols=names, outputCol="__z").transform(table))
-            return argmax(_class_scores(fitted, z))
-
-        # a few fits at a time: each keeps its own blocks in memory while it runs
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            predictions = list(pool.map(classify, draws))
+        mixes = np.array([_mix(d, ansatz, basis) for d in draws])
+        weights = fit_draws(train, basis, "label", mixes, (top or 0) + 1, max_iter)
         y = F.col("label")
+        predictions = [_predicted(m, w, basis) for m, w in zip(mixes, weights)]
         hits = rows.where("is_test").agg(
             F.count(F.lit(1)).alias("n"), *[F.count_if(p == y).alias(f"t{i}") for i, p in enumerate(predictions)]
         ).first()

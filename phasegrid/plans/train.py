@@ -7,13 +7,15 @@ vectors and single metric rows reach the driver.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -223,7 +225,9 @@ def evaluate(scaled: DataFrame, model: VariationalModel, baseline: LinearModel)
     return out | {"auc": auc["model"], "auc_base": auc["base"]}
 
 
-#: Runs of a batch at one time; each keeps its scaled table cached meanwhile.
+#: Change of the baseline's loss that ends its fit.
+BASELINE_TOL = 1e-12
+#: Runs of a batch at one time; each keeps its basis columns cached meanwhile.
 PARALLEL_RUNS = 4
 
 
@@ -242,12 +246,49 @@ def spec_label(spec: dict) -> str:
     ])
 
 
+@dataclass(frozen=True)
+class Shared:
+    """A prepared dataset with its scaled rows, cached, and the number of training rows: what runs on the same data share."""
+
+    prepared: Prepared
+    scaled: DataFrame
+    n_train: int
+
+    def release(self) -> None:
+        """Let the cache go; the tables stay usable."""
+        self.scaled.unpersist()
+
+
+def data_key(spec: dict) -> str:
+    """Equal for specs whose runs prepare the same table."""
+    return json.dumps(spec.get("dataset") or {}, sort_keys=True, default=str)
+
+
+def share(spark: SparkSession, spec: dict, catalog: Catalog) -> Shared:
+    """Load, label, split and scale the dataset of a spec; one scan fits the scaler, one fills the cache."""
+    data = spec.get("dataset") or {}
+    if not data:
+        raise ValueError("the spec has no dataset")
+    dataset = catalog.resolve(data)
+    features = list(dataset.feature_columns)
+    check_run(dataset.label_column, features)
+    prepared = prepare(
+        catalog.load(spark, dataset), features, dataset.label_column, data.get("key_columns"),
+        float(data.get("test_size", 0.25)), int(data.get("seed", 42)), bool(data.get("exact_split", False)),
+        data.get("split_hash", "xxhash64"),
+    )
+    scaled = spread(prepared.scaler.apply(prepared.rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    return Shared(prepared, scaled, scaled.where(~F.col("is_test")).count())
+
+
 def train_run(
-    spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "run-1", model_folder: str | None = None
+    spark: SparkSession, spec: dict, catalog: Catalog, run_id: str = "run-1", model_folder: str | None = None,
+    shared: Shared | None = None,
 ) -> TrainedRun:
     """One training run from a spec {dataset, encoder, circuit, optimizer} to model and record.
 
-    With a ``model_folder`` (shared storage) the model is saved there under the run id.
+    With a ``model_folder`` (shared storage) the model is saved there under the run id. ``shared`` is the prepared data of
+    the spec, if it is there already.
     """
     began = time.monotonic()
     data = spec.get("dataset") or {}
@@ -263,19 +304,21 @@ def train_run(
     optimizer = component(OPTIMIZERS, settings.get("type"), "cobyla")
     maxiter, seed = max(1, int(settings.get("maxiter", 20))), int(data.get("seed", 42))
 
-    prepared = prepare(
-        catalog.load(spark, dataset), features, dataset.label_column, data.get("key_columns"),
-        float(data.get("test_size", 0.25)), seed, bool(data.get("exact_split", False)),
-        data.get("split_hash", "xxhash64"),
-    )
-    scaled = training_table(prepared, encoder, circuit_name).persist(StorageLevel.MEMORY_AND_DISK)
+    own = shared or share(spark, spec, catalog)
+    prepared, scaled = own.prepared, own.scaled
     try:
+        columns = training_basis([F.col(c) for c in features], encoder, CIRCUIT_ROTATION[circuit_name])
         train = scaled.where(~F.col("is_test"))
-        fit = fit_variational(prepared, train, encoder, circuit_name, optimizer, maxiter, seed)
-        baseline = fit_baseline(train, features, train.count())
+        basis = train.select("label", *[c.alias(n) for n, c in columns.items()]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fit = fit_variational(prepared, basis, encoder, circuit_name, optimizer, maxiter, seed)
+        finally:
+            basis.unpersist()
+        baseline = fit_baseline(train, features, own.n_train, tol=BASELINE_TOL)
         e = evaluate(scaled, fit.model, baseline)
     finally:
-        scaled.unpersist()
+        if shared is None:
+            own.release()
     path = None if model_folder is None else f"{model_folder.rstrip('/')}/{run_id}"
     if path is not None:
         save_model(spark, fit.model, path)
@@ -293,19 +336,54 @@ def train_run(
     return TrainedRun(fit.model, baseline, record)
 
 
-def run_batch(spark: SparkSession, specs: list[dict], catalog: Catalog, model_folder: str | None = None) -> DataFrame:
-    """Specs side by side, a few at a time; a spec that fails gives an error row, the others go on."""
+def run_tag(batch: str, i: int) -> str:
+    """Job tag of one spec of a batch: ``spark.sparkContext.cancelJobsWithTag`` ends that spec alone."""
+    return f"{batch}-run-{i}"
+
+
+def run_batch(
+    spark: SparkSession, specs: list[dict], catalog: Catalog, model_folder: str | None = None, batch: str = "batch"
+) -> DataFrame:
+    """Specs side by side, a few at a time; a spec that fails gives an error row, the others go on.
+
+    Specs of the same data are prepared once: one split and one scaling scan, one cached table. The jobs of each spec
+    carry its tag; one that is cancelled becomes an error row like any other failure.
+    """
     if len(specs) < 2:
         raise ValueError(f"{len(specs)} specs given, a comparison needs two or more")
     width = len(StructType.fromDDL(RUN_SCHEMA))
+    context = spark.sparkContext
+    tables: dict[str, Future] = {}
+    lock = Lock()
+
+    def data_of(i: int) -> Shared:
+        with lock:
+            first = data_key(specs[i]) not in tables
+            made = tables.setdefault(data_key(specs[i]), Future())
+        if first:
+            try:
+                made.set_result(share(spark, specs[i], catalog))
+            except BaseException as error:  # noqa: BLE001 - handed to every spec of this data
+                made.set_exception(error)
+        return made.result()
 
     def one(i: int) -> tuple:
+        tag = run_tag(batch, i)
         try:
-            return train_run(spark, specs[i], catalog, f"run-{i}", model_folder).record
+            shared = data_of(i)  # not under the tag: others share it
+            context.addJobTag(tag)
+            return train_run(spark, specs[i], catalog, f"run-{i}", model_folder, shared).record
         except Exception as error:  # noqa: BLE001 - any failure of one spec is that spec's result
             return (f"run-{i}", spec_label(specs[i]), "error", str(error).splitlines()[0], *[None] * (width - 4))
+        finally:
+            context.removeJobTag(tag)
 
     # independent Spark jobs: the short stages of one run fill the cores another leaves idle
-    with ThreadPoolExecutor(PARALLEL_RUNS) as pool:
-        rows = list(pool.map(one, range(len(specs))))
+    try:
+        with ThreadPoolExecutor(PARALLEL_RUNS) as pool:
+            rows = list(pool.map(inheritable_thread_target(spark)(one), range(len(specs))))
+    finally:
+        for made in tables.values():
+            if made.done() and made.exception() is None:
+                made.result().release()
     return spark.createDataFrame(rows, RUN_SCHEMA)

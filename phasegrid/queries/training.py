@@ -12,7 +12,7 @@ from phasegrid.plans.search import search_parameters
 from phasegrid.queries.registry import (
     FEATURES, LINE_KEY, SQL_SCALED, THETA, feature_columns, line_scaler, query, rounded, split_lines,
 )
-from phasegrid.queries.training_sql import adam_curve, newton_metrics, spsa_curve
+from phasegrid.queries.training_sql import adam_curve, batch_metrics, newton_metrics, search_accuracies, spsa_curve
 from phasegrid.sources.catalog import Catalog, Dataset
 from phasegrid.sources.tables import table
 
@@ -80,12 +80,12 @@ def variational_fit_spsa(spark, folder):
     return _curve(spark, folder, "spsa", "angle", 15)
 
 
-@query("param_search")
+@query("param_search", search_accuracies(5, FEATURES))
 def param_search(spark, folder):
-    """Five seeded draws, each with a multinomial model on three return flags."""
-    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    """Five seeded draws, each with a multinomial model on three return flags; rows with another flag take no part."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2)
     lines = table(spark, folder, "lineitem").withColumn("flag", flag)
-    return rounded(search_parameters(lines, FEATURES, "flag", LINE_KEY, trials=5), ["accuracy"]).drop("theta")
+    return rounded(search_parameters(lines, FEATURES, "flag", LINE_KEY, trials=5, method="md5"), ["accuracy"]).drop("theta")
 
 
 def _catalog(folder: str) -> Catalog:
@@ -95,10 +95,10 @@ def _catalog(folder: str) -> Catalog:
     return catalog
 
 
-@query("batch_runs")
+@query("batch_runs", batch_metrics(8))
 def batch_runs(spark, folder):
     """Three specs side by side; the second has a three-class label and becomes an error row."""
-    key = {"key_columns": list(LINE_KEY)}
+    key = {"key_columns": list(LINE_KEY), "split_hash": "md5"}
     specs = [
         {"dataset": {"name": "lines", **key}, "encoder": {"type": "rotation"}, "circuit": {"type": "ry"}, "optimizer": {"type": "adam", "maxiter": 8}},
         {"dataset": {"name": "orders"}, "encoder": {"type": "angle"}, "circuit": {"type": "realamplitudes"}, "optimizer": {"type": "spsa"}},
@@ -108,4 +108,4 @@ def batch_runs(spark, folder):
     return rounded(runs.select(
         "run_id", "run_label", "status", "error", "optimizer_used", "n_train", "n_test", "epochs", "accuracy", "f1", "roc_auc",
         F.col("baseline.accuracy").alias("baseline_accuracy"),
-    ), ["accuracy", "f1", "roc_auc", "baseline_accuracy"])
+    ).fillna({"error": "", "optimizer_used": "", "n_train": 0, "n_test": 0, "epochs": 0}), ["accuracy", "f1", "roc_auc", "baseline_accuracy"])

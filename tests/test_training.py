@@ -1,5 +1,7 @@
 """Training: optimisers, baseline, search, batches."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,78 @@ def test_search_keeps_the_first_best(rows):
     scores = [r["accuracy"] for r in out]
     assert [r["is_best"] for r in out].index(True) == scores.index(max(scores)) and sum(r["is_best"] for r in out) == 1
     assert max(scores) > 0.7 and all(len(r["theta"]) == 3 for r in out)
+
+
+def test_draws_fitted_together_equal_single_fits(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from phasegrid.plans.softmax import fit_draws
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    y = (x @ rng.normal(size=(3, 3)) + rng.gumbel(size=(600, 3))).argmax(axis=1)
+    rows = [(*map(float, v), int(c)) for v, c in zip(x, y)] + [(math.nan, 0.0, 0.0, 1), (None, 0.0, 0.0, 2), (1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label int").repartition(4).cache()
+    mixes = np.array([np.eye(3), [[1.0, 0.5, 0.0], [0.0, 0.0, -2.0], [0.0, 1.0, 1.0]]])
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = fit_draws(df, ["a", "b", "c"], "label", mixes, 3)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 20  # two jobs for each step, draws together
+    known = df.where("label IS NOT NULL AND a IS NOT NULL AND NOT isnan(a)")
+    for mix, weights in zip(mixes, got):
+        drawn = known.select("label", *[sum(F.col(c) * float(w) for c, w in zip("abc", row)).alias(f"z{i}") for i, row in enumerate(mix)])
+        estimator = LogisticRegression(featuresCol="z", labelCol="label", regParam=1 / 600, standardization=False, family="multinomial", maxIter=500, tol=1e-12)
+        fitted = estimator.fit(VectorAssembler(inputCols=["z0", "z1", "z2"], outputCol="z").transform(drawn))
+        own = weights - weights.mean(axis=0)
+        assert np.allclose(own[:, :3], fitted.coefficientMatrix.toArray(), atol=2e-4)
+        assert np.allclose(own[:, 3], fitted.interceptVector.toArray(), atol=2e-4)
+
+
+def test_specs_of_one_dataset_are_prepared_once(spark, data, monkeypatch):
+    from phasegrid.queries.registry import FEATURES, LINE_KEY
+
+    made = []
+    prepare = T.prepare
+    monkeypatch.setattr(T, "prepare", lambda *a, **k: made.append(a) or prepare(*a, **k))
+    catalog = Catalog()
+    catalog.register(Dataset("lines", f"{data}/lineitem.parquet", "l_linestatus", FEATURES))
+    one = {"dataset": {"name": "lines", "key_columns": list(LINE_KEY)}, "encoder": {"type": "rotation"}, "circuit": {"type": "ry"}, "optimizer": {"type": "adam", "maxiter": 2}}
+    other = {**one, "dataset": {**one["dataset"], "seed": 7}}
+    alone = T.train_run(spark, one, catalog).record
+    made.clear()
+    rows = T.run_batch(spark, [one, {**one, "optimizer": {"type": "spsa", "maxiter": 2}}, other, {"dataset": {}}], catalog).collect()
+    assert len(made) == 2 and [r["status"] for r in rows] == ["ok", "ok", "ok", "error"]
+    assert rows[0]["accuracy"] == alone[15] and rows[0]["n_train"] == rows[1]["n_train"] != rows[2]["n_train"]
+
+
+def test_a_cancelled_run_is_an_error_row_and_the_others_go_on(spark, data, monkeypatch):
+    import threading
+
+    from phasegrid.queries.registry import FEATURES, LINE_KEY
+
+    catalog = Catalog()
+    catalog.register(Dataset("lines", f"{data}/lineitem.parquet", "l_linestatus", FEATURES))
+    spec = lambda n: {"dataset": {"name": "lines", "key_columns": list(LINE_KEY)}, "encoder": {"type": "rotation"}, "circuit": {"type": "ry"}, "optimizer": {"type": "adam", "maxiter": n}}
+    fit, begun = T.fit_variational, threading.Event()
+
+    def watched(*a, **k):
+        if a[5] > 100:
+            begun.set()
+        return fit(*a, **k)
+
+    monkeypatch.setattr(T, "fit_variational", watched)
+
+    def cancel():
+        begun.wait(60)
+        for _ in range(200):  # between two jobs there is nothing to cancel
+            spark.sparkContext.cancelJobsWithTag(T.run_tag("b", 1))
+            if done.wait(0.05):
+                return
+
+    done = threading.Event()
+    canceller = threading.Thread(target=cancel)
+    canceller.start()
+    rows = T.run_batch(spark, [spec(2), spec(2000)], catalog, batch="b").collect()
+    done.set()
+    canceller.join()
+    assert [r["status"] for r in rows] == ["ok", "error"] and "cancel" in rows[1]["error"].lower()
