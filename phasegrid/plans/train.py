@@ -381,7 +381,9 @@ def run_batch(
     # independent Spark jobs: the short stages of one run fill the cores another leaves idle
     try:
         with ThreadPoolExecutor(PARALLEL_RUNS) as pool:
-            rows = list(pool.map(inheritable_thread_target(spark)(one), range(len(specs))))
+            # wrapped one by one: each wrapping copies the thread's properties, in which the tags live
+            begun = [pool.submit(inheritable_thread_target(spark)(one), i) for i in range(len(specs))]
+            rows = [b.result() for b in begun]
     finally:
         for made in tables.values():
             if made.done() and made.exception() is None:
