@@ -19,6 +19,7 @@ from phasegrid.functions.encoding import (
     parity_probability, phase_features, rotation_weights, variational_z,
 )
 from phasegrid.functions.hashing import check_parameters, parameter_count
+from phasegrid.functions.layers import parity_products, two_layer_parity, two_layer_parity_sql
 from phasegrid.functions.readout import class_from_probability, confidence_band, risk_label
 from phasegrid.operators.columns import cast_features
 from phasegrid.operators.scaling import Affine
@@ -33,7 +34,8 @@ CIRCUIT_ROTATION = {
 
 MODEL_SCHEMA = (
     "features array<string>, encoder string, rotation string, theta array<double>, "
-    "offset array<double>, divisor array<double>, label_column string"
+    "offset array<double>, divisor array<double>, label_column string, layers int, entanglement string, "
+    "baseline struct<weights: array<double>, intercept: double>, spec string"
 )
 
 
@@ -44,6 +46,19 @@ def check_encoder(encoder: str, rotation: str) -> None:
         raise ValueError(f"phase encoders are read out through ry, not {rotation!r}")
 
 
+def two_layers(encoder: str, rotation: str, layers: int, n: int, entanglement: str = "linear") -> bool:
+    """Whether the parity of two entangled layers is meant; raises for depths that have no closed form here.
+
+    Rotations about z commute with the readout and the gates, so their layers change nothing at any depth.
+    """
+    if layers == 1 or (encoder == "rotation" and rotation == "rz"):
+        return False
+    if encoder != "rotation" or rotation != "ry" or layers != 2:
+        raise ValueError(f"{layers} layers of {rotation} behind the encoder {encoder!r} have no closed form here")
+    parity_products(n, entanglement)
+    return True
+
+
 def expectations(features: Sequence[Column], theta: Sequence[float], encoder: str, rotation: str) -> list[Column]:
     """<Z_q> per qubit from scaled features."""
     check_encoder(encoder, rotation)
@@ -81,6 +96,8 @@ class VariationalModel:
     encoder: str = "rotation"
     rotation: str = "ry"
     label_column: str = "label"
+    layers: int = 1
+    entanglement: str = "linear"
 
     @property
     def features(self) -> tuple[str, ...]:
@@ -88,13 +105,15 @@ class VariationalModel:
 
     def probability(self) -> Column:
         """Probability of class 1 from the raw (unscaled) feature columns."""
-        check_parameters(self.theta, parameter_count(len(self.features), 1, self.rotation))
+        check_parameters(self.theta, parameter_count(len(self.features), self.layers, self.rotation))
         scaled = list(self.scaler.expressions().values())
         return self.probability_of(scaled)
 
     def probability_of(self, scaled: Sequence[Column]) -> Column:
         """The same from columns that are scaled already."""
-        return parity_probability(expectations(scaled, self.theta, self.encoder, self.rotation))
+        if two_layers(self.encoder, self.rotation, self.layers, len(self.features), self.entanglement):
+            return two_layer_parity(scaled, self.theta, self.entanglement)
+        return parity_probability(expectations(scaled, self.theta[: parameter_count(len(self.features), 1, self.rotation)], self.encoder, self.rotation))
 
     def score(self, df: DataFrame, lenient: bool = False) -> DataFrame:
         """All input columns plus prediction, risk_label, probability_class1 and confidence.
@@ -116,13 +135,13 @@ class VariationalModel:
     def to_row(self) -> tuple:
         return (
             list(self.features), self.encoder, self.rotation, list(self.theta),
-            list(self.scaler.offset), list(self.scaler.divisor), self.label_column,
+            list(self.scaler.offset), list(self.scaler.divisor), self.label_column, self.layers, self.entanglement,
         )
 
     @classmethod
     def from_row(cls, row) -> VariationalModel:
         scaler = Affine(tuple(row["features"]), tuple(row["offset"]), tuple(row["divisor"]))
-        return cls(scaler, tuple(row["theta"]), row["encoder"], row["rotation"], row["label_column"])
+        return cls(scaler, tuple(row["theta"]), row["encoder"], row["rotation"], row["label_column"], row["layers"] or 1, row["entanglement"] or "linear")
 
 
 @dataclass(frozen=True)
@@ -153,7 +172,10 @@ def _product_sql(factors: Sequence[str]) -> str:
 
 def _parity_sql(values: Sequence[str]) -> str:
     """Null for a row with a missing feature: greatest and least would skip it and answer with a limit."""
-    p = f"((1D - {_product_sql(values)}) * 0.5D)"
+    return _clipped_sql(f"((1D - {_product_sql(values)}) * 0.5D)")
+
+
+def _clipped_sql(p: str) -> str:
     return f"CASE WHEN {p} IS NOT NULL AND NOT isnan({p}) THEN greatest(least({p}, 1D - {CLIP!r}D), {CLIP!r}D) END"
 
 
@@ -161,17 +183,38 @@ def _loss_sql(p: str) -> str:
     return f"avg(-ln(CASE WHEN label = 1 THEN {p} ELSE 1D - {p} END))"
 
 
-def average_losses(basis: DataFrame, candidates: Sequence[Sequence[float]], encoder: str, rotation: str) -> DataFrame:
+def _chance_sql(theta: Sequence[float], encoder: str, rotation: str, deep: str | None) -> str:
+    """Clipped probability of class 1 over the basis columns; ``deep`` is the entanglement of two layers."""
+    if deep is not None:
+        return _clipped_sql(two_layer_parity_sql(theta, deep))
+    return _parity_sql([_weighted_sql(q, w[0]) for q, w in enumerate(step_weights(theta, encoder, rotation))])
+
+
+def average_losses(
+    basis: DataFrame, candidates: Sequence[Sequence[float]], encoder: str, rotation: str, deep: str | None = None
+) -> DataFrame:
     """One row (loss0, loss1, ..): mean loss of each parameter vector, from one aggregate."""
-    probabilities = [
-        _parity_sql([_weighted_sql(q, w[0]) for q, w in enumerate(step_weights(t, encoder, rotation))]) for t in candidates
-    ]
+    probabilities = [_chance_sql(t, encoder, rotation, deep) for t in candidates]
     rows = basis.selectExpr("label", *[f"{p} AS p{i}" for i, p in enumerate(probabilities)])
     return rows.selectExpr(*[f"{_loss_sql(f'p{i}')} AS loss{i}" for i in range(len(candidates))])
 
 
-def average_gradient(basis: DataFrame, theta: Sequence[float], encoder: str, rotation: str) -> DataFrame:
+def _shifted_gradient(basis: DataFrame, theta: Sequence[float], entanglement: str) -> DataFrame:
+    """The same for two layers: the probability is linear in the cosine and sine of each parameter, so its slope is half
+    the difference of its values a quarter turn on either side."""
+    turned = [[*theta[:i], theta[i] + way * math.pi / 2, *theta[i + 1 :]] for i in range(len(theta)) for way in (1, -1)]
+    rows = basis.selectExpr(
+        "label", f"{_chance_sql(theta, 'rotation', 'ry', entanglement)} AS p",
+        *[f"{two_layer_parity_sql(t, entanglement)} AS p{i}" for i, t in enumerate(turned)],
+    )
+    by_p = "(CASE WHEN label = 1 THEN -0.5D / p ELSE 0.5D / (1D - p) END)"
+    return rows.selectExpr(f"{_loss_sql('p')} AS loss", *[f"avg({by_p} * (p{2 * i} - p{2 * i + 1})) AS g{i}" for i in range(len(theta))])
+
+
+def average_gradient(basis: DataFrame, theta: Sequence[float], encoder: str, rotation: str, deep: str | None = None) -> DataFrame:
     """One row (loss, g0, g1, ..): mean loss and its gradient, from one aggregate."""
+    if deep is not None:
+        return _shifted_gradient(basis, list(theta), deep)
     weights = step_weights(theta, encoder, rotation)
     n = len(weights)
     rows = basis.selectExpr("*", *[f"{_weighted_sql(q, w[0])} AS z{q}" for q, w in enumerate(weights)])

@@ -31,7 +31,7 @@ from phasegrid.operators.scaling import Affine, fit_standard
 from phasegrid.operators.splitting import exact_split, hash_split
 from phasegrid.operators.specs import check_run
 from phasegrid.plans.model import (
-    CIRCUIT_ROTATION, LinearModel, VariationalModel, average_gradient, average_losses, training_basis,
+    CIRCUIT_ROTATION, LinearModel, VariationalModel, average_gradient, average_losses, training_basis, two_layers,
 )
 from phasegrid.sources.catalog import CIRCUITS, ENCODERS, OPTIMIZERS, Catalog, component
 from phasegrid.sources.store import save_model
@@ -77,17 +77,18 @@ def prepare(
 class Objective:
     """Mean cross-entropy of the variational model over cached training rows (label and basis columns)."""
 
-    def __init__(self, basis: DataFrame, n_features: int, encoder: str, rotation: str):
+    def __init__(self, basis: DataFrame, n_features: int, encoder: str, rotation: str, layers: int = 1, entanglement: str = "linear"):
         self._basis, self._encoder, self._rotation = basis, encoder, rotation
-        self.size = parameter_count(n_features, 1, rotation)
+        self._deep = entanglement if two_layers(encoder, rotation, layers, n_features, entanglement) else None
+        self.size = parameter_count(n_features, 2 if self._deep else 1, rotation)
 
     def losses(self, candidates: Sequence[Sequence[float]]) -> list[float]:
         """Losses of several parameter vectors from one job."""
         plain = [[float(t) for t in c] for c in candidates]
-        return [float(v) for v in average_losses(self._basis, plain, self._encoder, self._rotation).first()]
+        return [float(v) for v in average_losses(self._basis, plain, self._encoder, self._rotation, self._deep).first()]
 
     def loss_and_gradient(self, theta: Sequence[float]) -> tuple[float, np.ndarray]:
-        row = average_gradient(self._basis, [float(t) for t in theta], self._encoder, self._rotation).first()
+        row = average_gradient(self._basis, [float(t) for t in theta], self._encoder, self._rotation, self._deep).first()
         return float(row[0]), np.array(row[1:], dtype=float)
 
 
@@ -140,13 +141,13 @@ def training_table(prepared: Prepared, encoder: str, circuit: str) -> DataFrame:
 
 def fit_variational(
     prepared: Prepared, train: DataFrame, encoder: str = "rotation", circuit: str = "ry",
-    optimizer: str = "adam", maxiter: int = 20, seed: int = 42,
+    optimizer: str = "adam", maxiter: int = 20, seed: int = 42, layers: int = 1, entanglement: str = "linear",
 ) -> Fit:
     """Fit on the train rows of a (cached) ``training_table`` made for the same encoder and circuit."""
     rotation = CIRCUIT_ROTATION[component(CIRCUITS, circuit, "realamplitudes")]
     encoder = component(ENCODERS, encoder, "angle")
     name = component(OPTIMIZERS, optimizer, "cobyla")
-    objective = Objective(train, len(prepared.features), encoder, rotation)
+    objective = Objective(train, len(prepared.features), encoder, rotation, layers, entanglement)
     start = draw_parameters(objective.size, seed)
     losses: list[float] = []
     record = lambda _theta, loss: losses.append(loss)
@@ -155,7 +156,9 @@ def fit_variational(
         theta = adam(objective, start, maxiter, record)
     else:
         theta = spsa(objective, start, maxiter, record, seed)
-    return Fit(VariationalModel(prepared.scaler, tuple(map(float, theta)), encoder, rotation, prepared.label_column), losses)
+    if objective.size < parameter_count(len(prepared.features), layers, rotation):  # layers that change nothing
+        theta = [*theta, *[0.0] * (parameter_count(len(prepared.features), layers, rotation) - objective.size)]
+    return Fit(VariationalModel(prepared.scaler, tuple(map(float, theta)), encoder, rotation, prepared.label_column, layers, entanglement), losses)
 
 
 def fit_baseline(scaled_train: DataFrame, features: Sequence[str], n_train: int, max_iter: int = 300, tol: float = 1e-6) -> LinearModel:
@@ -184,7 +187,8 @@ RUN_SCHEMA = """
     baseline struct<model: string, train_accuracy: double, accuracy: double, precision: double, recall: double,
         f1: double, roc_auc: double, log_loss: double, confusion: array<array<bigint>>>,
     dataset struct<name: string, feature_columns: array<string>, label_column: string,
-        train_positive_rate: double, test_positive_rate: double>
+        train_positive_rate: double, test_positive_rate: double>,
+    layers int, layers_used int, entanglement string
 """
 
 
@@ -302,6 +306,10 @@ def train_run(
     circuit_name = component(CIRCUITS, circuit.get("type"), "realamplitudes")
     settings = spec.get("optimizer") or {}
     optimizer = component(OPTIMIZERS, settings.get("type"), "cobyla")
+    # rotation layers; the phase encoders are read out through one whatever is asked, and the record names both
+    layers, entanglement = int(circuit.get("reps") or circuit.get("layers") or 1), circuit.get("entanglement") or "linear"
+    layers_used = layers if encoder == "rotation" else 1
+    two_layers(encoder, CIRCUIT_ROTATION[circuit_name], layers_used, len(features), entanglement)
     maxiter, seed = max(1, int(settings.get("maxiter", 20))), int(data.get("seed", 42))
 
     own = shared or share(spark, spec, catalog)
@@ -311,7 +319,7 @@ def train_run(
         train = scaled.where(~F.col("is_test"))
         basis = train.select("label", *[c.alias(n) for n, c in columns.items()]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fit = fit_variational(prepared, basis, encoder, circuit_name, optimizer, maxiter, seed)
+            fit = fit_variational(prepared, basis, encoder, circuit_name, optimizer, maxiter, seed, layers_used, entanglement)
         finally:
             basis.unpersist()
         baseline = fit_baseline(train, features, own.n_train, tol=BASELINE_TOL)
@@ -321,7 +329,7 @@ def train_run(
             own.release()
     path = None if model_folder is None else f"{model_folder.rstrip('/')}/{run_id}"
     if path is not None:
-        save_model(spark, fit.model, path)
+        save_model(spark, fit.model, path, baseline, spec)
     curve = pad_losses(fit.losses, maxiter)
     test, base = e["test"], e["test_base"]
     record = (
@@ -332,10 +340,17 @@ def train_run(
         ("logistic_regression", e["train_base"]["accuracy"], base["accuracy"], base["precision"], base["recall"],
          base["f1"], e["auc_base"], e.get("base_log_loss"), base["confusion"]),
         (dataset.name, features, dataset.label_column, e["train_rate"], e["test_rate"]),
+        layers, layers_used, entanglement,
     )
     return TrainedRun(fit.model, baseline, record)
 
 
+def said(error: Exception) -> str:
+    """The first line of a message that says something; a failed call into the JVM names its cause on the next one."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()] or [type(error).__name__]
+    return lines[1] if len(lines) > 1 and lines[0].startswith("An error occurred while calling") else lines[0]
+
+
 def run_tag(batch: str, i: int) -> str:
     """Job tag of one spec of a batch: ``spark.sparkContext.cancelJobsWithTag`` ends that spec alone."""
     return f"{batch}-run-{i}"
@@ -374,7 +389,7 @@ def run_batch(
             context.addJobTag(tag)
             return train_run(spark, specs[i], catalog, f"run-{i}", model_folder, shared).record
         except Exception as error:  # noqa: BLE001 - any failure of one spec is that spec's result
-            return (f"run-{i}", spec_label(specs[i]), "error", str(error).splitlines()[0], *[None] * (width - 4))
+            return (f"run-{i}", spec_label(specs[i]), "error", said(error), *[None] * (width - 4))
         finally:
             context.removeJobTag(tag)
 

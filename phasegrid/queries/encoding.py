@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phasegrid.functions import encoding as E
+from phasegrid.functions.layers import two_layer_z
 from phasegrid.functions.hashing import draw_parameters
 from phasegrid.operators.scaling import fit_angle_scale
 from phasegrid.queries.registry import (
@@ -143,6 +144,29 @@ def variational_zz(spark, folder):
     return _angles(spark, folder).select(*LINE_KEY, *named(z, "z"))
 
 
+_THETA_TWO = (*THETA, 0.9, 1.7, 0.3, 2.2)
+
+
+def _sql_two_layers(circular: bool) -> str:
+    z = []
+    for q in range(4):
+        near = {q - 1, q + 1} & set(range(4)) | ({(q + 3) % 4, (q + 1) % 4} if circular else set())
+        rest = " * ".join(f"cos(x{j} + {THETA[j]})" for j in sorted(near))
+        z.append(f"cos({_THETA_TWO[4 + q]}) * cos(x{q} + {THETA[q]}) - sin({_THETA_TWO[4 + q]}) * sin(x{q} + {THETA[q]}) * {rest}")
+    return SQL_ANGLES + f" SELECT {SQL_KEYS}, {sql_rounded(z, 'z')} FROM angles"
+
+
+def _two_layers(entanglement: str):
+    def run(spark, folder):
+        z = two_layer_z(feature_columns(), _THETA_TWO, "ry", entanglement)
+        return _angles(spark, folder).select(*LINE_KEY, *named(z, "z"))
+
+    return run
+
+
+for _name in ("linear", "circular"):
+    query(f"variational_two_layers_{_name}", _sql_two_layers(_name == "circular"))(_two_layers(_name))
+
 _TRIALS = 5
 
 

@@ -12,7 +12,7 @@ from phasegrid.plans.search import search_parameters
 from phasegrid.queries.registry import (
     FEATURES, LINE_KEY, SQL_SCALED, THETA, feature_columns, line_scaler, query, rounded, split_lines,
 )
-from phasegrid.queries.training_sql import adam_curve, batch_metrics, newton_metrics, search_accuracies, spsa_curve
+from phasegrid.queries.training_sql import adam_curve, batch_metrics, newton_metrics, search_accuracies, spsa_curve, two_layer_curve
 from phasegrid.sources.catalog import Catalog, Dataset
 from phasegrid.sources.tables import table
 
@@ -56,12 +56,12 @@ def baseline_lr(spark, folder):
     return rounded(binary_metrics(scored, "label", "prediction", "p", ["is_test"]), ["log_loss"])
 
 
-def _curve(spark, folder, optimizer: str, encoder: str, maxiter: int):
+def _curve(spark, folder, optimizer: str, encoder: str, maxiter: int, layers: int = 1):
     prepared = _prepared(spark, folder)
     # the split column is dropped with the filter, so each key is hashed once
     train = T.training_table(prepared, encoder, "ry").where(~F.col("is_test")).drop("is_test").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fit = T.fit_variational(prepared, train, encoder, "ry", optimizer, maxiter)
+        fit = T.fit_variational(prepared, train, encoder, "ry", optimizer, maxiter, layers=layers)
     finally:
         train.unpersist()
     rows = [(i, loss) for i, loss in enumerate(fit.losses)]
@@ -74,6 +74,12 @@ def variational_fit(spark, folder):
     return _curve(spark, folder, "adam", "rotation", 15)
 
 
+@query("variational_fit_two_layers", two_layer_curve(6))
+def variational_fit_two_layers(spark, folder):
+    """Loss per step of the adaptive-gradient fit of two entangled layers."""
+    return _curve(spark, folder, "adam", "rotation", 6, layers=2)
+
+
 @query("variational_fit_spsa", spsa_curve(15))
 def variational_fit_spsa(spark, folder):
     """Loss per step of the perturbation fit on the phase encoder."""

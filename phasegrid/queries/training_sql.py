@@ -136,6 +136,46 @@ SELECT *, n_correct / n_samples AS accuracy, CASE WHEN tp + fp = 0 THEN 0.0 ELSE
 FROM cells""")
 
 
+def parity_sql(t: Sequence[str]) -> str:
+    """Odd parity behind two ry layers on a line, summed over every choice of qubits that read X; neighbours give 0."""
+    products = []
+    for chosen in range(2**N):
+        picks = [q for q in QUBITS if chosen >> q & 1]
+        if any(b - a == 1 for a, b in zip(picks, picks[1:])):
+            continue
+        factors = []
+        for q in QUBITS:
+            beside = (q - 1 in picks) + (q + 1 in picks)
+            if q in picks:
+                factors.append(f"(-sin({t[N + q]}) * sin(x{q} + {t[q]}))")
+            else:
+                factors.append(f"cos({t[N + q]})" + (f" * cos(x{q} + {t[q]})" if beside % 2 == 0 else ""))
+        products.append(" * ".join(factors))
+    return "((1 - (" + " + ".join(products) + ")) / 2)"
+
+
+def two_layer_curve(steps: int) -> str:
+    """Loss before each adaptive step of the two-layer fit; slopes by quarter turns of each parameter."""
+    every = range(2 * N)
+    names = [f"t{i}" for i in every]
+    turned = lambda i, way: [f"({n} {way} pi() / 2)" if j == i else n for j, n in enumerate(names)]
+    clipped = f"greatest(least({parity_sql(names)}, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)"
+    start = ", ".join(f"{v!r}::DOUBLE AS t{i}, 0::DOUBLE AS m{i}, 0::DOUBLE AS v{i}" for i, v in enumerate(draw_parameters(2 * N, SEED)))
+    parts = [kept("train", f"SELECT label, {', '.join(f'x{q}' for q in QUBITS)} FROM scaled WHERE NOT is_test"), kept("s0", f"SELECT {start}")]
+    for k in range(1, steps + 1):
+        slopes = ", ".join(f"{parity_sql(turned(i, '+'))} - {parity_sql(turned(i, '-'))} AS d{i}" for i in every)
+        rows = f"SELECT label, {clipped} AS p, {slopes} FROM train, s{k - 1}"
+        gradient = ", ".join(f"avg(CASE WHEN label = 1 THEN -0.5 / p ELSE 0.5 / (1 - p) END * d{i}) AS g{i}" for i in every)
+        parts.append(kept(f"g{k}", f"SELECT {loss('p')} AS loss, {gradient} FROM ({rows})"))
+        new = []
+        for i in every:
+            m, v = f"(0.9 * m{i} + 0.1 * g{i})", f"(0.999 * v{i} + 0.001 * g{i} * g{i})"
+            step = f"0.1 * ({m} / {1 - 0.9**k!r}::DOUBLE) / (sqrt({v} / {1 - 0.999**k!r}::DOUBLE) + 1e-8)"
+            new += [f"t{i} - {step} AS t{i}", f"{m} AS m{i}", f"{v} AS v{i}"]
+        parts.append(kept(f"s{k}", f"SELECT {', '.join(new)} FROM s{k - 1}, g{k}"))
+    return curve(parts, [f"g{k}" for k in range(1, steps + 1)])
+
+
 def search_accuracies(trials: int, features: Sequence[str], steps: int = 8, test_size: float = 0.3) -> str:
     """Test accuracy of a three-class model for each draw, fitted by Newton steps whose equations are solved on lists."""
     classes, width = 3, N + 1

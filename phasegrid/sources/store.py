@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.plans.model import MODEL_SCHEMA, VariationalModel
+from phasegrid.plans.model import MODEL_SCHEMA, LinearModel, VariationalModel
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
@@ -25,10 +27,22 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_model(spark: SparkSession, model: VariationalModel, path: str) -> None:
-    """One parquet row: parameters, scaler statistics, resolved columns and settings."""
-    spark.createDataFrame([model.to_row()], MODEL_SCHEMA).coalesce(1).write.parquet(path, mode="errorifexists")
+def save_model(
+    spark: SparkSession, model: VariationalModel, path: str, baseline: LinearModel | None = None, spec: dict | None = None
+) -> None:
+    """One parquet row: parameters, scaler statistics, resolved columns and settings; the baseline and the spec beside them."""
+    beside = None if baseline is None else (list(baseline.weights), baseline.intercept)
+    row = (*model.to_row(), beside, None if spec is None else json.dumps(spec, default=str))
+    spark.createDataFrame([row], MODEL_SCHEMA).coalesce(1).write.parquet(path, mode="errorifexists")
 
 
 def load_model(spark: SparkSession, path: str) -> VariationalModel:
-    return VariationalModel.from_row(spark.read.schema(MODEL_SCHEMA).parquet(path).first())
+    return load_artefact(spark, path)[0]
+
+
+def load_artefact(spark: SparkSession, path: str) -> tuple[VariationalModel, LinearModel | None, dict | None]:
+    """The model, its baseline and the spec it was trained from; the last two are None where they were not saved."""
+    row = spark.read.schema(MODEL_SCHEMA).parquet(path).first()
+    model, beside = VariationalModel.from_row(row), row["baseline"]
+    baseline = None if beside is None else LinearModel(model.features, tuple(beside["weights"]), beside["intercept"])
+    return model, baseline, None if row["spec"] is None else json.loads(row["spec"])
