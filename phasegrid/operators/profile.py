@@ -6,15 +6,22 @@ columns share one grouped count. There is no cap on the number of rows or column
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phasegrid.operators.columns import column_types, numeric_columns, require_columns
+from phasegrid.session import stored
 
-PAIRS_PER_PASS = 120
+#: Relative standard error of distinct counts, and items a frequency sketch tracks.
+DISTINCT_ERROR, TRACKED = 0.01, 10_000
+#: Rows that values are measured from in correlations.
+ANCHOR_ROWS = 100
+#: Columns of a block whose products a task holds at once.
+BLOCK_COLUMNS = 1000
 
 
 def _stack(rows: list[tuple], names: Sequence[str]) -> Column:
@@ -83,6 +90,59 @@ def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+VALUE_PROFILE = (
+    "column_name string, is_approximate boolean, n_distinct bigint, null_count bigint, value_rank int, value string, n bigint, "
+    "distinct_error double, count_error bigint"
+)
+
+
+def value_profile(df: DataFrame, columns: Sequence[str], top: int = 5, key_share: float = 0.5, least_keys: int = 1000) -> DataFrame:
+    """Distinct count, nulls and most frequent values of each column in one table, exact except for key-like columns.
+
+    One pass sketches every column: distinct values (relative standard error DISTINCT_ERROR) and frequent items. Columns
+    with more distinct values than ``key_share`` of their rows, and than ``least_keys``, are key-like: counting their
+    values would shuffle about every row for a list that says nothing. Their figures come from the sketches; a value's
+    count is off by ``count_error`` at most. The values of all others are counted exactly in one shuffle, stored, and
+    both the summary and the top values read that. A column without values has one row without a value.
+    """
+    require_columns(df, columns)
+    text = [F.col(c).cast("string") for c in columns]
+    sketches = [F.count(F.lit(1)).alias("rows")]
+    for i, v in enumerate(text):
+        sketches += [
+            F.count(v).alias(f"known{i}"), F.approx_count_distinct(v, DISTINCT_ERROR).alias(f"distinct{i}"),
+            F.call_function("approx_top_k", v, F.lit(top), F.lit(TRACKED)).alias(f"items{i}"),
+        ]
+    row = df.agg(*sketches).first()
+    exact, rough = [], []
+    for i, c in enumerate(columns):
+        known, distinct = row[f"known{i}"], min(row[f"distinct{i}"], row[f"known{i}"])
+        if distinct <= max(least_keys, key_share * known):
+            exact.append(c)
+            continue
+        items = sorted(((x["item"], x["count"]) for x in row[f"items{i}"] if x["item"] is not None), key=lambda x: (-x[1], x[0]))
+        error = int(3.5 * known / TRACKED)
+        rough += [
+            (c, True, distinct, row["rows"] - known, k + 1, v, n, DISTINCT_ERROR, error) for k, (v, n) in enumerate(items[:top])
+        ] or [(c, True, distinct, row["rows"] - known, None, None, None, DISTINCT_ERROR, error)]
+    out = df.sparkSession.createDataFrame(rough, VALUE_PROFILE)
+    if not exact:
+        return out
+    counts = stored(_value_counts(df, exact), "values")
+    given = F.col("value").isNotNull()
+    summary = counts.groupBy("column_name").agg(
+        F.count_if(given).alias("n_distinct"), F.coalesce(F.sum(F.when(~given, F.col("n"))), F.lit(0)).alias("null_count")
+    )
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    ranked = counts.where(given).withColumn("value_rank", F.row_number().over(order)).where(F.col("value_rank") <= top)
+    named = df.sparkSession.createDataFrame([(c,) for c in exact], "column_name string").join(summary, "column_name", "left").join(ranked, "column_name", "left")
+    return out.unionByName(named.select(
+        "column_name", F.lit(False).alias("is_approximate"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        F.coalesce("null_count", F.lit(0)).alias("null_count"), "value_rank", "value", "n",
+        F.lit(0.0).alias("distinct_error"), F.lit(0).cast("bigint").alias("count_error"),
+    ))
+
+
 def column_report(df: DataFrame) -> DataFrame:
     """(column_name, type_name, is_numeric, null_count, n_rows) for every column."""
     numeric = set(numeric_columns(df))
@@ -100,9 +160,10 @@ def column_report(df: DataFrame) -> DataFrame:
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """(value, n, n_rows, n_missing_label), one row per non-null class."""
     require_columns(df, [label])
-    counts = df.groupBy(F.col(label).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # totals as scalar subqueries: the classes are never gathered in one task
-    totals = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label).isNull()).alias("missing")))
+    counts = stored(df.groupBy(F.col(label).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")), "classes")
+    # totals of the counts, as scalar subqueries: the table is read once and its classes are never gathered in one task
+    missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+    totals = counts.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), missing.alias("missing")))
     return counts.where(F.col("value").isNotNull()).withColumn("totals", totals.scalar()).select(
         "value", "n", F.col("totals.rows").alias("n_rows"), F.col("totals.missing").alias("n_missing_label")
     )
@@ -157,23 +218,65 @@ def suitability(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
     return wide.select(_stack(rows, ("rule", "observed", "status")))
 
 
+def _moments(features: int, anchors: Sequence[float], left: range, right: range):
+    """Per task and pair of columns the sums that a correlation over their common rows needs, as matrix products.
+
+    Values are taken less their column's anchor, a value near them, so that large values lose no digits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(left), len(right)))
+        for batch in batches:
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            for start in range(0, len(cells), 8192):
+                part = cells[start : start + 8192]
+                known = ~np.isnan(part)
+                x = np.where(known, part - anchors, 0.0)
+                a, ka, b, kb = x[:, left], known[:, left].astype(float), x[:, right], known[:, right].astype(float)
+                sums += [ka.T @ kb, a.T @ kb, ka.T @ b, (a * a).T @ kb, ka.T @ (b * b), a.T @ b]
+        pairs = [(k, m) for k, i in enumerate(left) for m, j in enumerate(right) if i < j]
+        if pairs:
+            at = np.array(pairs).T
+            names = [pa.array(np.asarray(side)[index].astype(np.int32)) for side, index in ((left, at[0]), (right, at[1]))]
+            yield pa.RecordBatch.from_arrays([*names, *[pa.array(v[at[0], at[1]]) for v in sums]], schema=MOMENT_SCHEMA)
+
+    return run
+
+
+MOMENTS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+MOMENT_SCHEMA = pa.schema([(f.split(" ")[0], pa.int32() if f.endswith(" int") else pa.float64()) for f in MOMENTS.split(", ")])
+
+
 def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float) -> DataFrame:
     """(feature_a, feature_b, r) for the pairs with |r| at or above the threshold.
 
-    All pairs share one scan; a very wide table takes one scan per ``PAIRS_PER_PASS`` pairs.
+    Each pair counts the rows in which both are known; NaN is unknown. One scan for up to BLOCK_COLUMNS columns: a task
+    multiplies its rows' column blocks and sends one row of sums for each pair, which Spark adds up; the plan does not
+    grow with the pairs. A wider table takes a scan for each pair of blocks. Constant columns have no correlation.
     """
     require_columns(df, features)
-    pairs = list(itertools.combinations(features, 2))
-    out = None if pairs else df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)
-        ])
-        rows = [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(part)]
-        long = wide.select(_stack(rows, ("feature_a", "feature_b", "r"))).where(F.abs("r") >= threshold)
-        out = long if out is None else out.unionByName(long)
-    return out
+    spark, width = df.sparkSession, len(features)
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(features)])
+    # any value near a column's serves: a few rows give one, and the result does not depend on which
+    near = numbers.limit(ANCHOR_ROWS).toPandas().astype(float).mean()
+    anchors = np.where(np.isfinite(near), near, 0.0)
+    blocks = [range(a, min(a + BLOCK_COLUMNS, width)) for a in range(0, width, BLOCK_COLUMNS)]
+    out = spark.createDataFrame([], MOMENTS)
+    for k, left in enumerate(blocks):
+        for right in blocks[k:]:
+            out = out.unionByName(numbers.mapInArrow(_moments(width, anchors, left, right), MOMENTS))
+    total = out.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    vary_x, vary_y = (F.col(s + s) - F.col(s) * F.col(s) / F.col("n") for s in "xy")
+    # what rounding leaves of a constant column is no variance
+    varied = (vary_x > F.col("xx") * 1e-14) & (vary_y > F.col("yy") * 1e-14)
+    ratio = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(vary_x * vary_y)
+    r = F.when(varied, F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
+    names = F.array(*[F.lit(c) for c in features]) if width else F.array().cast("array<string>")
+    return (
+        total.where("n > 1").select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
+                                    r.alias("r"))
+        .where(F.abs("r") >= threshold)
+    )
 
 
 def leak_check(df: DataFrame, features: Sequence[str], label: str, threshold: float = 0.999) -> DataFrame:

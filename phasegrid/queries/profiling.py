@@ -226,3 +226,36 @@ def split_positive_rates(spark, folder):
         table(spark, folder, "lineitem").withColumn("label", (F.col("l_linestatus") == "O").cast("int")), LINE_KEY
     )
     return lines.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("positive_rate"))
+
+
+_MIXED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("value_profile", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, is_key AS is_approximate, CASE WHEN is_key THEN NULL ELSE n_distinct::DOUBLE END AS n_distinct, null_count, value_rank, value, n
+FROM (SELECT count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) > greatest(1000, 0.5 * count({c})) AS is_key, count(*) - count({c}) AS null_count FROM orders) s
+LEFT JOIN (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS value_rank
+           FROM orders WHERE {c} IS NOT NULL GROUP BY 1 QUALIFY value_rank <= 5) t ON NOT is_key
+WHERE NOT is_key""" for c in _MIXED))
+def value_profile(spark, folder):
+    """Exact columns of a table that also has a key; those that are read from sketches are left out of the comparison."""
+    found = P.value_profile(table(spark, folder, "orders"), _MIXED)
+    return found.where("NOT is_approximate").select(
+        "column_name", "is_approximate", F.col("n_distinct").cast("double").alias("n_distinct"), "null_count", "value_rank", "value", "n"
+    )
+
+
+_WIDE = [f"w{k}" for k in range(60)]
+
+
+@query("wide_correlations", """
+WITH w AS (SELECT """ + ", ".join(f"sin(l_quantity * {k + 1} + l_discount * {k % 7}) + l_tax * {k % 5} AS w{k}" for k in range(60)) + """ FROM lineitem),
+pairs AS (""" + "SELECT unnest([" + ", ".join(f"{{'a': 'w{a}', 'b': 'w{b}', 'r': corr(w{a}, w{b})}}" for a in range(60) for b in range(a + 1, 60) if (a + b) % 12 == 0) + """]) AS p FROM w)
+SELECT p.a AS feature_a, p.b AS feature_b, round(p.r, 6) + 0.0 AS r FROM pairs WHERE abs(p.r) >= 0.2""")
+def wide_correlations(spark, folder):
+    """All pairs of 60 columns from one scan; every twelfth pair is compared."""
+    wide = table(spark, folder, "lineitem").select(*[
+        (F.sin(F.col("l_quantity") * (k + 1) + F.col("l_discount") * (k % 7)) + F.col("l_tax") * (k % 5)).alias(c) for k, c in enumerate(_WIDE)
+    ])
+    place = lambda c: F.substring(c, 2, 3).cast("int")
+    return rounded(P.correlated_pairs(wide, _WIDE, 0.2).where((place("feature_a") + place("feature_b")) % 12 == 0), ["r"])

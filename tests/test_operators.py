@@ -152,102 +152,53 @@ def test_leak_check(spark):
     assert leaks == {"copy": True, "noise": False, "key": False, "pure": True}
 
 
-def test_wide_correlations_take_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(P, "PAIRS_PER_PASS", 2)
-    df = spark.range(50).select("id", (F.col("id") * 2).alias("twice"), (-F.col("id")).alias("minus"), (F.col("id") % 2).alias("odd"))
-    strong = {(r[0], r[1]): round(r[2], 6) for r in P.correlated_pairs(df, ["id", "twice", "minus", "odd"], 0.9).collect()}
-    assert strong == {("id", "twice"): 1.0, ("id", "minus"): -1.0, ("twice", "minus"): -1.0}
-
-
-def labelled(spark, values, kind):
-    df = spark.createDataFrame([(v,) for v in values], f"y {kind}")
-    return [r[0] for r in df.select(L.fit_label(df, "y").expression()).collect()]
-
-
-def test_label_rules(spark):
-    assert labelled(spark, [0, 1, None], "int") == [0, 1, None]
-    assert labelled(spark, [True, False], "boolean") == [1, 0]
-    assert labelled(spark, [1.0, 2.0, 3.0, 4.0], "double") == [0, 0, 1, 1]
-    assert labelled(spark, [5, 5, 5], "int") == [0, 0, 0]  # strictly above the median
-    assert labelled(spark, ["yes", "no", None], "string") == [1, 0, None]
-
-
-@pytest.mark.parametrize("values", [["a", "b", "c"], ["a", "a"], [str(i) for i in range(40)]])
-def test_label_rejects(spark, values):
-    with pytest.raises(ValueError, match="two classes"):
-        labelled(spark, values, "string")
-
-
-def test_column_mapping(spark):
-    df = spark.createDataFrame([(1, "x", 2.0, True)], "id int, Species string, w double, ok boolean")
-    assert C.infer_label(df.columns) == ("Species", ["id", "w", "ok"])
-    assert C.infer_label(["a", "b"]) == ("b", ["a"]) and C.infer_label([]) == ("", [])
-    assert C.default_mapping(df) == ("ok", ["id", "Species", "w"])
-    assert C.default_mapping(df, numeric_only=True) == ("w", ["id"])
-    assert C.numeric_columns(df, with_boolean=True) == ["id", "w", "ok"]
-    assert C.existing_columns(df, ["w", "gone"]) == ["w"] and C.existing_columns(df, ["gone"]) == df.columns
-    with pytest.raises(C.MissingColumns, match="gone"):
-        C.require_columns(df, ["w", "gone"])
-    assert C.column_types(df)["Species"] == "string"
-
-
-def test_cast(spark):
-    df = spark.createDataFrame([("1.5",), ("NA",), (" 2 ",)], "a string")
-    assert [r[0] for r in C.cast_features(df, ["a"]).collect()] == [1.5, None, 2.0]
-    bad = spark.createDataFrame([("abc",)], "a string")
-    assert C.cast_features(bad, ["a"], lenient=True).first()[0] is None
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        C.cast_features(bad, ["a"]).collect()
-
-
-def test_split_names(spark):
-    df = spark.createDataFrame([(" a, b,,c ,",), ("",)], "s string")
-    assert [r[0] for r in df.select(C.split_names(F.col("s"))).collect()] == [["a", "b", "c"], []]
-
-
-def test_argmax(spark):
-    df = spark.createDataFrame([([0.1, 0.9],), ([0.8, 0.2],), ([0.5, 0.5],)], "a array<double>")
-    assert [r[0] for r in df.select(readout.argmax(F.col("a"))).collect()] == [1, 0, 0]
-
-
-def test_bands_and_text(spark):
-    df = spark.createDataFrame([(0.76,), (0.75,), (0.5,), (0.49,), (None,), (42.0,), (1.0,)], "p double")
-    got = df.select(readout.confidence_band(F.col("p")), readout.percent_text(F.col("p")), readout.number_text(F.col("p"))).collect()
-    assert [r[0] for r in got[:5]] == ["act_first", "manual_review", "manual_review", "low", None]
-    assert [r[1] for r in got] == ["76.0%", "75.0%", "50.0%", "49.0%", "--", "42.0%", "100.0%"]
-    assert got[0][2] == "0.760" and got[4][2] == "--"
-
-
-@pytest.mark.parametrize("accuracy,f1,baseline,gate,band", [
-    (0.60, 0.9, 0.5, "not_ready", "good"), (0.70, 0.59, 0.6, "not_ready", "good"), (0.70, 0.7, 0.73, "not_ready", "below"),
-    (0.70, 0.7, 0.72, "borderline", "below"), (0.70, 0.7, 0.675, "borderline", "marginal"), (0.70, 0.66, 0.67, "screening", "marginal"),
-    (0.70, 0.66, 0.62, "screening", "good"), (0.70, 0.73, 0.62, "strong", "good"), (0.90, 0.73, 0.62, "strong", "strong"),
-    (0.70, 0.66, 0.60, "borderline", "good"),
-])
-def test_readiness(spark, accuracy, f1, baseline, gate, band):
-    df = spark.createDataFrame([(accuracy, f1, baseline)], "a double, f double, b double")
-    a, f, b = F.col("a"), F.col("f"), F.col("b")
-    assert tuple(df.select(R.readiness(a, f, b), R.improvement_band(a, b)).first()) == (gate, band)
-
-
-def test_curve_keeps_its_prefix(spark):
-    history = spark.createDataFrame([("a", 0, 0.9), ("a", 1, 0.5), ("b", 0, 1.0)] + [("c", i, 1.0 / (i + 1)) for i in range(6)], "run string, step int, loss double")
-    rows = R.pad_loss_curve(history, "run", "step", "loss", 4).orderBy("run", "step").collect()
-    curve = lambda run: [(r["loss"], r["is_padded"]) for r in rows if r["run"] == run]
-    assert curve("a") == [(0.9, False), (0.5, False), (0.5, True), (0.5, True)]
-    assert curve("b") == [(1.0, False)] + [(1.0, True)] * 3
-    assert len(curve("c")) == 6 and not any(p for _, p in curve("c"))
-    assert R.pad_loss_curve(history.where("run = 'b'"), "run", "step", "loss", 1).count() == 2
-
-
-@pytest.mark.parametrize("bad", [
-    {"ansatz": "bad_ansatz"}, {"entanglement": "star"}, {"encoding": "fourier"}, {"n_qubits": -1}, {"layers": 0}, {"n_qubits": "4"},
-])
-def test_circuit_settings_raise(bad):
-    with pytest.raises(ValueError):
-        specs.check_circuit(**bad)
-
-
-@pytest.mark.parametrize("good", [{}, {"ansatz": "rx"}, {"ansatz": "rxyz"}, {"entanglement": "circular"}, {"entanglement": "full"}, {"encoding": "zz"}])
-def test_circuit_settings_pass(good):
-    specs.check_circuit(**good)
+@pytest.mark.parametrize("block", [1000, 3])
+def test_correlations_with_gaps_and_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK_COLUMNS", block)
+    df = spark.range(50).select(
+        "id", (F.col("id") * 2).alias("twice"), (-F.col("id")).alias("minus"), (F.col("id") % 2).alias("odd"), F.lit(7.0).alias("same"),
+        F.when(F.col("id") % 3 > 0, F.col("id") + 1e12).alias("gaps"), F.when(F.col("id") < 40, F.sin("id")).otherwise(F.lit(float("nan"))).alias("nans"),
+    ).repartition(4)
+    names = ["id", "twice", "minus", "odd", "same", "gaps", "nans"]
+    got = {(r[0], r[1]): r[2] for r in P.correlated_pairs(df, names, 0.0).collect()}
+    clean = df.withColumn("nans", F.nanvl("nans", F.lit(None)))
+    for a, b in [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]:
+        want = clean.select(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).first()[0] if "same" not in (a, b) else None
+        assert (got.get((a, b)) is None) == (want is None) and (want is None or got[a, b] == pytest.approx(want, abs=1e-6))
+    assert {p for p, r in got.items() if abs(r) >= 0.9} >= {("id", "twice"), ("id", "minus"), ("id", "gaps")}
+
+
+def test_two_hundred_columns_in_one_scan(spark, tmp_path):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    cells = rng.normal(size=(2000, 200)) @ rng.normal(size=(200, 200)) * 10 + rng.normal(size=200) * 1e6
+    names = [f"f{k}" for k in range(200)]
+    spark.createDataFrame(pd.DataFrame(cells, columns=names)).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    pairs = P.correlated_pairs(df, names, 0.0)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = np.corrcoef(cells.T)
+    got = pairs.collect()
+    assert len(got) == 19_900
+    assert max(abs(r["r"] - want[int(r["feature_a"][1:]), int(r["feature_b"][1:])]) for r in got) < 1e-9
+
+
+def test_key_like_columns_come_from_sketches(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") < 15_000, 7).otherwise(F.col("id")).cast("string").alias("key"), (F.col("id") % 9).alias("flag"),
+        F.lit(None).cast("string").alias("none"), F.when(F.col("id") % 4 > 0, F.col("id") % 800).alias("gaps"),
+    )
+    found = {}
+    for r in P.value_profile(df, df.columns).collect():
+        found.setdefault(r["column_name"], []).append(r)
+    key = sorted(found["key"], key=lambda r: r["value_rank"])
+    assert key[0]["is_approximate"] and abs(key[0]["n_distinct"] / 45_001 - 1) < 4 * key[0]["distinct_error"]
+    assert key[0]["value"] == "7" and abs(key[0]["n"] - 15_000) <= key[0]["count_error"]
+    assert not any(r["is_approximate"] for c in ("flag", "none", "gaps") for r in found[c])
+    assert [r["n"] for r in sorted(found["flag"], key=lambda r: r["value_rank"])] == [6667] * 5 and found["flag"][0]["n_distinct"] == 9
+    assert (found["none"][0]["n_distinct"], found["none"][0]["null_count"], found["none"][0]["value"]) == (0, 60_000, None)
+    assert found["gaps"][0]["null_count"] == 15_000 and found["gaps"][0]["n_distinct"] == 600
+    empty = P.value_profile(df.where("false"), ["flag"]).collect()
+    assert [(r["n_distinct"], r["null_count"], r["value"]) for r in empty] == [(0, 0, None)]
