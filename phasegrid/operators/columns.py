@@ -24,6 +24,12 @@ class MissingColumns(ValueError):
         self.missing = missing
 
 
+def missing_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Names, in their order, that the table does not have; the case counts."""
+    have = set(df.columns)
+    return [n for n in names if n not in have]
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

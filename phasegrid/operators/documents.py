@@ -14,6 +14,8 @@ from phasegrid.operators.columns import split_names
 
 # Node types a complete document has.
 REQUIRED_TYPES = ("dataset", "encoder", "circuit", "optimizer")
+#: Keys over which the edges of one node are dealt.
+EDGE_SALTS = 16
 
 DOCUMENT_SCHEMA = """
     version string,
@@ -105,12 +107,19 @@ def clean_edge_array() -> Column:
 
 
 def clean_edges(edges: DataFrame, nodes: DataFrame, document: str = "doc_id") -> DataFrame:
-    """Distinct edges (document, source, target) with both ends among the nodes (document, id)."""
-    ends = nodes.select(document, "id").distinct()
-    kept = edges.select(document, "source", "target").dropDuplicates()
-    for end in ("source", "target"):
-        kept = kept.join(ends.withColumnRenamed("id", end), [document, end], "left_semi")
-    return kept.select(document, "source", "target")
+    """Distinct edges (document, source, target) with both ends among the nodes (document, id).
+
+    Edges without such ends go first, so that only what stays is compared for duplicates. A node may be an end of very
+    many edges, and a document may hold very many: for each semi join edges are dealt over EDGE_SALTS keys by their other
+    end, and the nodes, two narrow columns, are repeated for each.
+    """
+    ends = nodes.select(document, "id").where("id IS NOT NULL").distinct()
+    ends = ends.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1))))
+    kept = edges.select(document, "source", "target")
+    for end, other in (("source", "target"), ("target", "source")):
+        dealt = kept.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(EDGE_SALTS)).cast("int"))
+        kept = dealt.join(ends.withColumnRenamed("id", end), [document, end, "__salt"], "left_semi").drop("__salt")
+    return kept.select(document, "source", "target").dropDuplicates()
 
 
 def drop_node(edges: DataFrame, node_id: int) -> DataFrame:

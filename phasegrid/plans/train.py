@@ -329,7 +329,7 @@ def train_run(
             own.release()
     path = None if model_folder is None else f"{model_folder.rstrip('/')}/{run_id}"
     if path is not None:
-        save_model(spark, fit.model, path, baseline, spec)
+        save_model(spark, fit.model, path, baseline, spec, replace=True)
     curve = pad_losses(fit.losses, maxiter)
     test, base = e["test"], e["test_base"]
     record = (

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from phasegrid.operators.columns import missing_columns
 from phasegrid.operators.runs import run_label
 from phasegrid.plans.model import VariationalModel
+from phasegrid.plans.train import RUN_SCHEMA, train_run
 from phasegrid.queries.registry import LINE_KEY, SQL_KEYS, SQL_SCORED, THETA, line_scaler, query, rounded, split_lines
 from phasegrid.queries.scoring import scored_lines
 from phasegrid.session import shared_folder
 from phasegrid.sources import csv, store
+from phasegrid.sources.catalog import Catalog, Dataset
 from phasegrid.sources.tables import table
 
 _CSV_SCHEMA = (
@@ -89,19 +93,90 @@ def model_round_trip(spark, folder):
 
 
 @query("run_log", """
-SELECT o_orderstatus || ' | angle | cir | opt' AS run_label, count(*) AS n_train, round(avg(o_totalprice), 6) + 0.0 AS mean_price
-FROM orders GROUP BY o_orderstatus""")
+SELECT o_orderstatus || '-' || CAST(o_custkey % 4 AS VARCHAR) AS run_id, 'orders | angle | cir | opt' AS run_label, 'ok' AS status,
+       count(*) AS n_train, round(avg((o_totalprice > 150000)::INT), 6) + 0.0 AS accuracy, 'orders' AS dataset_name
+FROM orders GROUP BY ALL""")
 def run_log(spark, folder):
-    """Run records appended one by one to a parquet table and read back."""
+    """Full run records in three writes, one of them repeated: one record for each run."""
     path = shared_folder(spark, "runs")
     none = F.lit(None).cast("string")
-    label = run_label(F.col("o_orderstatus"), F.lit("angle"), none, none)
-    records = table(spark, folder, "orders").groupBy(label.alias("run_label")).agg(
-        F.count(F.lit(1)).alias("n_train"), F.avg("o_totalprice").alias("mean_price")
-    )
-    first, second = F.coalesce(F.col("run_label") < "G", F.lit(False)), F.coalesce(F.col("run_label") < "P", F.lit(False))
-    for part in (first, ~first & second, ~first & ~second):
+    groups = table(spark, folder, "orders").groupBy(
+        F.concat_ws("-", "o_orderstatus", (F.col("o_custkey") % 4).cast("string")).alias("run_id")
+    ).agg(F.count(F.lit(1)).alias("n_train"), F.avg((F.col("o_totalprice") > 150_000).cast("int")).alias("accuracy"))
+    given = {
+        "run_id": F.col("run_id"), "run_label": run_label(F.lit("orders"), F.lit("angle"), none, none), "status": F.lit("ok"),
+        "n_train": F.col("n_train"), "accuracy": F.col("accuracy"),
+    }
+    fields = StructType.fromDDL(RUN_SCHEMA).fields
+    dataset = next(f.dataType for f in fields if f.name == "dataset")
+    given["dataset"] = F.struct(*[(F.lit("orders") if f.name == "name" else F.lit(None)).cast(f.dataType).alias(f.name) for f in dataset.fields])
+    records = groups.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    first, second = F.col("run_id") < "G", F.col("run_id") < "P"
+    for part in (first, ~first & second, ~first & second, ~second):
         store.append_runs(records.where(part), path)
-    return rounded(store.read_runs(spark, path), ["mean_price"])
+    kept = store.read_runs(spark, path, RUN_SCHEMA)
+    return rounded(kept.select("run_id", "run_label", "status", "n_train", "accuracy", F.col("dataset.name").alias("dataset_name")), ["accuracy"])
+
+
+@query("model_artefact", """
+WITH d AS (SELECT DISTINCT quality FROM labels WHERE quality IS NOT NULL)
+SELECT 'labels' AS dataset_name, 'toxic' AS feature_columns, 2 AS n_parameters, true AS same_model, true AS same_baseline, 2 AS layers, count(*) AS n_classes FROM d""")
+def model_artefact(spark, folder):
+    """A model trained with two layers, saved with its baseline and spec, then saved again and read back."""
+    path = shared_folder(spark, "artefacts")
+    catalog = Catalog()
+    catalog.register(Dataset("labels", f"{folder}/labels.parquet", "quality", ("toxic",)))
+    spec = {"dataset": {"name": "labels", "key_columns": ["doc_id"]}, "encoder": {"type": "rotation"},
+            "circuit": {"type": "ry", "reps": 2}, "optimizer": {"type": "adam", "maxiter": 2}}
+    for _ in range(2):
+        run = train_run(spark, spec, catalog, "run-7", path)
+    model, baseline, kept = store.load_artefact(spark, f"{path}/run-7")
+    classes = table(spark, folder, "labels").where("quality IS NOT NULL").select("quality").distinct()
+    return classes.agg(
+        F.lit(kept["dataset"]["name"]).alias("dataset_name"), F.lit(",".join(model.features)).alias("feature_columns"),
+        F.lit(len(model.theta)).alias("n_parameters"), F.lit(model == run.model).alias("same_model"),
+        F.lit(baseline == run.baseline).alias("same_baseline"), F.lit(kept["circuit"]["reps"]).alias("layers"), F.count("*").alias("n_classes"),
+    )
+
+
+_SETS = {
+    "lines": ("lineitem", "l_linestatus", ("l_quantity", "l_tax"), {"encoder": "rotation", "maxiter": "20"},
+              "l_linestatus string, l_quantity double, l_tax double"),
+    "toxic": ("labels", "toxic", ("quality",), {"encoder": "angle"}, ""),
+    "custom": ("orders", "o_orderstatus", ("o_totalprice",), {}, ""),
+}
+
+
+@query("catalog_listing", " UNION ALL ".join(f"""
+SELECT '{n}' AS name, '{label}' AS label_column, '{','.join(features)}' AS feature_columns, '{said.get('encoder', '')}' AS encoder,
+       count(*) AS n_rows, count(DISTINCT {label}) AS n_classes FROM {t}""" for n, (t, label, features, said, _) in _SETS.items()))
+def catalog_listing(spark, folder):
+    """Registered sets and one that is named by its path alone, as views that SQL reads."""
+    catalog = Catalog()
+    for name, (t, label, features, said, schema) in _SETS.items():
+        path = f"{folder}/{t}.parquet"
+        if name == "custom":
+            catalog.register(catalog.resolve({"path": path, "label_column": label, "feature_columns": list(features)}))
+        else:
+            catalog.register(Dataset(name, path, label, features, recommended=said, schema=schema))
+    views = catalog.register_views(spark, "cat_")
+    counts = [f"SELECT '{n}' AS name, count(*) AS n_rows, count(DISTINCT {_SETS[n][1]}) AS n_classes FROM {v}" for n, v in views.items()]
+    listed = catalog.listing(spark).select(
+        "name", "label_column", F.array_join("feature_columns", ",").alias("feature_columns"), F.coalesce(F.col("recommended")["encoder"], F.lit("")).alias("encoder")
+    )
+    return listed.join(spark.sql(" UNION ALL ".join(counts)), "name")
+
+
+_WANTED = {"lineitem": ("l_quantity", "l_rate", "l_tax"), "orders": ("o_orderkey",), "labels": ("quality", "Toxic", "doc_id", "extra")}
 
 
+@query("required_columns", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{m}' AS missing, count(*) AS n_rows FROM {t}" for t, m in (("lineitem", "l_rate"), ("orders", ""), ("labels", "Toxic,extra"))))
+def required_columns(spark, folder):
+    """Columns that a table lacks, and its rows."""
+    out = None
+    for t, names in _WANTED.items():
+        df = table(spark, folder, t)
+        row = df.agg(F.lit(t).alias("table_name"), F.lit(",".join(missing_columns(df, names))).alias("missing"), F.count("*").alias("n_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out

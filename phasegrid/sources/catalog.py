@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phasegrid.operators.columns import require_columns
 from phasegrid.operators.specs import check_run
-from phasegrid.sources.csv import EmptyTable, read_nonempty
+from phasegrid.sources.csv import EmptyTable, read_csv, read_nonempty
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class Dataset:
     domain: str = ""
     description: str = ""
     recommended: dict = field(default_factory=dict)
+    schema: str = ""  # declared columns; what is not declared is read from the files
 
 
 # File, label and feature names of the three domain layouts.
@@ -92,15 +93,31 @@ class Catalog:
         return self._sets[name]
 
     def listing(self, spark: SparkSession) -> DataFrame:
-        """(name, path, label_column, feature_columns, domain, description), one row per dataset."""
+        """(name, path, label_column, feature_columns, domain, description, recommended), one row per dataset."""
         rows = [
-            (d.name, d.path, d.label_column, list(d.feature_columns), d.domain, d.description)
+            (d.name, d.path, d.label_column, list(d.feature_columns), d.domain, d.description, {k: str(v) for k, v in d.recommended.items()})
             for d in self._sets.values()
         ]
         return spark.createDataFrame(
-            rows, "name string, path string, label_column string, feature_columns array<string>, domain string, description string"
+            rows, "name string, path string, label_column string, feature_columns array<string>, domain string, description string, "
+            "recommended map<string, string>"
         )
 
+    def register_views(self, spark: SparkSession, prefix: str = "") -> dict[str, str]:
+        """A temporary view of each dataset for ``spark.sql``: its name, by the dataset's. No file is read for a declared schema."""
+        views = {name: f"`{prefix}{name}`" for name in self._sets}
+        for name, dataset in self._sets.items():
+            self.read(spark, dataset).createOrReplaceTempView(f"{prefix}{name}")
+        return views
+
+    @staticmethod
+    def read(spark: SparkSession, dataset: Dataset) -> DataFrame:
+        """The dataset's table by its declared schema, or by that of its files."""
+        if dataset.path.rstrip("/").endswith(".parquet"):
+            reader = spark.read.schema(dataset.schema) if dataset.schema else spark.read
+            return reader.parquet(dataset.path)
+        return read_csv(spark, dataset.path, dataset.schema) if dataset.schema else read_csv(spark, dataset.path)
+
     def resolve(self, spec: dict) -> Dataset:
         """Dataset of a spec: by name with explicit fields on top, or by path alone."""
         name = spec.get("name") or ""
@@ -124,7 +141,7 @@ class Catalog:
     def load(self, spark: SparkSession, dataset: Dataset) -> DataFrame:
         """Parquet folder or header CSV, by suffix; the named columns must be there."""
         if dataset.path.rstrip("/").endswith(".parquet"):
-            df = spark.read.parquet(dataset.path)
+            df = self.read(spark, dataset)
             if df.isEmpty():
                 raise EmptyTable(f"no rows in {dataset.path}")
         else:

@@ -185,3 +185,81 @@ def test_streaming_scores_equal_batch(spark, tmp_path):
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
+
+
+def test_repeated_appends_leave_one_record(spark, tmp_path):
+    path = str(tmp_path / "log")
+    runs = lambda *rows: spark.createDataFrame(rows, "run_id string, accuracy double, note string")
+    first = runs(("7", 0.5, "a/b"), ("run 8", 0.6, None))
+    for _ in range(3):
+        store.append_runs(first, path)
+    store.append_runs(runs(("run-9", 0.7, "x"), ("7", 0.9, "again")), path)
+    got = sorted(store.read_runs(spark, path).select("run_id", "accuracy", "note").collect())
+    assert [tuple(r) for r in got] == [("7", 0.9, "again"), ("run 8", 0.6, None), ("run-9", 0.7, "x")]
+    declared = store.read_runs(spark, path, "run_id string, accuracy double, missing string")
+    assert declared.where("run_id = '7'").select("accuracy", "missing").first() == (0.9, None)
+    with pytest.raises(Exception, match="no run_id"):
+        store.append_runs(runs((None, 0.1, "y")), path)
+    assert store.read_runs(spark, path).count() == 3
+
+
+def test_views_of_a_catalog(spark, tmp_path):
+    spark.createDataFrame([(1, 0.5), (0, 0.25)], "y int, a double").write.parquet(str(tmp_path / "t.parquet"))
+    (tmp_path / "t.csv").write_text("y,a\n1,2.5\n")
+    catalog = K.Catalog()
+    catalog.register(K.Dataset("declared", str(tmp_path / "t.parquet"), "y", ("a",), recommended={"maxiter": 20}, schema="y int, a double, b string"))
+    catalog.register(K.Dataset("text", str(tmp_path / "t.csv"), "y", ("a",)))
+    views = catalog.register_views(spark, "test_")
+    assert spark.sql(f"SELECT sum(a), count(b) FROM {views['declared']}").first() == (0.75, 0)
+    assert spark.sql(f"SELECT a FROM {views['text']}").first()[0] == 2.5
+    listed = {r["name"]: r["recommended"] for r in catalog.listing(spark).collect()}
+    assert listed == {"declared": {"maxiter": "20"}, "text": {}}
+
+
+def test_edges_of_a_hub_are_dealt_out(spark):
+    from phasegrid.operators.documents import EDGE_SALTS, clean_edges
+
+    edges = spark.range(60_000).selectExpr("0 as doc_id", "1 as source", "id % 50000 as target").unionByName(
+        spark.createDataFrame([(0, 1, None), (0, None, 1), (0, -5, 1), (1, 1, 2), (None, 1, 2)], "doc_id int, source int, target bigint")
+    )
+    nodes = spark.range(40_000).selectExpr("0 as doc_id", "id").unionByName(spark.createDataFrame([(0, None), (1, 1)], "doc_id int, id bigint"))
+    kept = clean_edges(edges, nodes)
+    assert kept.count() == 40_000 and kept.select("target").distinct().count() == 40_000
+    salts = edges.where("source = 1 AND doc_id = 0 AND target IS NOT NULL").groupBy(F.pmod(F.xxhash64(F.col("target").cast("bigint")), F.lit(EDGE_SALTS))).count()
+    sizes = sorted(r["count"] for r in salts.collect())
+    assert len(sizes) == EDGE_SALTS and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_entry_without_the_training_data_folder(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "phasegrid.llm.queries", None)
+    found = __spark_entry__.queries()
+    assert found and not any(q.startswith("op") or q == "pipeline" for q in found)
+    assert set(__spark_entry__.oracle_sql()) == set(found)
+
+
+def test_stored_folders_go_when_the_application_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from phasegrid.session import stored
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").getOrCreate()
+assert stored(spark.range(5), "x").count() == 5
+import os; assert len(os.listdir({str(tmp_path)!r})) == 1
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+    import time
+
+    for _ in range(50):
+        if not os.listdir(tmp_path):
+            return
+        time.sleep(0.2)
+    raise AssertionError(os.listdir(tmp_path))
