@@ -30,9 +30,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once if its row is repeated."""
+    """One document of each group of near duplicates: the one with the smallest id, once if its row is repeated.
+
+    Rows that share an id but not a text are no repeats of each other: all their texts stay. Rows without an id stay.
+    """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
