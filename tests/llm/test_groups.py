@@ -274,3 +274,11 @@ def test_pipeline_stages(spark, data):
             assert set(after) == set(before) and "abcdef0123456789" not in after[900003] and "[secret]" in after[900003]
         kept = out
     assert corpus_pipeline.STAGES[-1][1](spark, kept, data).count() == len(after)
+
+
+def test_texts_that_share_an_id_stay_in_the_pipeline(spark, docs):
+    one, other = "words of one text that stand here for the test of ids", "quite different sentences under the same number of a row"
+    rows = docs([(1, one), (1, other), (1, other), (2, one), (3, "a third text with its own words and id for the table")])
+    kept = corpus_pipeline.one_of_each_group(spark, rows.select("doc_id", "text", "lang", "source", "n_chars"), "")
+    got = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+    assert [g for g in got if g[0] == 1] == sorted([(1, one), (1, other)]) and got[-1][0] == 3
