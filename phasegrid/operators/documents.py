@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions.values import let
 from phasegrid.operators.columns import split_names
+from phasegrid.session import stored
 
 # Node types a complete document has.
 REQUIRED_TYPES = ("dataset", "encoder", "circuit", "optimizer")
 #: Keys over which the edges of one node are dealt.
-EDGE_SALTS = 16
+EDGE_SALTS = 8
 
 DOCUMENT_SCHEMA = """
     version string,
@@ -113,7 +114,8 @@ def clean_edges(edges: DataFrame, nodes: DataFrame, document: str = "doc_id") ->
     many edges, and a document may hold very many: for each semi join edges are dealt over EDGE_SALTS keys by their other
     end, and the nodes, two narrow columns, are repeated for each.
     """
-    ends = nodes.select(document, "id").where("id IS NOT NULL").distinct()
+    # stored, as both joins read them
+    ends = stored(nodes.select(document, "id").where("id IS NOT NULL").distinct(), "ends")
     ends = ends.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1))))
     kept = edges.select(document, "source", "target")
     for end, other in (("source", "target"), ("target", "source")):
