@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import WordHashes, arrow_schema, gram_hashes, id_and_text, map_texts, mixed, powers, release, slices, stored
+from phasegrid.llm.common import WordHashes, arrow_schema, discard, gram_hashes, id_and_text, mixed, powers, release, slices, stored
 
 WINDOW = 20
 #: A gram of so many words is the anchor of a window: the one with the least hash. A window has 16 grams.
@@ -21,7 +21,8 @@ ANCHOR = 5
 #: Passages of one automaton and words of its documents; both bound a task's memory.
 SHARD_PASSAGES, SHARD_WORDS = 400, 300_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-ANCHOR_SCHEMA = "fp long, extent long, doc_id long, start int, size int"
+ANCHOR_SCHEMA = "fp long, extent long, part long, doc_id long, start int, size int"
+PLACE = ("doc_id", "part", "start")
 
 
 class SpanHashes:
@@ -44,6 +45,17 @@ class SpanHashes:
         return mixed(value + (end - start).astype(np.uint64))
 
 
+def leftmost_least(values: np.ndarray, size: int) -> np.ndarray:
+    """For every window of ``size`` values the place of its least, the leftmost of equal ones; windows grow by doubling."""
+    at, width = np.arange(len(values)), 1
+    while width < size:
+        step = min(width, size - width)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        width += step
+    return at
+
+
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, extent hash, start, size): each window belongs to the leftmost least gram in it.
 
@@ -54,63 +66,83 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         none = np.zeros(0, np.uint64)
         return none, none, none.astype(np.int64), none.astype(np.int64)
     grams = gram_hashes(words, ANCHOR)
-    least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - ANCHOR + 1).argmin(axis=1)
-    at = least + np.arange(len(least))
+    at = leftmost_least(grams, WINDOW - ANCHOR + 1)
     start = np.flatnonzero(np.diff(at, prepend=-1))
     end = np.append(start[1:], len(at)) - 1 + WINDOW
     return grams[at[start]], SpanHashes(words, BASES[0]).of(start, end), start, end - start
 
 
+def with_part(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text): ``part`` tells apart the texts of an id that has several (a hash of the text), else it is 0.
+
+    Only such ids meet the documents in a join; usually there are none, and Spark then sends the empty table along.
+    """
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    shared = stored(shared.where("low <> high").select("doc_id", F.lit(True).alias("shared")), "shared")
+    part = F.when(F.col("shared"), F.col("hash")).otherwise(F.lit(0).cast("long")).alias("part")
+    return docs.join(shared, "doc_id", "left").select("doc_id", part, "text")
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    held: dict[int, WordHashes] = {}
+    target = arrow_schema(ANCHOR_SCHEMA)
 
-    def run(ids, texts):
-        hashes = held.setdefault(0, WordHashes())
-        parts, sizes = [], []
-        for text in texts:
-            found = anchors(hashes((text or "").encode().split()))
-            parts.append(found)
-            sizes.append(len(found[0]))
-        columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4)]
-        return {
-            "fp": columns[0].view(np.int64), "extent": columns[1].view(np.int64),
-            "doc_id": np.repeat(np.array(ids, np.int64), sizes), "start": columns[2].astype(np.int32), "size": columns[3].astype(np.int32),
-        }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            found = [anchors(hashes(text.encode().split())) for text in part.column("text").to_pylist()]
+            if found:
+                sizes = [len(f[0]) for f in found]
+                fp, extent, start, size = (np.concatenate([f[k] for f in found]) for k in range(4))
+                of, ids = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("part", "doc_id"))
+                columns = (fp.view(np.int64), extent.view(np.int64), of, ids, start, size)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, target)], schema=target)
 
-    return map_texts(docs.where("doc_id is not null and text is not null"), run, ANCHOR_SCHEMA)
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, ANCHOR_SCHEMA)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    def run(ids, texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        return {"doc_id": ids, "packed": [None if t is None else zip_.compress(t.encode()) for t in texts]}
+        for part in slices(batches):
+            packed = pa.array([None if t is None else zip_.compress(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), packed], names=["doc_id", "part", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, part long, packed binary")
 
-    return map_texts(docs, run, "doc_id long, packed binary")
 
+def first_rows(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The first row of each key in the order of PLACE, with the number of rows; made from parts before the shuffle."""
+    found = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE, *more)).alias("first"), F.count(F.lit(1)).alias("n"))
+    return found.select(*keys, "first.*", "n")
 
-def later_than_first(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows that the first row of their key precedes, with its place; first rows). Order is (doc_id, start)."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    joined = rows.join(first, keys)
-    here = F.struct("doc_id", "start")
-    return joined.where(here != F.col("first")), joined.where(here == F.col("first"))
+
+def later_than_first(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that the first row of their key precedes, with its place.
+
+    ``first`` is a stored table and only its keys of several rows are joined, so both sides are shuffled for the join and
+    the rows of a hot key can be split.
+    """
+    several = first.where("n > 1").select(*keys, *[F.col(c).alias(f"from_{c}") for c in PLACE])
+    same = [F.col(c) == F.col(f"from_{c}") for c in PLACE]
+    return rows.join(several, keys).where(~(same[0] & same[1] & same[2]))
 
 
 def window_rows(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every window of the spans (doc_id, start, size), with two hashes of its words."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    joined = texts.join(listed, "doc_id").select("doc_id", "packed", "spans.start", "spans.size")
-    schema = "one long, two long, doc_id long, start int"
+    """Every window of the spans (doc_id, part, start, size), with two hashes of its words."""
+    listed = spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    joined = texts.join(listed, ["doc_id", "part"]).select("doc_id", "part", "packed", "spans.start", "spans.size")
+    schema = "one long, two long, part long, doc_id long, start int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unzip, target = WordHashes(), zstandard.ZstdDecompressor(), arrow_schema(schema)
         for part in slices(batches):
             out = []
-            for doc, packed, start, size in zip(*(part.column(k).to_pylist() for k in range(4))):
+            for doc, text, packed, start, size in zip(*(part.column(k).to_pylist() for k in range(5))):
                 words = hashes(unzip.decompress(packed).split())
                 at = np.unique(np.concatenate([np.arange(a, a + n - WINDOW + 1) for a, n in zip(start, size)]))
                 both = [SpanHashes(words, base).of(at, at + WINDOW).view(np.int64) for base in BASES]
-                out.append((*both, np.full(len(at), doc), at.astype(np.int32)))
+                out.append((*both, np.full(len(at), text), np.full(len(at), doc), at.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), f.type) for k, f in enumerate(target)], schema=target)
 
@@ -118,33 +150,31 @@ def window_rows(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def recurring_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, start, size, from_doc, from_start): spans whose every window starts earlier, at the same distance, too.
+    """(doc_id, part, start, size, from_doc_id, from_part, from_start): spans whose every window starts earlier, too.
 
     Anchors that occur once are dropped first. Equal extents settle all their windows at once. Where an anchor stands in
     different extents (at the ends of a passage and around an edit), the first row of each extent is settled window by
     window. A key with very many rows is reduced before each shuffle and split in each join.
     """
-    spark = docs.sparkSession
-    rows = anchor_rows(docs)
-    # stored, so that both sides of the join are shuffled for it and a hot anchor's rows can be split
-    again = stored(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "again")
-    rows = stored(rows.join(again, "fp"), "anchors")
-    release(spark)
-    later, first = later_than_first(rows, ["fp", "extent"])
-    several = rows.groupBy("fp").agg(F.min("extent").alias("low"), F.max("extent").alias("high")).where("low <> high").select("fp")
-    windows = stored(window_rows(first.join(several, "fp").select("doc_id", "start", "size").distinct(), texts), "windows")
-    release(spark)
-    later_windows, _ = later_than_first(windows, ["one", "two"])
-    spans = later.select("doc_id", "start", "size", "first").unionByName(
-        later_windows.select("doc_id", "start", F.lit(WINDOW).alias("size"), "first")
-    )
-    spans = spans.select("doc_id", "start", "size", F.col("first.doc_id").alias("from_doc"), F.col("first.start").alias("from_start"))
-    spans = stored(spans.distinct(), "spans")
-    release(spark)
+    every = stored(anchor_rows(docs), "every")
+    again = stored(every.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "again")
+    rows = stored(every.join(again, "fp"), "anchors")
+    discard(every, again)
+    first = stored(first_rows(rows, ["fp", "extent"], "size"), "first")
+    several = stored(first.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "several")
+    columns = ("doc_id", "part", "start", "size", *(f"from_{c}" for c in PLACE))
+    later = stored(later_than_first(rows, first, ["fp", "extent"]).select(*columns), "later")
+    discard(rows)
+    windows = stored(window_rows(first.join(several, "fp").select(*PLACE, "size").distinct(), texts), "windows")
+    discard(first, several)
+    first = stored(first_rows(windows, ["one", "two"]).where("n > 1"), "first")
+    later_windows = later_than_first(windows, first, ["one", "two"]).withColumn("size", F.lit(WINDOW)).select(*columns)
+    spans = stored(later.unionByName(later_windows).distinct(), "spans")
+    discard(windows, first, later)
     return spans
 
 
-def passages(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def passages(spans: list[tuple]) -> list[tuple]:
     """Overlapping spans with the same origin at the same distance, joined; (start, end, from_doc, from_start)."""
     joined: list[list[int]] = []
     for doc, distance, start, end in sorted((doc, origin - start, start, start + size) for start, size, doc, origin in spans):
@@ -155,8 +185,8 @@ def passages(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return [(start, end, doc, start + distance) for doc, distance, start, end in joined]
 
 
-def locate(shard: list[tuple[int, list[bytes], list[tuple]]]) -> list[np.ndarray]:
-    """For each (id, words, passages) a mark on every word inside an occurrence that another one precedes.
+def locate(shard: list[tuple[tuple, list[bytes], list[tuple]]]) -> list[np.ndarray]:
+    """For each ((id, part), words, passages) a mark on every word inside an occurrence that another one precedes.
 
     All passages of the shard go into one automaton over words, and every document of the shard runs through it.
     """
@@ -173,7 +203,7 @@ def locate(shard: list[tuple[int, list[bytes], list[tuple]]]) -> list[np.ndarray
             automaton.add_word(key, value)
         automaton.make_automaton()
         for line, mark, (doc, _, _) in zip(lines, marks, shard):
-            for end, (size, from_doc, from_start) in automaton.iter(line) if line else ():
+            for end, (size, from_doc, from_start) in automaton.iter(line) if line and doc[0] is not None else ():
                 start = end + 1 - size
                 if (from_doc, from_start) < (doc, start):
                     mark[start] += 1
@@ -186,13 +216,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
 
     Words stand between ASCII white space. A word goes if a window of 20 words over it also starts earlier: in a document
     of smaller id, or earlier in its own. Null, empty and short texts lose nothing; rows that repeat an id and its text
-    are one document and lose the same words; a row without id is compared with nothing.
+    are one document and lose the same words; different texts of one id are documents of their own, in the order of a
+    hash of them; a row without id is compared with nothing.
     """
-    docs = id_and_text(docs, key, text)
+    docs = with_part(id_and_text(docs, key, text))
     texts = packed_texts(docs)
     spans = recurring_spans(docs, texts)
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "from_doc", "from_start")).alias("spans"))
-    joined = texts.join(listed, "doc_id", "left").select("doc_id", "packed", "spans")
+    listed = spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "size", *[f"from_{c}" for c in PLACE])).alias("spans"))
+    joined = texts.join(listed, ["doc_id", "part"], "left").select("doc_id", "part", "packed", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if kept else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +233,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kep
             rows = []
             for (doc, words, _), gone in zip(shard, locate(shard)):
                 left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-                rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode()))
+                rows.append((doc[0], len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode()))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target)
 
         shard, n_passages, n_words = [], 0, 0
         for part in slices(batches):
-            for doc, packed, found in zip(*(part.column(k).to_pylist() for k in range(3))):
+            for doc, text, packed, found in zip(*(part.column(k).to_pylist() for k in range(4))):
                 words = unzip.decompress(packed).split() if packed else []
-                own = passages([(s["start"], s["size"], s["from_doc"], s["from_start"]) for s in found or []])
-                shard.append((doc, words, own))
+                own = passages([(s["start"], s["size"], (s["from_doc_id"], s["from_part"]), s["from_start"]) for s in found or []])
+                shard.append(((doc, text), words, own))
                 n_passages += len(own)
                 n_words += len(words)
                 if n_passages >= SHARD_PASSAGES or n_words >= SHARD_WORDS:

@@ -68,6 +68,14 @@ def test_phrases_odd_cases(odd):
     assert kept == "word"
 
 
+def test_texts_that_share_an_id_lose_their_own_words(docs):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"a b {passage}"), (1, f"{passage} c"), (1, f"{passage} c"), (2, f"x {passage} " + "y " * 40), (2, "short text"), (None, f"n {passage}")]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in phrases.remove_repeats(docs(rows, 1)).collect()), key=repr)
+    assert {g for g in got if g[0] != 1} == {(2, 71, 30 + 39), (2, 2, 0), (None, 31, 0)}
+    assert [g for g in got if g[0] == 1] in ([(1, 31, 0), (1, 31, 0), (1, 32, 30)], [(1, 31, 30), (1, 31, 30), (1, 32, 0)])
+
+
 # near duplicates
 
 def plain_near(rows):
