@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import stored
+from phasegrid.llm.common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs.select(F.col(b).alias("node"), F.col(a).alias("other"))
     )
     both = stored(both.distinct(), "edges")
-    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
+    labels = last = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "component")
         jump = labels.select("node", F.col("component").alias("via")).join(
@@ -29,5 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         best = near.unionByName(jump).unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
         moved = stored(best.join(labels.withColumnRenamed("component", "was"), "node"), "labels")
         labels = moved.select("node", "component")
-        if moved.where("component <> was").isEmpty():
+        done = moved.where("component <> was").isEmpty()
+        discard(last, shuffles=False)
+        last = moved
+        if done:
+            discard(both)
             return labels

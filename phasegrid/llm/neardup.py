@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import WordHashes, arrow_schema, gram_hashes, id_and_text, map_texts, mixed, release, slices, stored
+from phasegrid.llm.common import WordHashes, arrow_schema, discard, gram_hashes, id_and_text, map_texts, mixed, release, slices, stored
 from phasegrid.llm.graph import components
 
 SHINGLE = 5
@@ -177,6 +177,7 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     table = counts.where(F.floor(F.log2(F.col("n") / FREQUENT)) >= least).toArrow()
+    discard(counts)
     shingle, n = (table.column(c).to_numpy() for c in ("shingle", "n"))
     order = np.argsort(shingle.view(np.uint64))
     return shingle.view(np.uint64)[order], n[order]
@@ -218,12 +219,13 @@ def prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), f.type) for k, f in enumerate(target)], schema=target)
 
-    rows = stored(texts.mapInArrow(run, schema), "rarest")
-    inside = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    rare = stored(texts.mapInArrow(run, schema), "rarest")
+    discard(members, texts)
+    inside = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     main = inside.groupBy("shingle").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("c"))
     main = stored(main.where("components > 1").select("shingle", F.col("c.component").alias("main")), "main")
-    rows = stored(rows.join(main, "shingle"), "met")
-    release(spark)
+    rows = stored(rare.join(main, "shingle"), "met")
+    discard(rare, main)
     x, y = rows.alias("x"), rows.where("component <> main").alias("y")
     needed = SHARE * (F.col("x.size") + F.col("y.size"))
     met = x.join(
@@ -250,26 +252,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = id_and_text(docs, key, text)
     made = stored(sketches(docs), "sketches")
     named = made.where("n_shingles > 0 and doc_id is not null")
-    groups = named.groupBy("same1", "same2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = named.join(groups, ["same1", "same2", "n_shingles"])
+    same = ["same1", "same2", "n_shingles"]
+    # only sets of several rows are joined, from a stored table, so that the rows of a hot set can be split
+    groups = named.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups.where("n > 1").drop("n"), "groups")
+    member = named.join(groups, same, "left").withColumn("rep", F.coalesce("least", "doc_id"))
     copies = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    units = stored(member.where("doc_id = rep").select("rep", "bands", "marks", F.col("n_shingles").alias("size")).dropDuplicates(["rep", "bands"]), "units")
+    units = stored(member.where("doc_id = rep").select("rep", "bands", "marks").dropDuplicates(["rep", "bands"]), "units")
     marks = units.select("rep", "marks").dropDuplicates(["rep"])
 
-    placed = units.select("rep", "size", F.explode("bands").alias("bucket"))
+    placed = units.select("rep", F.explode("bands").alias("bucket"))
     by_hash = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HASHED_STARS)]
     centres = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.array_distinct(F.array(F.min("rep"), F.max("rep"), *by_hash)).alias("centres"))
     shared = stored(placed.join(centres.where("low < high").select("bucket", "centres"), "bucket"), "shared")
     pairs = shared.select(F.explode("centres").alias("c"), "rep").where("c <> rep")
-    shared = shared.select("rep", "size", "bucket")
     pairs = pairs.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
     close = stored(sketch_filter(pairs, marks), "pairs")
-    release(spark)
+    discard(units)
     links = stored(confirmed(close, docs), "links")
     release(spark)
     labels = components(links)
-    members = unresolved(shared, labels)
-    more = stored(prefix_pairs(members, docs).join(close, ["a", "b"], "left_anti"), "pairs")
+    members = unresolved(shared.select("rep", "bucket"), labels)
+    more = prefix_pairs(members, docs)
+    discard(shared)
+    more = stored(more.join(close, ["a", "b"], "left_anti"), "pairs")
     release(spark)
     found = stored(confirmed(more, docs), "links")
     release(spark)
