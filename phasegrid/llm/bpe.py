@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,8 +16,13 @@ WINDOW, CUT_BITS = 8, 10
 #: Text that a task keeps encoded, in bytes, and words that it keeps; both start anew when full.
 CHUNK_BYTES, WORD_ENTRIES = 12_000_000, 400_000
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "big") for b in range(256)], np.uint32)
-HAS_IDS, NOTHING = itemgetter(0), (0, "", "")
 SPACES = b" \t\n\r\x0b\x0c"
+#: Stands between new words that are encoded in one call; a word that holds it is encoded by itself.
+BETWEEN = b"\0"
+#: A word of letters and one of these has two pieces.
+MARKS = ",.;:!?"
+#: A definition has to encode and decode these as their words one by one do; they hold what kinds of tokenizers differ in.
+PROBES = ("a b", "Hello  world, 12 345", " it's <|endoftext|> don't\n\n\tX\u0301 ", "\u00e9t\u00e9 \u4f60\u597d \U0001f600x \u00a0 y", "")
 
 
 def chunks(data: bytes) -> list[bytes]:
@@ -39,7 +44,7 @@ def chunks(data: bytes) -> list[bytes]:
 
 
 class Encoder:
-    """Encodings of words and chunks as (number of ids, ids as text, tokens as text).
+    """Encodings of words and chunks as packed 32-bit ids.
 
     White space always parts pieces in this kind of tokenizer, so the words between white space encode independently.
     A chunk keeps the encoding of what stands between its first and last white space; its open ends depend on the
@@ -53,41 +58,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # ids come without tokens, whose making costs more than a look-up
-        self.names = {i: token for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.numbers = {i: str(i) for i in self.names}
-        self.words: dict[bytes, tuple[int, str, str]] = {}
+        vocabulary = {i: token for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.names = [vocabulary.get(i, "") for i in range(max(vocabulary) + 1)]
+        self.numbers = [str(i) for i in range(len(self.names))]
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.closes = np.array([bool(suffix) and n.endswith(suffix) for n in self.names])
+        self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.held = 0
-        self.hits = self.misses = 0
-
-    def encode_words(self, words: list[bytes]) -> tuple[int, str, str]:
-        known = self.words
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > WORD_ENTRIES:
-                known.clear()
-                new = list(set(words))
-            for word, ids in self.encode_new(new):
-                known[word] = (len(ids), " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
-        found = list(filter(HAS_IDS, map(known.__getitem__, words)))
-        if not found:
-            return NOTHING
-        sizes, ids, tokens = zip(*found)
-        return sum(sizes), " ".join(ids), " ".join(tokens)
-
-    def encode_new(self, words: list[bytes]):
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            yield from ((word, e.ids) for word, e in zip(part, found))
+        between = self.whole(BETWEEN.decode())
+        if len(between) != 1:
+            raise ValueError("this tokenizer has no single piece for the zero byte")
+        self.between = between[0]
+        for probe in PROBES:
+            ids = self.whole(probe).tolist()
+            if self.encode(probe)[1:] != (" ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)):
+                raise ValueError("this tokenizer does not encode the words between white space independently")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def encode_words(self, words: list[bytes]) -> bytes:
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return b"".join(map(self.words.__getitem__, words))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode the words not known yet in two calls.
+
+        Words of letters, with or without one mark at the end, have one or two pieces, whose last tokens show their
+        ends. The others stand between separators.
+        """
+        new = list(set(words).difference(self.words))
+        if len(self.words) + len(new) > WORD_ENTRIES:
+            self.words.clear()
+            new = list(set(words))
+        simple, mixed, single = [], [], []
+        for word in new:
+            text = word.decode()
+            n = 1 if text.isalpha() else 2 if text[-1] in MARKS and text[:-1].isalpha() else 0
+            if n:
+                simple.append((word, text, n))
+            else:
+                (single if BETWEEN in word else mixed).append((word, text))
+        if simple:
+            listed, texts, pieces = zip(*simple)
+            found = self.whole(" ".join(texts))
+            ends, need = np.flatnonzero(self.closes[found]) + 1, np.cumsum(pieces)
+            # a word can have more pieces than so, never less; equal sums mean that each has its number
+            if len(ends) == need[-1]:
+                self.keep(listed, found, ends[need - 1], 0)
+            else:
+                mixed += zip(listed, texts)
+        if mixed:
+            listed, texts = zip(*mixed)
+            found = self.whole(f" {BETWEEN.decode()} ".join(texts))
+            self.keep(listed, found, np.append(np.flatnonzero(found == self.between), len(found)), 1)
+        for word, text in single:
+            self.words[word] = self.whole(text).tobytes()
+
+    def keep(self, words, found: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Each word's ids end at its place of ``ends``; ``gap`` ids stand between two words."""
+        data, ends = found.tobytes(), (4 * ends).tolist()
+        starts = [0, *(e + 4 * gap for e in ends[:-1])]
+        self.words.update(zip(words, [data[a:b] for a, b in zip(starts, ends)]))
 
     def encode_chunk(self, chunk: bytes) -> tuple | None:
         """(open head, encoding of the middle, open tail); None for a chunk without white space."""
         if chunk in self.chunks:
-            self.hits += 1
             return self.chunks[chunk]
-        self.misses += 1
         head = chunk.translate(ASCII_SPACE).split(b" ", 1)
         if len(head) == 1:
             found = None
@@ -102,22 +143,25 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> tuple[int, str, str]:
-        """Chunk encodings joined; each open join grows until white space ends it, and is encoded as a whole."""
-        parts, waiting = [], b""
+        """(number of ids, ids as text, decoded text).
+
+        Chunk encodings joined; each open join grows until white space ends it, and is encoded as a whole.
+        """
+        parts, waiting = [], []
         for chunk in chunks(text.encode()):
             found = self.encode_chunk(chunk)
             if found is None:
-                waiting += chunk
+                waiting.append(chunk)
                 continue
             head, middle, tail = found
             if waiting or head:
-                parts.append(self.encode_words([waiting + head]))
+                parts.append(self.encode_words(b"".join([*waiting, head]).split()))
             parts.append(middle)
-            waiting = tail
+            waiting = [tail] if tail else []
         if waiting:
-            parts.append(self.encode_words([waiting]))
-        parts = [p for p in parts if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            parts.append(self.encode_words([b"".join(waiting)]))
+        ids = np.frombuffer(b"".join(parts), np.int32).tolist()
+        return len(ids), " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.names.__getitem__, ids))
 
 
 ASCII_SPACE = bytes(32 if c in SPACES else c for c in range(256))
@@ -129,7 +173,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     Equal to encoding each whole text by the tokenizer itself (no special tokens added) and decoding the ids with
     special tokens kept. A null or empty text has no ids and decodes to an empty text; repeated rows are encoded alike;
     a null id stays null. One narrow stage: chunks are kept for the whole task, so a passage that its documents share
-    is encoded once there; text is never shuffled. The kept chunks and words have fixed limits.
+    is encoded once there; text is never shuffled. The kept chunks and words have fixed limits. A tokenizer in which white
+    space does not part pieces, or whose decoder does more than join tokens by a space, raises a ValueError.
     """
     definition = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
     workers: dict[int, Encoder] = {}
@@ -137,6 +182,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     def run(doc_ids, texts):
         if 0 not in workers:
             workers[0] = Encoder(definition.value)
+        workers[0].learn(b" ".join([(t or "").encode() for t in texts]).split())
         found = [workers[0].encode(t or "") for t in texts]
         out = {
             "doc_id": doc_ids,

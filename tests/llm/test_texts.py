@@ -44,6 +44,11 @@ def test_bpe_equals_library(request, which):
     assert rows_of(bpe.encode_documents(frame, WORD_BPE)) == sorted((plain_bpe(*r) for r in texts_of(frame)), key=repr)
 
 
+def test_bpe_refuses_a_tokenizer_that_joins_words():
+    with pytest.raises(ValueError, match="white space"):
+        bpe.Encoder(tokenizer_text(BYTE_BPE))
+
+
 def test_bpe_returns_ids_and_text(docs):
     t = Tokenizer.from_file(WORD_BPE)
     row = bpe.encode_documents(docs([(1, "Hello <|endoftext|> world")]), WORD_BPE, ids=True).first()
