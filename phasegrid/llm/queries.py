@@ -110,7 +110,7 @@ named AS (
   FROM parsed),
 listed AS (SELECT DISTINCT address FROM named WHERE on_listed_site AND address <> ''),
 rules AS (
-  SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'allow'),
+  SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
                         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS r(site, start_, said)),
 fitting AS (
   SELECT page_id, arg_max(site || start_, length(site || start_)) AS rule, arg_max(said, length(site || start_)) AS said

@@ -16,7 +16,7 @@ MOST_BLOCKS = 1 << 20
 LISTED_SITES = ("spam-farm", "cheap-pills")
 #: (host, path, verdict), fixed values.
 RULES = (
-    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
 

@@ -59,3 +59,19 @@ def test_empty(spark):
 def test_oracle(spark, data):
     got = QUERIES["op3_url_filter"](spark, data).toPandas()
     assert compare(got, connect(data).execute(ORACLE["op3_url_filter"]).df()).startswith("ok")
+
+
+CONTRACT_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
+
+
+def test_rules_are_the_contracts(spark):
+    assert tuple(urls.RULES) == CONTRACT_RULES
+    for site, start, said in CONTRACT_RULES:
+        assert f"('{site}', '{start}', '{said}')" in ORACLE["op3_url_filter"]
+    pages = spark.createDataFrame([(0, "http://example.org/en/1"), (1, "http://a.example.org/en/12?q"), (2, "http://example.org/en/2")],
+                                  "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.listed_sites(pages)).collect()}
+    assert got == {0: ("example.org/en/1", "block"), 1: ("example.org/en/1", "block"), 2: ("org/", "allow")}
