@@ -118,16 +118,29 @@ def _crossing(cells: DataFrame, order: str, want: Column) -> DataFrame:
     )
 
 
-def among_lowest(df: DataFrame, group: str, hash_column: str, key: str, cuts: DataFrame, flag: str) -> DataFrame:
+def among_lowest(
+    df: DataFrame, group: str, hash_column: str, key: str, cuts: DataFrame, flag: str, counts: DataFrame | None = None,
+) -> DataFrame:
     """Add whether a row is among the lowest of its group; false for a group without a cut.
 
-    A left join on the group: Spark broadcasts the cuts while they are few; else both sides are shuffled for it, so that
-    adaptive execution can split a group that holds very many rows.
+    Rows meet the cuts by group and upper digits of their hash: each cell of ``counts`` (g, b, as ``digit_counts`` gives
+    them; else taken from the rows) says whether its rows all fall below the cut, all above, or are compared one by one.
+    So a group that holds very many rows is dealt over its cells, not read by one task; few cells are broadcast.
     """
-    cut = cuts.select(F.col("g").alias(group), F.col("h").alias("__cut"), F.col("k").alias("__upto"))
+    b = F.substring(F.col(hash_column), 1, HIGH)
+    if counts is None:
+        counts = df.select(F.col(group).alias("g"), b.alias("b")).where("g IS NOT NULL").distinct()
+    cut_b = F.substring("__cut", 1, HIGH)
+    cells = (
+        counts.select("g", "b").join(cuts.select("g", F.col("h").alias("__cut"), F.col("k").alias("__upto")), "g")
+        .withColumn("__side", F.when(F.col("b") < cut_b, 1).when(F.col("b") > cut_b, -1).otherwise(0))
+        .select(F.col("g").alias(group), F.col("b").alias("__b"), "__side", "__cut", "__upto")
+    )
     h, k = F.col(hash_column), F.col(key)
     low = (h < F.col("__cut")) | ((h == F.col("__cut")) & (F.col("__upto").isNull() | (k <= F.col("__upto"))))
-    return df.join(cut, group, "left").withColumn(flag, F.coalesce(low, F.lit(False))).drop("__cut", "__upto")
+    taken = F.when(F.col("__side") == 1, True).when(F.col("__side") == -1, False).otherwise(low)
+    joined = df.withColumn("__b", b).join(cells, [group, "__b"], "left")
+    return joined.withColumn(flag, F.coalesce(taken, F.lit(False))).drop("__b", "__side", "__cut", "__upto")
 
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, str], descending: bool = False) -> DataFrame:

@@ -47,7 +47,7 @@ def exact_split(df: DataFrame, key: Sequence[str], label: str, test_size: float
         hashed = hashed.withColumn(GROUP, F.when(F.col(label).isNotNull(), 0))
         counts = counts.groupBy(F.lit(0).alias("g"), "b").agg(F.sum("n").alias("n"))
     cuts = lowest_cuts(_rows(hashed), counts, F.floor(F.col("size") * test_size + 0.5))
-    return among_lowest(hashed, GROUP, HASH, KEY, cuts, "is_test").drop(KEY, HASH, GROUP)
+    return among_lowest(hashed, GROUP, HASH, KEY, cuts, "is_test", counts).drop(KEY, HASH, GROUP)
 
 
 def balanced_sample(df: DataFrame, key: Sequence[str], label: str, rows: int = 300, seed: int = 42) -> DataFrame:
@@ -64,4 +64,4 @@ def balanced_sample(df: DataFrame, key: Sequence[str], label: str, rows: int = 3
         last = classes.orderBy("g").offset(rest - 1).limit(1).first()[0]
         wanted = wanted + (F.col("g") <= F.lit(last)).cast("int")
     cuts = lowest_cuts(_rows(hashed), counts, wanted)
-    return among_lowest(hashed, GROUP, HASH, KEY, cuts, "__taken").where("__taken").drop(KEY, HASH, GROUP, "__taken")
+    return among_lowest(hashed, GROUP, HASH, KEY, cuts, "__taken", counts).where("__taken").drop(KEY, HASH, GROUP, "__taken")

@@ -261,3 +261,21 @@ def test_fast_split_is_stable_and_close_to_the_share(spark):
     assert X.hash_split(df, ["key"], 1.0, 7, "xxhash64").where("NOT is_test").isEmpty()
     with pytest.raises(ValueError):
         X.hash_split(df, ["key"], 0.3, 7, "sha")
+
+
+def test_a_large_group_is_marked_by_many_tasks(spark):
+    """The marking join does not put all rows of one class in one task, and still marks the lowest."""
+    df = spark.range(8000).select((F.col("id") < 0).cast("int").alias("g"), hash_hex(F.col("id").cast("string"), 3).alias("h"), F.col("id").cast("string").alias("k"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = S.digit_counts(df)
+        marked = S.among_lowest(df, "g", "h", "k", S.lowest_cuts(df, counts, F.lit(2000)), "taken")
+        per_task = marked.groupBy(F.spark_partition_id()).count().collect()
+        rows = sorted(map(tuple, marked.select("h", "k", "taken").collect()))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert max(r["count"] for r in per_task) < 4000
+    assert [t for _, _, t in rows] == [True] * 2000 + [False] * 6000
