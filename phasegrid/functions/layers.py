@@ -128,3 +128,38 @@ def two_layer_parity_sql(theta: Sequence[float], entanglement: str = "linear") -
         kinds["1"].append(f"{cos(b)!r}D")
     terms = [" * ".join([f"{sign}D", *[kinds[k][q] for q, k in enumerate(p)]]) for sign, p in parity_products(n, entanglement)]
     return f"((1D - ({' + '.join(terms)})) * 0.5D)"
+
+
+def _factors(a: float, b: float) -> dict[str, tuple[tuple[float, str | None], ...]]:
+    """Each kind's factor and its slopes by a and by b, as a constant times u = s cos a + c sin a, v = c cos a - s sin a or 1."""
+    sin, cos = math.sin, math.cos
+    return {
+        "x": ((-sin(b), "u"), (-sin(b), "v"), (-cos(b), "u")),
+        "z": ((cos(b), "v"), (-cos(b), "u"), (-sin(b), "v")),
+        "1": ((cos(b), None), (0.0, None), (-sin(b), None)),
+    }
+
+
+def two_layer_slopes_sql(theta: Sequence[float], entanglement: str = "linear") -> tuple[dict[str, str], list[str]]:
+    """Columns u0.., v0.. to make once per row over c0.., s0.., and over them the slope of the signed sum of products in
+    ``two_layer_parity_sql`` by each parameter, layer by layer: a parameter's slope swaps its qubit's factor for the
+    factor's slope, so no product is evaluated again at shifted parameters."""
+    n = len(theta) // 2
+    first, second = theta[:n], theta[n:]
+    columns = {}
+    for q, a in enumerate(first):
+        columns[f"u{q}"] = f"(s{q} * {math.cos(a)!r}D + c{q} * {math.sin(a)!r}D)"
+        columns[f"v{q}"] = f"(c{q} * {math.cos(a)!r}D - s{q} * {math.sin(a)!r}D)"
+    factors = [_factors(a, b) for a, b in zip(first, second, strict=True)]
+    products = parity_products(n, entanglement)
+    slopes = []
+    for by in (1, 2):
+        for q in range(n):
+            terms = []
+            for sign, kinds in products:
+                chosen = [factors[j][k][by if j == q else 0] for j, k in enumerate(kinds)]
+                coefficient = sign * math.prod(c for c, _ in chosen)
+                if coefficient != 0.0:
+                    terms.append(" * ".join([f"{coefficient!r}D", *[f"{name}{j}" for j, (_, name) in enumerate(chosen) if name]]))
+            slopes.append(" + ".join(terms) if terms else "0D")
+    return columns, slopes

@@ -19,7 +19,7 @@ from phasegrid.functions.encoding import (
     parity_probability, phase_features, rotation_weights, variational_z,
 )
 from phasegrid.functions.hashing import check_parameters, parameter_count
-from phasegrid.functions.layers import parity_products, two_layer_parity, two_layer_parity_sql
+from phasegrid.functions.layers import parity_products, two_layer_parity, two_layer_parity_sql, two_layer_slopes_sql
 from phasegrid.functions.readout import class_from_probability, confidence_band, risk_label
 from phasegrid.operators.columns import cast_features
 from phasegrid.operators.scaling import Affine
@@ -199,22 +199,22 @@ def average_losses(
     return rows.selectExpr(*[f"{_loss_sql(f'p{i}')} AS loss{i}" for i in range(len(candidates))])
 
 
-def _shifted_gradient(basis: DataFrame, theta: Sequence[float], entanglement: str) -> DataFrame:
-    """The same for two layers: the probability is linear in the cosine and sine of each parameter, so its slope is half
-    the difference of its values a quarter turn on either side."""
-    turned = [[*theta[:i], theta[i] + way * math.pi / 2, *theta[i + 1 :]] for i in range(len(theta)) for way in (1, -1)]
+def _two_layer_gradient(basis: DataFrame, theta: Sequence[float], entanglement: str) -> DataFrame:
+    """The same for two layers: each qubit's factors are made once per row, and a parameter's slope is the sum of
+    products with that qubit's factor swapped for its slope."""
+    columns, slopes = two_layer_slopes_sql(theta, entanglement)
     rows = basis.selectExpr(
-        "label", f"{_chance_sql(theta, 'rotation', 'ry', entanglement)} AS p",
-        *[f"{two_layer_parity_sql(t, entanglement)} AS p{i}" for i, t in enumerate(turned)],
+        "label", f"{_chance_sql(theta, 'rotation', 'ry', entanglement)} AS p", *[f"{sql} AS {name}" for name, sql in columns.items()],
     )
-    by_p = "(CASE WHEN label = 1 THEN -0.5D / p ELSE 0.5D / (1D - p) END)"
-    return rows.selectExpr(f"{_loss_sql('p')} AS loss", *[f"avg({by_p} * (p{2 * i} - p{2 * i + 1})) AS g{i}" for i in range(len(theta))])
+    # d loss / d p, times the -1/2 of the parity probability
+    by_p = "(CASE WHEN label = 1 THEN 0.5D / p ELSE -0.5D / (1D - p) END)"
+    return rows.selectExpr(f"{_loss_sql('p')} AS loss", *[f"avg({by_p} * ({g})) AS g{i}" for i, g in enumerate(slopes)])
 
 
 def average_gradient(basis: DataFrame, theta: Sequence[float], encoder: str, rotation: str, deep: str | None = None) -> DataFrame:
     """One row (loss, g0, g1, ..): mean loss and its gradient, from one aggregate."""
     if deep is not None:
-        return _shifted_gradient(basis, list(theta), deep)
+        return _two_layer_gradient(basis, list(theta), deep)
     weights = step_weights(theta, encoder, rotation)
     n = len(weights)
     rows = basis.selectExpr("*", *[f"{_weighted_sql(q, w[0])} AS z{q}" for q, w in enumerate(weights)])

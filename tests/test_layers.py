@@ -94,3 +94,13 @@ def test_layers_of_rz_change_nothing_and_deeper_ones_are_refused(spark):
             two_layers("rotation", "ry", 2, n, entanglement)
     with pytest.raises(ValueError):
         L.neighbours(3, "star")
+
+
+def test_two_layer_gradient_evaluates_the_parity_once(spark):
+    """Slopes swap one factor in each product; the products are not evaluated again at shifted parameters."""
+    n, theta = 4, [0.3 * i + 0.1 for i in range(8)]
+    df = spark.createDataFrame([(0.5, 1.0, 1.5, 2.0, 1)], "a0 double, a1 double, a2 double, a3 double, label int")
+    basis = df.select("label", *[c.alias(k) for k, c in training_basis([F.col(f"a{i}") for i in range(n)], "rotation", "ry").items()])
+    size = lambda d: d._jdf.queryExecution().analyzed().toString().count(" * ")
+    once = size(average_losses(basis, [theta], "rotation", "ry", "linear"))
+    assert size(average_gradient(basis, theta, "rotation", "ry", "linear")) < 4 * once
