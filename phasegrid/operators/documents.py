@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions.values import let
 from phasegrid.operators.columns import split_names
-from phasegrid.session import stored
 
 # Node types a complete document has.
 REQUIRED_TYPES = ("dataset", "encoder", "circuit", "optimizer")
@@ -110,18 +109,22 @@ def clean_edge_array() -> Column:
 def clean_edges(edges: DataFrame, nodes: DataFrame, document: str = "doc_id") -> DataFrame:
     """Distinct edges (document, source, target) with both ends among the nodes (document, id).
 
-    Edges without such ends go first, so that only what stays is compared for duplicates. A node may be an end of very
-    many edges, and a document may hold very many: for each semi join edges are dealt over EDGE_SALTS keys by their other
-    end, and the nodes, two narrow columns, are repeated for each.
+    Each edge stands once for each end in a single semi join, and a grouping by edge keeps those whose two ends were
+    found, which also drops duplicates. A node may be an end of very many edges, and a document may hold very many: an
+    end's rows are dealt over EDGE_SALTS keys by the edge's other end, and the nodes, two narrow columns, are repeated
+    for each.
     """
-    # stored, as both joins read them
-    ends = stored(nodes.select(document, "id").where("id IS NOT NULL").distinct(), "ends")
+    ends = nodes.select(document, "id").where("id IS NOT NULL").distinct()
     ends = ends.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(EDGE_SALTS - 1))))
-    kept = edges.select(document, "source", "target")
-    for end, other in (("source", "target"), ("target", "source")):
-        dealt = kept.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(EDGE_SALTS)).cast("int"))
-        kept = dealt.join(ends.withColumnRenamed("id", end), [document, end, "__salt"], "left_semi").drop("__salt")
-    return kept.select(document, "source", "target").dropDuplicates()
+    sides = F.array(
+        F.struct(F.col("source").alias("__end"), F.col("target").alias("__other"), F.lit(1).alias("__side")),
+        F.struct(F.col("target").alias("__end"), F.col("source").alias("__other"), F.lit(2).alias("__side")),
+    )
+    both = edges.select(document, "source", "target", F.inline(sides))
+    both = both.withColumn("__salt", F.pmod(F.xxhash64("__other"), F.lit(EDGE_SALTS)).cast("int"))
+    # the repeated nodes grow with the input: never broadcast
+    found = both.join(ends.withColumnRenamed("id", "__end").hint("merge"), [document, "__end", "__salt"], "left_semi")
+    return found.groupBy(document, "source", "target").agg(F.bit_or("__side").alias("__sides")).where("__sides = 3").drop("__sides")
 
 
 def drop_node(edges: DataFrame, node_id: int) -> DataFrame:

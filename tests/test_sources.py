@@ -263,3 +263,13 @@ spark.stop()
             return
         time.sleep(0.2)
     raise AssertionError(os.listdir(tmp_path))
+
+
+def test_clean_edges_joins_the_nodes_once(spark):
+    from phasegrid.operators.documents import clean_edges
+
+    edges = spark.createDataFrame([(0, 1, 2), (0, 1, 2), (0, 2, 9), (0, 3, 3), (1, 1, 2), (0, None, 1)], "doc_id int, source bigint, target bigint")
+    nodes = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 1)], "doc_id int, id bigint")
+    kept = clean_edges(edges, nodes)
+    assert sorted(tuple(r) for r in kept.collect()) == [(0, 1, 2), (0, 3, 3)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
